@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landloom.llm import calibrate, overlap
+from landloom.llm import calibrate, leak, overlap, pack
+from landloom.session import cut
 from landloom.operators.records import split_kind, with_category, with_place
 from landloom.plans.sql_common import CATEGORY, DATASET
 from landloom.plans.tables import table
@@ -55,8 +56,26 @@ def p2_sample(spark: SparkSession, d: str) -> DataFrame:
     return calibrate.draw(rows, calibrate.plan(rows, table(spark, d, "class_targets")))
 
 
+def p6_packs(spark: SparkSession, d: str) -> DataFrame:
+    sizes = cut(pack.count_tokens(table(spark, d, "documents"), pack.tokenizer_path()))
+    return pack.pack(sizes, table(spark, d, "pack_sizes"))
+
+
+def p6_usage(spark: SparkSession, d: str) -> DataFrame:
+    return pack.usage(p6_packs(spark, d), table(spark, d, "pack_sizes"))
+
+
+def p7_spans(spark: SparkSession, d: str) -> DataFrame:
+    return leak.leaked_spans(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_spans(spark, d).select("doc_id", "item_id").distinct()
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found, "p1_split_report": p1_split_report, "p1_coverage": p1_coverage, "p2_found": p2_found, "p2_report": p2_report, "p2_sample": p2_sample,
+    "p6_packs": p6_packs, "p6_usage": p6_usage, "p7_found": p7_found, "p7_spans": p7_spans,
 }
 
 _PAIRS = f"""{DATASET}, s AS (SELECT DISTINCT row_id, px, py, lower(trim(split)) AS split, source,
