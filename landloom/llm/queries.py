@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landloom.llm import calibrate, leak, overlap, pack
+from landloom.llm import calibrate, leak, overlap, pack, reading
 from landloom.session import cut
 from landloom.operators.records import split_kind, with_category, with_place
 from landloom.plans.sql_common import CATEGORY, DATASET
@@ -73,9 +73,22 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_spans(spark, d).select("doc_id", "item_id").distinct()
 
 
+def p8_levels(spark: SparkSession, d: str) -> DataFrame:
+    prosed = cut(reading.prose_features(table(spark, d, "documents")))
+    full = reading.full_features(prosed, reading.rarity_table(prosed))
+    return reading.levels(full, reading.fit(full, table(spark, d, "reading_marks")))
+
+
+def p8_profile(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and words by source and level."""
+    named = p8_levels(spark, d).join(table(spark, d, "documents").select("doc_id", "source"), "doc_id")
+    return named.groupBy("source", "level").agg(F.count("*").alias("n_documents"), F.sum("n_words").alias("n_words"), F.round(F.avg("grade"), 6).alias("mean_grade"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found, "p1_split_report": p1_split_report, "p1_coverage": p1_coverage, "p2_found": p2_found, "p2_report": p2_report, "p2_sample": p2_sample,
     "p6_packs": p6_packs, "p6_usage": p6_usage, "p7_found": p7_found, "p7_spans": p7_spans,
+    "p8_levels": p8_levels, "p8_profile": p8_profile,
 }
 
 _PAIRS = f"""{DATASET}, s AS (SELECT DISTINCT row_id, px, py, lower(trim(split)) AS split, source,
