@@ -16,6 +16,7 @@ null with method 'none'. Empty input gives an empty grid.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,25 +31,31 @@ MONTHS = 12
 LOWEST, HIGHEST = 1, 20000
 
 
-def monthly(cells: DataFrame, bands: Sequence[int] = BANDS) -> DataFrame:
-    """One row per (pixel_id, month_no): v0..vN the latest usable value of each band, grp a hash of the tile (null if unknown)."""
+def monthly(cells: DataFrame, bands: Sequence[int] = BANDS, grouped: bool = True) -> DataFrame:
+    """One row per (pixel_id, month_no): v0..vN the latest usable value of each band, and, if grouped, grp a hash of the tile (null if unknown)."""
     usable = F.col("band_data").between(LOWEST, HIGHEST)
     rows = cells.where(F.col("pixel_id").isNotNull()).select(
         "pixel_id", month_of(F.col("time"), F.col("file_name")).cast("int").alias("month_no"), F.when(usable, F.col("band")).alias("band"), "band_data",
         F.coalesce("processed_at", F.lit("1900-01-01").cast("timestamp")).alias("at"), F.xxhash64(tile_code(F.col("tile"))).alias("grp"), F.col("tile").isNull().alias("lost"),
     )
     latest = [F.max_by(F.when(F.col("band") == b, F.col("band_data")), F.when(F.col("band") == b, F.col("at"))).alias(f"v{i}") for i, b in enumerate(bands)]
-    return rows.groupBy("pixel_id", "month_no").agg(*latest, F.max(F.when(~F.col("lost"), F.col("grp"))).alias("grp"))
+    if grouped:
+        latest.append(F.max(F.when(~F.col("lost"), F.col("grp"))).alias("grp"))
+    return rows.groupBy("pixel_id", "month_no").agg(*latest)
+
+
+PER_WORD = 4  # values of 15 bits in a 64-bit word
 
 
 def _pixels(n_bands: int):
+    words = -(-n_bands // PER_WORD)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = [np.asarray(c.fill_null(0)) for c in batch.columns]
-            table = np.column_stack(cols).astype(np.int64)
+            table = np.column_stack([np.asarray(c.fill_null(0), dtype=np.int64) for c in batch.columns])
             if carry is not None:
                 table = np.concatenate([carry, table])
             last = np.searchsorted(table[:, 0], table[-1, 0])
@@ -63,20 +70,26 @@ def _pixels(n_bands: int):
         cube = np.zeros((len(ids), n_bands, MONTHS), np.int16)
         ok = (t[:, 1] >= 1) & (t[:, 1] <= MONTHS)
         for b in range(n_bands):
-            cube[where[ok], b, t[ok, 1] - 1] = t[ok, 3 + b]
-        group = np.full(len(ids), np.iinfo(np.int64).min)
-        np.maximum.at(group, where, np.where(t[:, 2] == 0, np.iinfo(np.int64).min, t[:, 2]))
+            cube[where[ok], b, t[ok, 1] - 1] = (t[ok, 2 + b // PER_WORD] >> (15 * (b % PER_WORD))) & 0x7FFF
+        out = [pa.array(ids)]
+        if t.shape[1] > 2 + words:
+            group = np.full(len(ids), np.iinfo(np.int64).min)
+            np.maximum.at(group, where, np.where(t[:, -1] == 0, np.iinfo(np.int64).min, t[:, -1]))
+            out.append(pa.array(group, mask=group == np.iinfo(np.int64).min))
         size = n_bands * MONTHS * 2
-        raw = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(np.arange(0, (len(ids) + 1) * size, size, dtype=np.int32)), pa.py_buffer(cube.tobytes())])
-        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(group, mask=group == np.iinfo(np.int64).min), raw], ["pixel_id", "grp", "cells"])
+        out.append(pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(np.arange(0, (len(ids) + 1) * size, size, dtype=np.int32)), pa.py_buffer(cube.tobytes())]))
+        return pa.RecordBatch.from_arrays(out, ["pixel_id", "grp", "cells"] if len(out) == 3 else ["pixel_id", "cells"])
 
     return run
 
 
 def series(months: DataFrame, n_bands: int = len(BANDS)) -> DataFrame:
-    """One row per pixel: its group and its cells as little-endian int16, band by band, month by month; 0 where no usable value is."""
-    rows = months.select("pixel_id", "month_no", "grp", *[f"v{i}" for i in range(n_bands)])
-    return rows.repartition("pixel_id").sortWithinPartitions("pixel_id").mapInArrow(_pixels(n_bands), "pixel_id bigint, grp bigint, cells binary")
+    """One row per pixel: its group (if months have one) and its cells as little-endian int16, band by band, month by month; 0 where no usable value is."""
+    grouped = ["grp"] if "grp" in months.columns else []
+    word = lambda k: reduce(lambda a, b: a.bitwiseOR(b), [F.shiftleft(F.coalesce(F.col(f"v{i}").cast("bigint"), F.lit(0).cast("bigint")), 15 * (i % PER_WORD)) for i in range(k * PER_WORD, min(n_bands, (k + 1) * PER_WORD))])
+    rows = months.select("pixel_id", "month_no", *[word(k).alias(f"w{k}") for k in range(-(-n_bands // PER_WORD))], *grouped)
+    shape = "pixel_id bigint, grp bigint, cells binary" if grouped else "pixel_id bigint, cells binary"
+    return rows.repartition("pixel_id").sortWithinPartitions("pixel_id").mapInArrow(_pixels(n_bands), shape)
 
 
 def _filler(bands: Sequence[int], max_gap: int, max_carry: int):
@@ -131,7 +144,7 @@ def fill_grid(cells: DataFrame, bands: Sequence[int] = BANDS, max_gap: int = 6,
     months = monthly(cells, bands)
     pixels = series(months, n)
     everyone = F.array(F.col("grp"), F.lit(0).cast("bigint"))  # 0 stands for all pixels
-    by_month = months.where(F.col("month_no").between(1, MONTHS)).groupBy("grp", "month_no").agg(*[F.sum(f"v{i}").alias(f"s{i}") for i in range(n)], *[F.count(f"v{i}").alias(f"c{i}") for i in range(n)])
+    by_month = months.groupBy("grp", "month_no").agg(*[F.sum(f"v{i}").alias(f"s{i}") for i in range(n)], *[F.count(f"v{i}").alias(f"c{i}") for i in range(n)])
     by_month = by_month.withColumn("grp", F.explode(everyone)).where(F.col("grp").isNotNull()).groupBy("grp", "month_no").agg(*[F.sum(f"s{i}").cast("double").alias(f"s{i}") for i in range(n)], *[F.sum(f"c{i}").cast("double").alias(f"c{i}") for i in range(n)])
     ratio = lambda s, c: F.try_divide(s, c)
     cell = [F.max(F.when(F.col("month_no") == m, ratio(F.col(f"s{i}"), F.col(f"c{i}")))) for i in range(n) for m in range(1, MONTHS + 1)]

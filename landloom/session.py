@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CUTS: list[str] = []
+
 
 def local_session(cores: int = 8, partitions: int | None = None, app: str = "landloom") -> SparkSession:
     """A session for tests and benches; clusters bring their own."""
@@ -36,6 +39,20 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage ends here, and a lost executor costs nothing."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df written as a compressed table in the shared folder and read back: lineage ends here, a lost executor costs nothing, and later reads are pruned by column.
+
+    The tables stay until `drop_cuts` or until the folder is cleared, as results that are still lazy may read them.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    _CUTS.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_cuts(spark: SparkSession) -> None:
+    """Deletes the tables that `cut` wrote in this process. Call it when no result that reads them is needed any more."""
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    while _CUTS:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_CUTS.pop())
+        path.getFileSystem(hadoop).delete(path, True)
