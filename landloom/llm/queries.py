@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landloom.llm import calibrate, leak, overlap, pack, reading
+from landloom.llm import calibrate, cluster, leak, overlap, pack, reading
+from landloom.operators.gapfill import monthly, series
 from landloom.session import cut
 from landloom.operators.records import split_kind, with_category, with_place
 from landloom.plans.sql_common import CATEGORY, DATASET
@@ -56,6 +57,20 @@ def p2_sample(spark: SparkSession, d: str) -> DataFrame:
     return calibrate.draw(rows, calibrate.plan(rows, table(spark, d, "class_targets")))
 
 
+def _groups(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return cluster.groups(series(monthly(table(spark, d, "composites"), grouped=False)))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    members, _ = _groups(spark, d)
+    return members.where("pixel_id <> least").select(F.col("least").alias("pixel_id_lo"), F.col("pixel_id").alias("pixel_id_hi"))
+
+
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Each group with its size and its three most typical members."""
+    return cluster.typical(*_groups(spark, d))
+
+
 def p6_packs(spark: SparkSession, d: str) -> DataFrame:
     sizes = cut(pack.count_tokens(table(spark, d, "documents"), pack.tokenizer_path()))
     return pack.pack(sizes, table(spark, d, "pack_sizes"))
@@ -87,7 +102,7 @@ def p8_profile(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found, "p1_split_report": p1_split_report, "p1_coverage": p1_coverage, "p2_found": p2_found, "p2_report": p2_report, "p2_sample": p2_sample,
-    "p6_packs": p6_packs, "p6_usage": p6_usage, "p7_found": p7_found, "p7_spans": p7_spans,
+    "p5_found": p5_found, "p5_groups": p5_groups, "p6_packs": p6_packs, "p6_usage": p6_usage, "p7_found": p7_found, "p7_spans": p7_spans,
     "p8_levels": p8_levels, "p8_profile": p8_profile,
 }
 
