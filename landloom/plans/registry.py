@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from landloom.plans import local, timeline
+
 QUERIES: dict = {}
 SQL: dict = {}
+for module in (local, timeline):
+    QUERIES |= module.QUERIES
+    SQL |= module.SQL
