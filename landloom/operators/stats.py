@@ -87,7 +87,8 @@ def clip_quantiles(df: DataFrame, keys: Sequence[str], value: str, lo: float = 0
     """Values outside a group's quantiles are moved onto them."""
     q = df.groupBy(*keys).agg(F.percentile(F.col(value).cast("double"), F.array(F.lit(lo), F.lit(hi))).alias("_q"))
     d = df.join(q, list(keys)) if keys else df.withColumn("_k", F.lit(0)).join(q.withColumn("_k", F.lit(0)), "_k").drop("_k")
-    return d.withColumn(value, F.least(F.greatest(F.col(value).cast("double"), F.col("_q")[0]), F.col("_q")[1])).drop("_q")
+    v = F.col(value).cast("double")  # null stays null: least and greatest would skip it
+    return d.withColumn(value, F.when(v.isNotNull(), F.least(F.greatest(v, F.col("_q")[0]), F.col("_q")[1]))).drop("_q")
 
 
 def constant_features(df: DataFrame, columns: Sequence[str]) -> list[str]:
@@ -272,17 +273,15 @@ def flatten_keys(d: Mapping, parent: str = "") -> dict:
 
 def parameter_grid(spark, values: Mapping[str, Sequence], ordinal: str = "ordinal") -> DataFrame:
     """The cartesian product of small lists in the order of nested loops (last varies fastest)."""
-    out, weight = None, 1
-    frames = []
+    out, weights, weight = spark.range(1, numPartitions=1).select(F.lit(0).cast("bigint").alias(ordinal)), {}, 1
     for name in reversed(list(values)):
-        vals = list(values[name])
+        weights[name] = weight
+        weight *= len(values[name])
+    for name, vals in values.items():
         kind = "boolean" if all(isinstance(v, bool) or v is None for v in vals) else "string"
-        frames.insert(0, (name, spark.createDataFrame([(v, i * weight) for i, v in enumerate(vals)], f"{name} {kind}, _o_{name} bigint")))
-        weight *= len(vals)
-    for name, f in frames:
-        out = f if out is None else out.crossJoin(f)
-    total = sum((F.col(f"_o_{n}") for n in values), F.lit(0).cast("bigint"))
-    return out.withColumn(ordinal, total).drop(*[f"_o_{n}" for n in values])
+        cells = [F.struct(F.lit(v).cast(kind).alias("v"), F.lit(i * weights[name]).cast("bigint").alias("o")) for i, v in enumerate(vals)]
+        out = out.withColumn("_c", F.explode(F.array(*cells))).select(*[c for c in out.columns if c != ordinal], F.col("_c.v").alias(name), (F.col(ordinal) + F.col("_c.o")).alias(ordinal))
+    return out
 
 
 def prune_grid(grid: DataFrame, ordinal: str = "ordinal") -> DataFrame:

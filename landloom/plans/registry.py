@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from landloom.plans import local, timeline
+from landloom.plans import local, models, relations, spatial, timeline
 
 QUERIES: dict = {}
 SQL: dict = {}
-for module in (local, timeline):
+for module in (local, timeline, spatial, relations, models):
     QUERIES |= module.QUERIES
     SQL |= module.SQL
