@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from landloom.plans import local, models, relations, spatial, timeline
+from landloom.plans import local, models, relations, spatial, steps, timeline
 
 QUERIES: dict = {}
 SQL: dict = {}
-for module in (local, timeline, spatial, relations, models):
+for module in (local, timeline, spatial, relations, models, steps):
     QUERIES |= module.QUERIES
     SQL |= module.SQL
