@@ -184,7 +184,7 @@ def mutual_information(df: DataFrame, columns: Sequence[str], label: str, k: int
             span = np.stack([np.abs(own[np.minimum(lo + j, len(own) - 1)] - v[at]) for j in range(2 * kk + 1)], 1)
             real = np.stack([lo + j < len(own) for j in range(2 * kk + 1)], 1)
             radius = np.sort(np.where(real, span, np.inf), 1)[:, kk]
-            radius = np.nextafter(radius, 0)
+            radius = np.maximum(radius - 4 * np.spacing(np.abs(v[at]) + radius), 0)  # the k-th neighbour itself stays out, whatever the sums round to
             within[at] = np.searchsorted(s, v[at] + radius, side="right") - np.searchsorted(s, v[at] - radius, side="left")
             near[at], per[at] = kk, len(at)
         n = len(v)

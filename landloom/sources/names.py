@@ -9,7 +9,7 @@ from landloom.functions.scalars import composite_name, dem_name, month_start, sc
 
 
 def list_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """(path, name) of files, by the binary source's listing; contents are never read."""
+    """(path, name) of files, by the binary source's listing; contents are never read. Files of zero length are not listed."""
     d = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path).select("path")
     return d.withColumn("name", F.regexp_extract("path", r"([^/]*)$", 1))
 
