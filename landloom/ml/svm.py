@@ -318,3 +318,15 @@ def rfecv(x: np.ndarray, y: np.ndarray, names: Sequence[str], c: float = 1.0, k:
     best = int(np.argmax(mean)) + 1
     keep = set(found[-1][0][-best:])
     return [n for i, n in enumerate(names) if i in keep]
+
+
+MODEL = "kind string, a array<string>, b string, gamma double, kernel string, bias double, coef array<double>, sv array<array<double>>, knots array<double>, values array<double>"
+
+
+def save(spark, ensemble: Ensemble, path: str) -> None:
+    """The model as a JSON table; an existing one is replaced."""
+    spark.createDataFrame([tuple(r[c.split()[0]] for c in MODEL.split(", ")) for r in ensemble.to_rows()], MODEL).coalesce(1).write.mode("overwrite").json(path)
+
+
+def load(spark, path: str) -> Ensemble:
+    return Ensemble.from_rows([r.asDict() for r in spark.read.schema(MODEL).json(path).collect()])  # a model: bounded by MOST_ROWS support vectors

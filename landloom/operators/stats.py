@@ -19,12 +19,19 @@ def clean(c: str) -> Column:
     return F.when(~F.isnan(v), v)
 
 
-def scaler_stats(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (), q: tuple[float, float] = (0.001, 0.999)) -> DataFrame:
+def quantiles(v: Column, q: Sequence[float], accuracy: int | None = None) -> Column:
+    """Exact, interpolated quantiles: the aggregate keeps one count per different value, which 16-bit numbers bound. Columns of continuous values beyond a task's memory need
+    `accuracy`: then the sketch of percentile_approx, whose error is 1 / accuracy of the rows."""
+    qs = F.array(*[F.lit(float(x)) for x in q])
+    return F.percentile(v, qs) if accuracy is None else F.percentile_approx(v, qs, accuracy)
+
+
+def scaler_stats(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (), q: tuple[float, float] = (0.001, 0.999), accuracy: int | None = None) -> DataFrame:
     """(keys, feature, mean, std, min, max, q_min, q_max) of all columns in one pass; std is the population's."""
     aggs = []
     for i, c in enumerate(columns):
         v = clean(c)
-        aggs += [F.avg(v).alias(f"mean{i}"), F.stddev_pop(v).alias(f"std{i}"), F.min(v).alias(f"min{i}"), F.max(v).alias(f"max{i}"), F.percentile(v, F.array(*map(F.lit, q))).alias(f"q{i}")]
+        aggs += [F.avg(v).alias(f"mean{i}"), F.stddev_pop(v).alias(f"std{i}"), F.min(v).alias(f"min{i}"), F.max(v).alias(f"max{i}"), quantiles(v, q, accuracy).alias(f"q{i}")]
     wide = df.groupBy(*keys).agg(*aggs)
     rows = [F.struct(F.lit(c).alias("feature"), *[F.col(f"{s}{i}").alias(s) for s in ("mean", "std", "min", "max")], F.col(f"q{i}")[0].alias("q_min"), F.col(f"q{i}")[1].alias("q_max")) for i, c in enumerate(columns)]
     return wide.select(*keys, F.explode(F.array(*rows)).alias("r")).select(*keys, "r.*")
@@ -83,14 +90,37 @@ def preprocess(df: DataFrame, by_prefix: Sequence[tuple[str, str]], default: str
     return s.fit_transform(df), s
 
 
-def clip_quantiles(df: DataFrame, keys: Sequence[str], value: str, lo: float = 0.001, hi: float = 0.999) -> DataFrame:
+def clip_quantiles(df: DataFrame, keys: Sequence[str], value: str, lo: float = 0.001, hi: float = 0.999, accuracy: int | None = None) -> DataFrame:
     """Values outside a group's quantiles are moved onto them."""
-    q = df.groupBy(*keys).agg(F.percentile(F.col(value).cast("double"), F.array(F.lit(lo), F.lit(hi))).alias("_q"))
+    q = df.groupBy(*keys).agg(quantiles(F.col(value).cast("double"), (lo, hi), accuracy).alias("_q"))
     d = df.join(q, list(keys)) if keys else df.withColumn("_k", F.lit(0)).join(q.withColumn("_k", F.lit(0)), "_k").drop("_k")
     v = F.col(value).cast("double")  # null stays null: least and greatest would skip it
     return d.withColumn(value, F.when(v.isNotNull(), F.least(F.greatest(v, F.col("_q")[0]), F.col("_q")[1]))).drop("_q")
 
 
+def select_features(columns: Sequence[str], use_bands: bool = True, use_glcm: bool = True, use_other: bool = True, fixed: Sequence[str] = (), ids: Sequence[str] = ("x", "y", "ground_truth_index", "ground_truth_label", "split")) -> list[str]:
+    """Feature columns by group of their prefix (band, GLCM, other); fixed ones always; order as in the table."""
+    group = lambda c: use_bands if c.startswith("band") else use_glcm if c.startswith("GLCM") else use_other
+    return [c for c in columns if c not in ids and (c in fixed or group(c))]
+
+
+def distance_histogram(df: DataFrame, dx: Column, dy: Column, bins: int = 100) -> DataFrame:
+    """(bin, n) of Euclidean distances over equal bins from the least to the greatest."""
+    d = df.select(F.sqrt(dx * dx + dy * dy).alias("d"))
+    b = d.agg(F.min("d").alias("lo"), F.max("d").alias("hi")).withColumn("_k", F.lit(0))
+    j = d.withColumn("_k", F.lit(0)).join(b, "_k")
+    at = F.coalesce(F.floor(F.try_divide(F.col("d") - F.col("lo"), F.col("hi") - F.col("lo")) * bins), F.lit(0))
+    return j.select(F.least(F.lit(bins - 1), at).cast("int").alias("bin")).groupBy("bin").agg(F.count("*").alias("n"))
+
+
+def metric_table(df: DataFrame, columns: Sequence[str], pattern: str = r"^(.*)_([^_]+)_(precision|recall|f1-score|support)$") -> DataFrame:
+    """(prefix, class, precision, recall, f1-score, support) from columns named PREFIX_class_metric; only classes with all four."""
+    named = [F.struct(F.lit(c).alias("name"), F.col(f"`{c}`").cast("double").alias("v")) for c in columns]
+    long = df.select(F.explode(F.array(*named)).alias("r")).select("r.*").withColumns({"prefix": F.regexp_extract("name", pattern, 1), "class": F.regexp_extract("name", pattern, 2), "metric": F.regexp_extract("name", pattern, 3)})
+    wide = long.where("metric <> ''").groupBy("prefix", "class").pivot("metric", ["precision", "recall", "f1-score", "support"]).agg(F.max("v"))
+    return wide.where("precision is not null and recall is not null and `f1-score` is not null and support is not null")
+
+
 def constant_features(df: DataFrame, columns: Sequence[str]) -> list[str]:
     if not columns:
         return []
@@ -217,9 +247,9 @@ def class_report(conf: DataFrame) -> DataFrame:
     return per.select(F.col("k").cast("string").alias("label"), "precision", "recall", "f1", "support").unionByName(a.select(F.explode(extra).alias("r")).select("r.*"))
 
 
-def calibration_curve(df: DataFrame, truth: Column, proba: str, bins: int = 10) -> DataFrame:
+def calibration_curve(df: DataFrame, truth: Column, proba: str, bins: int = 10, accuracy: int | None = None) -> DataFrame:
     """(bin, mean_predicted, fraction_positive, n) over quantile bins; empty bins don't come out."""
-    edges = df.agg(F.percentile(proba, F.array(*[F.lit(i / bins) for i in range(bins + 1)])).alias("_e"))
+    edges = df.agg(quantiles(F.col(proba), [i / bins for i in range(bins + 1)], accuracy).alias("_e"))
     d = df.withColumn("_k", F.lit(0)).join(edges.withColumn("_k", F.lit(0)), "_k")
     inner = F.slice(F.col("_e"), 2, bins - 1)
     number = F.size(F.filter(inner, lambda e: e < F.col(proba)))

@@ -45,20 +45,26 @@ def common_classes(a: DataFrame, b: DataFrame, class_id: str) -> tuple[DataFrame
     return a.join(ids, class_id, "left_semi"), b.join(ids, class_id, "left_semi")
 
 
-def systematic_sample(df: DataFrame, class_id: str, n: int, order: Sequence[str] = ("y", "x"), salts: int = 64) -> DataFrame:
-    """Of each class every k-th pixel in row-major order, n at most, k = class size div n.
-
-    The rank within a class is an offset per (class, first order column) plus a rank inside it, so a class of any size is ranked in many tasks.
-    """
-    first = order[0]
-    counts = df.groupBy(class_id, first).agg(F.count("*").alias("_c"))
-    w = Window.partitionBy(class_id).orderBy(first)
-    offsets = counts.select(class_id, first, (F.sum("_c").over(w) - F.col("_c")).alias("_off"), F.sum("_c").over(Window.partitionBy(class_id)).alias("_all"))
-    inner = Window.partitionBy(class_id, first).orderBy(*order[1:])
-    ranked = df.withColumn("_r", F.row_number().over(inner) - 1).join(offsets, [class_id, first])
-    rank, take = F.col("_off") + F.col("_r"), F.least(F.lit(n), F.col("_all"))
-    every = F.greatest(F.lit(1).cast("bigint"), F.floor(F.col("_all") / take))
-    return ranked.where((rank % every == 0) & (F.floor(rank / every) < take)).drop("_r", "_off", "_all")
+def ranked(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[Column | str]) -> DataFrame:
+    """Adds _rank (from 0) and _size per group, in order of bucket and then `order`. The rank is an offset per (group, bucket) plus a rank inside it, so a group of any size
+    is ranked in as many tasks as it has buckets; what goes through a window over the whole group is one row per bucket."""
+    d = df.withColumn("_bucket", bucket)
+    counts = d.groupBy(*keys, "_bucket").agg(F.count("*").alias("_c"))
+    line, whole = Window.partitionBy(*keys).orderBy("_bucket"), Window.partitionBy(*keys)
+    offsets = counts.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], F.col("_bucket").alias("_b"), (F.sum("_c").over(line) - F.col("_c")).alias("_off"), F.sum("_c").over(whole).alias("_size"))
+    inner = F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(*order)) - 1
+    same = F.col("_bucket").eqNullSafe(F.col("_b"))
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_key{i}"))
+    return d.withColumn("_r", inner).join(offsets, same).withColumn("_rank", F.col("_off") + F.col("_r")).drop("_bucket", "_b", "_r", "_off", *[f"_key{i}" for i in range(len(keys))])
+
+
+def systematic_sample(df: DataFrame, class_id: str, n: int, order: Sequence[str] = ("y", "x")) -> DataFrame:
+    """Of each class every k-th pixel in row-major order, n at most, k = class size div n. Rows of the raster are the buckets of the rank."""
+    d = ranked(df, [class_id], F.col(order[0]), order[1:])
+    take = F.least(F.lit(n), F.col("_size"))
+    every = F.greatest(F.lit(1).cast("bigint"), F.floor(F.col("_size") / take))
+    return d.where((F.col("_rank") % every == 0) & (F.floor(F.col("_rank") / every) < take)).drop("_rank", "_size")
 
 
 def point_lookup(points: DataFrame, raster: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -79,27 +85,29 @@ def pseudo_random(key: Column, modulus: int = 1000003) -> Column:
     return (key.cast("bigint") * F.lit(2654435761)) % F.lit(modulus)
 
 
-def enhance(small: DataFrame, pool: DataFrame, class_id: str, target: int, order: Column) -> DataFrame:
-    """Tops each class of `small` up to `target` rows from `pool` (same columns), in the order given; a pool that is too small is used again and again."""
+RANDOM_BUCKET = 2048  # width of the pseudo-random order's buckets: some 500 buckets per class
+
+
+def enhance(small: DataFrame, pool: DataFrame, class_id: str, target: int, order: Column, ties: Sequence[str] = ()) -> DataFrame:
+    """Tops each class of `small` up to `target` rows from `pool` (same columns), in the order given (a whole number such as pseudo_random gives, ties by columns); a pool that is too small is used again and again."""
     have = small.groupBy(class_id).agg(F.count("*").alias("_have")).where(F.col("_have") < target)
-    sizes = pool.groupBy(class_id).agg(F.count("*").alias("_pool"))
-    need = have.join(sizes, class_id).withColumn("_need", F.lit(target) - F.col("_have"))
-    ranked = pool.withColumn("_r", F.row_number().over(Window.partitionBy(class_id).orderBy(order, *[F.col(c) for c in pool.columns if c != class_id])) - 1).join(need, class_id)
-    times = F.ceil((F.col("_need") - F.col("_r")) / F.col("_pool"))
-    extra = ranked.where(F.col("_r") < F.col("_need")).withColumn("_t", F.explode(F.sequence(F.lit(1).cast("bigint"), times))).select(*pool.columns)
+    need = have.select(class_id, (F.lit(target) - F.col("_have")).alias("_need"))
+    d = ranked(pool.withColumn("_o", order), [class_id], F.floor(F.col("_o") / RANDOM_BUCKET), ["_o", *(ties or [c for c in pool.columns if c != class_id])]).join(need, class_id)
+    times = F.ceil((F.col("_need") - F.col("_rank")) / F.col("_size"))
+    extra = d.where(F.col("_rank") < F.col("_need")).withColumn("_t", F.explode(F.sequence(F.lit(1).cast("bigint"), times))).select(*pool.columns)
     return small.unionByName(extra)
 
 
-def stratified_split(df: DataFrame, class_id: str, order: Column, shares: Sequence[tuple[str, float]]) -> DataFrame:
-    """Adds split: rows of a class in the order given are cut at the cumulative shares."""
-    w = Window.partitionBy(class_id)
-    at = (F.row_number().over(w.orderBy(order)) - 0.5) / F.count("*").over(w)
+def stratified_split(df: DataFrame, class_id: str, order: Column, shares: Sequence[tuple[str, float]], ties: Sequence[str] = ()) -> DataFrame:
+    """Adds split: rows of a class in the order given (a whole number, ties by columns) are cut at the cumulative shares."""
+    d = ranked(df.withColumn("_o", order), [class_id], F.floor(F.col("_o") / RANDOM_BUCKET), ["_o", *ties])
+    at = (F.col("_rank") + 0.5) / F.col("_size")
     label, edge = None, 0.0
     for name, share in shares[:-1]:
         edge += share
         label = F.when(at <= edge, name) if label is None else label.when(at <= edge, name)
     last = shares[-1][0]
-    return df.withColumn("split", label.otherwise(last) if label is not None else F.lit(last))
+    return d.withColumn("split", label.otherwise(last) if label is not None else F.lit(last)).drop("_o", "_rank", "_size")
 
 
 def common_extent(extents: DataFrame) -> DataFrame:

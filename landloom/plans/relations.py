@@ -89,8 +89,7 @@ _SHUFFLED = "(row_id * 2654435761) % 1000003"
   SELECT row_id, category, CASE WHEN q <= 0.8::DOUBLE THEN 'train' WHEN q <= 0.8::DOUBLE + 0.1::DOUBLE THEN 'test' ELSE 'cal' END AS split FROM k""")
 def stratified_split(spark, d):
     u = base.labelled(spark, d).where("category is not null").select("row_id", "category")
-    k = u.withColumn("_o", F.struct(vector.pseudo_random(F.col("row_id")), "row_id"))
-    return vector.stratified_split(k, "category", F.col("_o"), [("train", 0.8), ("test", 0.1), ("cal", 0.1)]).drop("_o")
+    return vector.stratified_split(u, "category", vector.pseudo_random(F.col("row_id")), [("train", 0.8), ("test", 0.1), ("cal", 0.1)], ["row_id"])
 
 
 @query(f"""WITH {base.LABELLED}, u AS (SELECT row_id, category, source FROM labelled WHERE category IS NOT NULL), small AS (SELECT row_id, category FROM u WHERE source = 'drone_pass'), pool AS (SELECT row_id, category FROM u WHERE source = 'field_survey'),

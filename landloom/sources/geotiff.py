@@ -116,9 +116,11 @@ class _File(InputPartition):
 
 class _Reader(DataSourceReader):
     def __init__(self, options):
-        self.path = options["path"]
+        self.path, self.paths = options.get("path"), options.get("paths")
 
     def partitions(self):
+        if self.paths is not None:
+            return [_File(p) for p in self.paths.split("\n") if p] or [_File("")]
         p = Path(self.path)
         return [_File(str(f)) for f in ([p] if p.is_file() else sorted([*p.rglob("*.tif"), *p.rglob("*.tiff")]))] or [_File("")]
 

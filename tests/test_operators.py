@@ -221,7 +221,7 @@ def test_smo_meets_optimality_conditions():
     assert np.allclose((y * f)[free], 1, atol=2e-3)
 
 
-def test_ensemble_modes_and_model_table(spark):
+def test_ensemble_modes_and_model_table(spark, tmp_path):
     rng = np.random.default_rng(3)
     centre = np.array([[0, 0], [4, 0], [0, 4.0]])
     y = rng.integers(0, 3, 240)
@@ -235,6 +235,8 @@ def test_ensemble_modes_and_model_table(spark):
     assert np.allclose(again.proba(x, "multiclass"), e.proba(x, "multiclass"))
     with pytest.raises(ValueError):
         e.proba(x, "nonsense")
+    svm.save(spark, e, str(tmp_path / "model"))
+    assert np.allclose(svm.load(spark, str(tmp_path / "model")).proba(x, "binary"), e.proba(x, "binary"))
 
 
 def test_normalise_edge_cases():
@@ -280,3 +282,27 @@ def test_dataset_kinds(spark):
     assert {r.class_id: r["count"] for r in more} == {1: 4, 2: 4}
     with pytest.raises(ValueError):
         pipelines.build_dataset(a, b, "other", F.col("row_id"))
+
+
+def test_feature_groups_metric_table_and_distances(spark):
+    cols = ["x", "y", "band_1_month_1", "GLCM_energy", "slope"]
+    assert stats.select_features(cols, use_glcm=False) == ["band_1_month_1", "slope"]
+    assert stats.select_features(cols, False, False, False, fixed=["slope"]) == ["slope"]
+    df = spark.createDataFrame([(1.0, 2.0, 3.0, 4.0, 9.0)], "SVM_a_precision double, SVM_a_recall double, `SVM_a_f1-score` double, SVM_a_support double, SVM_b_recall double")
+    r = stats.metric_table(df, df.columns).collect()
+    assert [(x["class"], x["f1-score"]) for x in r] == [("a", 3.0)]
+    d = spark.createDataFrame([(0.0, 0.0), (3.0, 4.0), (0.1, 0.0)], "dx double, dy double")
+    assert {x.bin: x.n for x in stats.distance_histogram(d, F.col("dx"), F.col("dy"), 10).collect()} == {0: 2, 9: 1}
+
+
+def test_report_with_a_class_never_predicted(spark):
+    conf = spark.createDataFrame([("a", "a", 3), ("b", "a", 1)], "truth string, pred string, n long")
+    r = {x.label: x for x in stats.class_report(conf).collect()}
+    assert (r["b"].precision, r["b"].recall, r["b"].f1) == (0.0, 0.0, 0.0) and r["accuracy"].f1 == 0.75 and abs(r["macro avg"].recall - 0.5) < 1e-12
+
+
+def test_mask_refinement_pipeline_runs_on_one_date(spark):
+    rows = [("T", dt.datetime(2020, 5, 1), y, x, 500 + 10 * x, 900, 800, y == 0, False) for y in range(4) for x in range(5)]
+    df = spark.createDataFrame(rows, "tile string, time timestamp, y int, x int, blue int, nir int, swir int, cloud boolean, shadow boolean")
+    out = pipelines.masks_refinement(df)
+    assert out.count() == 20 and out.where("cloud and not cloud_refined").count() == 0

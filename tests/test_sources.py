@@ -83,3 +83,27 @@ def test_catalogue_kml_and_scrape(spark, tmp_path):
     lines = spark.createDataFrame([("f", "<Cloud>12.5</Cloud>"), ("f", "<Orbit id='x'>R106</Orbit>")], "file string, value string")
     got = names.metadata_scrape(lines, {"cloud": "Cloud", "orbit": "Orbit"}).first()
     assert (got.cloud, got.orbit) == ("12.5", "R106")
+
+
+def test_loaders_prune_and_explode(spark, tmp_path):
+    from landloom.sources import loaders
+
+    a = np.arange(12, dtype=np.uint16).reshape(1, 3, 4) + 1
+    for n in ("mosaic_T21KUQ2019_1.tif", "mosaic_T21KUQ2019_2.tif", "mosaic_T20MRA2019_1.tif"):
+        geotiff.write_tiff(str(tmp_path / n), a, [0.0, 10.0, 0.0, 100.0, 0.0, -10.0])
+    c = loaders.load_composites(spark, str(tmp_path), tile="21KUQ")
+    assert c.count() == 24 and c.where("time = date'2019-02-01' and y = 2 and x = 3").first().value == 12
+    lc = loaders.load_landcover(spark, str(tmp_path / "mosaic_T20MRA2019_1.tif"))
+    assert {(r.y, r.x): r.class_id for r in lc.collect()}[1, 1] == 6
+    b = loaders.blocks(spark, names.list_files(spark, str(tmp_path), "*20MRA*"), ["name"])
+    assert loaders.within_bounds(b, 0, 0, 20, 100).count() == 1 and loaders.within_bounds(b, 500, 0, 600, 100).count() == 0
+
+
+def test_scenes_offset_and_labels(spark, tmp_path):
+    from landloom.sources import loaders
+
+    n = "S2A_MSIL2A_20190719T070631_N0213_R106_T42WXS_20190719T102226.tif"
+    geotiff.write_tiff(str(tmp_path / n), np.array([[[500, 1500]], [[8, 3]], [[7, 7]]], np.uint16))
+    s = loaders.load_scenes(spark, str(tmp_path), 2019, "42WXS", "S2", ["B2", "SCL", "AOT"], -1000)
+    got = {(r.label, r.x): r.value for r in s.collect()}
+    assert got == {("B2", 0): 0, ("B2", 1): 500, ("SCL", 0): 8, ("SCL", 1): 3} and s.first().season_id == "42WXS2019_3"
