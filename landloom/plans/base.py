@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from landloom.operators.gapfill import dated, monthly, value_of
 from landloom.operators.records import month_of, with_category, with_place
 from landloom.plans.sql_common import CATEGORY, MONTH
 from landloom.plans.tables import table
@@ -15,8 +16,7 @@ BANDS = (1, 2, 3, 4, 9, 10)
 def cells(spark: SparkSession, d: str) -> DataFrame:
     """(pixel_id, band, month_no, v): the latest usable value of each cell."""
     c = table(spark, d, "composites").where(F.col("pixel_id").isNotNull() & F.col("band_data").between(1, 20000))
-    at = F.coalesce("processed_at", F.lit("1900-01-01").cast("timestamp"))
-    g = c.groupBy("pixel_id", "band", month_of(F.col("time"), F.col("file_name")).alias("month_no")).agg(F.max(F.struct(at.alias("at"), F.col("band_data").alias("v")))["v"].alias("v"))
+    g = c.groupBy("pixel_id", "band", month_of(F.col("time"), F.col("file_name")).alias("month_no")).agg(value_of(F.max(dated(F.col("processed_at"), F.col("band_data")))).alias("v"))
     return g.where(F.col("month_no").isNotNull())
 
 
@@ -26,7 +26,9 @@ CELLS = f"""cells AS (SELECT pixel_id, band, month_no, max({{'at': coalesce(proc
 
 def wide(spark: SparkSession, d: str) -> DataFrame:
     """One row per pixel and month with a column per band."""
-    return cells(spark, d).groupBy("pixel_id", "month_no").agg(*[F.max(F.when(F.col("band") == b, F.col("v"))).alias(f"b{b}") for b in BANDS])
+    m = monthly(table(spark, d, "composites"), BANDS, grouped=False).where(F.col("month_no").isNotNull())
+    m = m.select("pixel_id", "month_no", *[F.col(f"v{i}").alias(f"b{b}") for i, b in enumerate(BANDS)])
+    return m.where(F.coalesce(*[f"b{b}" for b in BANDS]).isNotNull())
 
 
 WIDE = f"""{CELLS}, wide AS (SELECT pixel_id, month_no, {", ".join(f"max(CASE WHEN band = {b} THEN v END) AS b{b}" for b in BANDS)} FROM cells GROUP BY ALL)"""
