@@ -2,7 +2,7 @@
 
 Both joins hash to grid cells and verify exactly. No side is broadcast by hint and no cross join is made.
 
-* `within_distance`: cells have the edge of the radius, the right side is written to the nine cells around it, the join is an
+* `within_distance`: cells have twice the radius as edge, the right side is written to the cells that its reach meets (four at most), the join is an
   equi-join on the cell. With metric='haversine' x and y are degrees of longitude and latitude and the distance is the great circle's.
 * `containing_regions`: a region goes to the level of a doubling grid whose cell edge is at least its extent, so it lies in four
   cells at most, however large it is; a point is looked up once on each level that occurs.
@@ -56,11 +56,12 @@ def within_distance(
     b = b.distinct()
     sites = a.select("ax", "ay", "at").distinct()
     if metric == "plane":
-        cell = lambda x, y: (F.floor(x / F.lit(float(radius))), _row_of(y, radius))
-        (cx, cy), (dx, dy) = cell(F.col("ax"), F.col("ay")), cell(F.col("bx"), F.col("by"))
-        near = F.explode(F.expr("flatten(transform(sequence(-1, 1), i -> transform(sequence(-1, 1), j -> struct(_dx + i as gx, _dy + j as gy))))"))
-        right_cells = b.withColumns({"_dx": dx, "_dy": dy}).withColumn("_g", near).select("*", "_g.gx", "_g.gy").drop("_g", "_dx", "_dy")
-        left_cells = sites.withColumns({"gx": cx, "gy": cy})
+        # Cells as wide as the whole reach: a right row's reach meets four cells at most, and it is written to those; the pad keeps rounding on the safe side.
+        edge = F.lit(2.0 * radius)
+        reach = lambda c: F.lit(radius * (1 + 1e-6)) + F.abs(c) * F.lit(1e-15)
+        span = lambda c: F.sequence(F.floor((F.col(c) - reach(F.col(c))) / edge), F.floor((F.col(c) + reach(F.col(c))) / edge))
+        right_cells = b.withColumn("gx", F.explode(span("bx"))).withColumn("gy", F.explode(span("by")))
+        left_cells = sites.withColumns({"gx": F.floor(F.col("ax") / edge), "gy": F.floor(F.col("ay") / edge)})
         dist = F.sqrt((F.col("ax") - F.col("bx")) * (F.col("ax") - F.col("bx")) + (F.col("ay") - F.col("by")) * (F.col("ay") - F.col("by")))
     else:
         # Rows of latitude as high as the radius; in each, columns as wide as the radius at the row's edge nearer to a pole, wrapping at 180 degrees.
@@ -88,10 +89,9 @@ def within_distance(
     hits = left_cells.join(right_cells, ["gx", "gy"]).withColumn("distance", dist).where(F.col("distance") <= radius)
     if left_tag:
         hits = hits.where(F.col("at") != F.col("bt"))
-    rows = a.distinct()
     return (
         hits.select("ax", "ay", "at", "rid", "distance")
-        .join(rows, ["ax", "ay", "at"] if left_tag else ["ax", "ay"])
+        .join(a, ["ax", "ay", "at"] if left_tag else ["ax", "ay"])
         .select(F.col("lid").alias("left_id"), F.col("rid").alias("right_id"), "distance")
         .distinct()
     )
@@ -125,4 +125,4 @@ def containing_regions(points: DataFrame, regions: DataFrame, point_id: str, reg
     probes = sites.withColumn("edge", F.explode(F.array(*[F.lit(e) for e in edges]) if edges else F.expr("cast(array() as array<double>)"))).withColumns({"gx": F.floor(F.col("px") / F.col("edge")), "gy": F.floor(F.col("py") / F.col("edge"))})
     boxed = probes.join(r, ["edge", "gx", "gy"]).where(F.col("px").between(F.col("x0"), F.col("x1")) & F.col("py").between(F.col("y0"), F.col("y1")))
     hits = boxed.where(F.expr(_INSIDE)).select("px", "py", "rid")
-    return hits.join(p.distinct(), ["px", "py"]).select(F.col("lid").alias("left_id"), F.col("rid").alias("right_id")).distinct()
+    return hits.join(p, ["px", "py"]).select(F.col("lid").alias("left_id"), F.col("rid").alias("right_id")).distinct()

@@ -11,6 +11,18 @@ from pyspark.sql import functions as F
 EVAL_PREFIXES = ("va", "te", "ev", "ho")
 
 
+def fresh(df: DataFrame, *stems: str) -> list[str]:
+    """Names for helper columns that no column of df has."""
+    have = {c.lower() for c in df.columns}
+    out = []
+    for s in stems:
+        name = f"__{s}"
+        while name in have:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def tile_code(tile: Column) -> Column:
     """Trimmed, upper case, without the leading T of the six-character spelling."""
     t = F.upper(F.trim(tile))
@@ -40,12 +52,13 @@ def with_category(df: DataFrame, legend: DataFrame, out: str = "category") -> Da
     legend is a dimension of some dozen rows; only three narrow columns of it are joined, and Spark broadcasts them by size.
     Codes or descriptions that occur twice in the legend count once (least lc_code). Records without a match get null.
     """
-    own = legend.where(F.col("lc_code").isNotNull()).select(F.col("lc_code").alias("__code"), F.col("lc_code").alias("__lc"), F.lit(0).alias("__rank"))
-    inner = legend.where(F.col("internal_code").isNotNull()).select(F.col("internal_code").alias("__code"), F.col("lc_code").alias("__lc"), F.lit(1).alias("__rank"))
-    codes = own.unionByName(inner).groupBy("__code").agg(F.min(F.struct("__rank", "__lc"))["__lc"].alias("__by_code"))
-    names = legend.groupBy(label_key(F.col("description")).alias("__name")).agg(F.min("lc_code").alias("__by_name"))
-    joined = df.join(codes, df["class_id"] == codes["__code"], "left").join(names, label_key(df["class"]) == names["__name"], "left")
-    return joined.withColumn(out, F.coalesce("__by_code", "__by_name")).drop("__code", "__by_code", "__name", "__by_name")
+    code, by_code, name, by_name = fresh(df, "code", "by_code", "name", "by_name")
+    own = legend.where(F.col("lc_code").isNotNull()).select(F.col("lc_code").alias(code), F.col("lc_code").alias("lc"), F.lit(0).alias("rank"))
+    inner = legend.where(F.col("internal_code").isNotNull()).select(F.col("internal_code").alias(code), F.col("lc_code").alias("lc"), F.lit(1).alias("rank"))
+    codes = own.unionByName(inner).groupBy(code).agg(F.min(F.struct("rank", "lc"))["lc"].alias(by_code))
+    names = legend.groupBy(label_key(F.col("description")).alias(name)).agg(F.min("lc_code").alias(by_name))
+    joined = df.join(codes, df["class_id"] == codes[code], "left").join(names, label_key(df["class"]) == names[name], "left")
+    return joined.withColumn(out, F.coalesce(by_code, by_name)).drop(code, by_code, name, by_name)
 
 
 def with_place(df: DataFrame, tiles: DataFrame, px: str = "px", py: str = "py") -> DataFrame:
@@ -53,13 +66,14 @@ def with_place(df: DataFrame, tiles: DataFrame, px: str = "px", py: str = "py")
 
     axis_order 'yx' swaps the stored column and row. tiles has one row per tile; a tile listed twice counts once.
     """
-    corner = tiles.where(F.col("tile").isNotNull()).groupBy(F.col("tile").alias("__tile")).agg(F.min("ul_x").alias("__ulx"), F.min("ul_y").alias("__uly"))
+    code, tile, ulx, uly = fresh(df, "code", "tile", "ulx", "uly")
+    corner = tiles.where(F.col("tile").isNotNull()).groupBy(F.col("tile").alias(tile)).agg(F.min("ul_x").alias(ulx), F.min("ul_y").alias(uly))
     swapped = F.coalesce(F.col("axis_order") == "yx", F.lit(False))
     col, row = F.when(swapped, F.col("y")).otherwise(F.col("x")), F.when(swapped, F.col("x")).otherwise(F.col("y"))
-    joined = df.withColumn("__code", tile_code(F.col("tile"))).join(corner, F.col("__code") == F.col("__tile"), "left")
+    joined = df.withColumn(code, tile_code(F.col("tile"))).join(corner, F.col(code) == F.col(tile), "left")
     ok = F.col("x").isNotNull() & F.col("y").isNotNull()
     return (
-        joined.withColumn(px, F.when(ok, F.col("__ulx") + F.col("pixel_m") * (col + F.lit(0.5))))
-        .withColumn(py, F.when(ok, F.col("__uly") - F.col("pixel_m") * (row + F.lit(0.5))))
-        .drop("__code", "__tile", "__ulx", "__uly")
+        joined.withColumn(px, F.when(ok, F.col(ulx) + F.col("pixel_m") * (col + F.lit(0.5))))
+        .withColumn(py, F.when(ok, F.col(uly) - F.col("pixel_m") * (row + F.lit(0.5))))
+        .drop(code, tile, ulx, uly)
     )

@@ -12,6 +12,7 @@ from landloom.operators.proximity import containing_regions, within_distance
 from landloom.operators.records import with_category, with_place
 from landloom.plans.sql_common import DATASET, MONTH, POINTS
 from landloom.plans.tables import table
+from landloom.session import cut
 
 NEAR_M = 60.0
 
@@ -30,8 +31,10 @@ def _near_points(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    point = _near_points(spark, d).select(F.lit("point").alias("target_kind"), F.col("left_id").alias("row_id"), F.col("right_id").alias("target_id")).distinct()
-    area = containing_regions(_placed(spark, d), table(spark, d, "study_areas"), "row_id", "area_id", ("px", "py"))
+    placed = cut(_placed(spark, d).where(F.col("px").isNotNull()))  # read four times below
+    near = within_distance(placed, _points(spark, d), NEAR_M, "row_id", "point_id", ("px", "py"), ("x", "y"), "category", "category")
+    point = near.select(F.lit("point").alias("target_kind"), F.col("left_id").alias("row_id"), F.col("right_id").alias("target_id")).distinct()
+    area = containing_regions(placed, table(spark, d, "study_areas"), "row_id", "area_id", ("px", "py"))
     return point.unionByName(area.select(F.lit("area").alias("target_kind"), F.col("left_id").alias("row_id"), F.col("right_id").alias("target_id")))
 
 
