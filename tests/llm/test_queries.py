@@ -17,3 +17,31 @@ def test_runs(spark, name):
 
 def test_every_problem_has_its_query():
     assert {f"p{n}_found" for n in (1, 2, 5, 7)} | {"p6_packs", "p8_levels"} <= set(queries.QUERIES)
+
+
+@pytest.fixture(scope="module")
+def places(spark, tmp_path_factory):
+    from variants import build
+
+    return {k: build(spark, tmp_path_factory.mktemp(k), k) for k in ("clashing", "nulls", "empty", "repeated")}
+
+
+@pytest.mark.parametrize("name", ["p1_found", "p1_coverage", "p1_split_report", "p2_found", "p2_report", "p2_sample", "p5_found", "p6_packs", "p7_found", "p7_spans", "p8_levels"])
+def test_dirty_variants(spark, places, name):
+    """Columns of clashing names, null rows and repeated rows change nothing but what they must; empty tables give empty results."""
+    from variants import rows
+
+    f = queries.QUERIES[name]
+    want = rows(f(spark, str(DATA / "sf0.001")))
+    assert want
+    assert rows(f(spark, places["clashing"])) == want
+    if name in ("p6_packs", "p8_levels"):  # a null row is a document of its own, and documents count as often as they stand there
+        assert f(spark, places["nulls"]).count() >= len(want) + 3 and f(spark, places["repeated"]).count() >= 2 * len(want) - 200
+    elif name == "p7_spans":
+        assert rows(f(spark, places["nulls"])) == want and f(spark, places["repeated"]).distinct().count() == len(want)
+    else:
+        kinds = ("nulls", "repeated") if name not in ("p2_report", "p2_sample") else ("repeated",)
+        for kind in kinds:
+            assert rows(f(spark, places[kind])) == want, kind
+        assert f(spark, places["nulls"]).count() >= len(want)
+    assert rows(f(spark, places["empty"])) == []
