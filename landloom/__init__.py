@@ -1,3 +1,10 @@
 """landloom: land-cover and training-data analytics expressed on Spark DataFrames."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Functions that run in Python workers travel whole, so executors need neither this package nor its path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

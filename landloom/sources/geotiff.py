@@ -109,29 +109,20 @@ def write_tiff(path: str, bands: np.ndarray, gt: list[float] | None = None, noda
     Path(path).write_bytes(lay(offsets)[0] + b"".join(strips))
 
 
-class _File(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
-
-
 class _Reader(DataSourceReader):
     def __init__(self, options):
         self.path, self.paths = options.get("path"), options.get("paths")
 
     def partitions(self):
         if self.paths is not None:
-            return [_File(p) for p in self.paths.split("\n") if p] or [_File("")]
+            return [InputPartition(p) for p in self.paths.split("\n") if p] or [InputPartition("")]
         p = Path(self.path)
-        return [_File(str(f)) for f in ([p] if p.is_file() else sorted([*p.rglob("*.tif"), *p.rglob("*.tiff")]))] or [_File("")]
+        return [InputPartition(str(f)) for f in ([p] if p.is_file() else sorted([*p.rglob("*.tif"), *p.rglob("*.tiff")]))] or [InputPartition("")]
 
     def read(self, partition):
-        if partition.path:
-            for band, y0, x0, block, gt in read_blocks(Path(partition.path).read_bytes()):
-                yield partition.path, band, y0, x0, block.shape[0], block.shape[1], block.astype(float).ravel().tolist(), [float(g) for g in gt]
-
-
-class _Message(WriterCommitMessage):
-    pass
+        if partition.value:
+            for band, y0, x0, block, gt in read_blocks(Path(partition.value).read_bytes()):
+                yield partition.value, band, y0, x0, block.shape[0], block.shape[1], block.astype(float).ravel().tolist(), [float(g) for g in gt]
 
 
 class _Writer(DataSourceWriter):
@@ -160,7 +151,7 @@ class _Writer(DataSourceWriter):
                 out = np.clip(np.rint(out), np.iinfo(kind).min, np.iinfo(kind).max)
             write_tiff(f"{to}.part", out.astype(kind), blocks[0].get("gt"))
             os.replace(f"{to}.part", to)
-        return _Message()
+        return WriterCommitMessage()
 
     def commit(self, messages):
         pass

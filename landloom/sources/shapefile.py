@@ -52,11 +52,6 @@ def write_points(path: str, rows: list[tuple[float, float, dict[str, str]]]) ->
     Path(path + ".dbf").write_bytes(out + b"\x1a")
 
 
-class _File(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
-
-
 class _Reader(DataSourceReader):
     def __init__(self, options):
         self.path = options["path"]
@@ -64,12 +59,12 @@ class _Reader(DataSourceReader):
     def partitions(self):
         p = Path(self.path)
         found = [p] if p.is_file() else sorted([*p.rglob("*.zip"), *p.rglob("*.shp")])
-        return [_File(str(f)) for f in found] or [_File("")]
+        return [InputPartition(str(f)) for f in found] or [InputPartition("")]
 
     def read(self, partition):
-        if not partition.path:
+        if not partition.value:
             return
-        p = Path(partition.path)
+        p = Path(partition.value)
         if p.suffix == ".zip":
             with zipfile.ZipFile(io.BytesIO(p.read_bytes())) as z:
                 pairs = [(z.read(n), z.read(n[:-4] + ".dbf")) for n in sorted(z.namelist()) if n.lower().endswith(".shp")]
