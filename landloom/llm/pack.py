@@ -28,7 +28,6 @@ from pyspark.sql import functions as F
 DEFAULT_RANKS = "byte_bpe_50k.tiktoken"
 BUCKETS = 64
 MOST_CAPACITY = 4_000_000
-_ENCODERS: dict = {}
 
 
 def tokenizer_path(name: str = DEFAULT_RANKS) -> str:
@@ -38,14 +37,19 @@ def tokenizer_path(name: str = DEFAULT_RANKS) -> str:
 
 
 def encoder(path: str):
-    if path not in _ENCODERS:
+    """The tokenizer, built once in a worker process: functions come to workers by value, so the cache stands outside this module."""
+    import sys
+    import types
+
+    cache = sys.modules.setdefault("_token_encoders", types.ModuleType("_token_encoders")).__dict__
+    if path not in cache:
         import public_tokenizers
         import tiktoken
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _ENCODERS[path] = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _ENCODERS[path]
+        cache[path] = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return cache[path]
 
 
 BLANK = "[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
