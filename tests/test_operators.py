@@ -306,3 +306,34 @@ def test_mask_refinement_pipeline_runs_on_one_date(spark):
     df = spark.createDataFrame(rows, "tile string, time timestamp, y int, x int, blue int, nir int, swir int, cloud boolean, shadow boolean")
     out = pipelines.masks_refinement(df)
     assert out.count() == 20 and out.where("cloud and not cloud_refined").count() == 0
+
+
+def test_fill_nodata_weights_by_distance_and_limits(spark):
+    rows = [(0, 0, 1.0), (0, 1, None), (0, 2, None), (0, 3, 4.0), (5, 9, None)]
+    df = spark.createDataFrame(rows, "y int, x int, v double")
+    got = {(r.y, r.x): r.o for r in focal.fill_nodata(df, [], "v", "o", most=2).collect()}
+    assert np.isclose(got[0, 1], (1 / 1 * 1 + 4 / 2) / (1 + 1 / 2)) and got[5, 9] is None and got[0, 3] == 4.0
+    assert {(r.y, r.x): r.o for r in focal.fill_nodata(df, [], "v", "o", most=1).collect()}[0, 1] == 1.0
+
+
+def test_image_selection_cases(spark):
+    def pick(rows):
+        df = spark.createDataFrame(rows, "name string, ts timestamp, cloud double, orbit string, nodata double")
+        return {(r.month.isoformat()[:7], r.name): r.kept for r in temporal.select_images(df, [], "name", "ts", "cloud", "orbit", "nodata").collect()}
+
+    few = [(f"i{k}", dt.datetime(2020, 5, 1 + k), float(k), "R1", 0.0) for k in range(8)]
+    assert {n for (m, n) in pick(few) if m == "2020-05"} == {f"i{k}" for k in range(8)}
+    many = [(f"i{k:02d}", dt.datetime(2020, 5, 1 + k), float(k), "R1", 0.0) for k in range(12)] + [("z1", dt.datetime(2020, 5, 20), 99.0, "R2", 3.0), ("z2", dt.datetime(2020, 5, 21), 98.0, "R2", 1.0)]
+    got = {n: kept for (m, n), kept in pick(many).items() if m == "2020-05"}
+    assert {n for n, k in got.items() if k} == {f"i{k:02d}" for k in range(8)} and {n for n, k in got.items() if not k} == {"z2"}
+    short = [("a", dt.datetime(2020, 5, 2), 50.0, "R1", 0.0)] + [(f"n{k}", dt.datetime(2020, 6, 1 + k), float(k), "R1", 0.0) for k in range(6)] + [(f"p{k}", dt.datetime(2020, 4, 1 + k), float(k), "R1", 0.0) for k in range(6)]
+    got = {n for (m, n) in pick(short) if m == "2020-05"}
+    assert got == {"a", "n0", "n1", "n2", "n3", "p0", "p1", "p2"}  # topped up in turn: next month first
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.floats(-1e6, 1e6), min_size=2, max_size=30))
+def test_minmax_stays_in_range(spark, values):
+    df = spark.createDataFrame([(float(v),) for v in values], "v double")
+    out = [r.v for r in stats.Scaler({"v": "minmax"}).fit_transform(df).collect()]
+    assert all(-1e-9 <= x <= 1 + 1e-9 for x in out)
