@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landloom.operators.gapfill import BANDS, fill_grid
+from landloom.operators.gapfill import BANDS, fill_grid, fill_series
 from landloom.operators.proximity import containing_regions, within_distance
-from landloom.operators.records import with_category, with_place
-from landloom.plans.sql_common import DATASET, MONTH, POINTS
+from landloom.operators.records import month_of, tile_code, with_category, with_place
+from landloom.plans.sql_common import DATASET, MONTH, POINTS, TILE
 from landloom.plans.tables import table
 from landloom.session import cut
 
@@ -52,7 +52,17 @@ def p4_filled_grid(spark: SparkSession, d: str) -> DataFrame:
     return fill_grid(table(spark, d, "composites"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p3_found": p3_found, "p3_conflict_distance": p3_conflict_distance, "p4_found": p4_found, "p4_filled_grid": p4_filled_grid}
+TILE_GAP = 6
+
+
+def p4_filled_tiles(spark: SparkSession, d: str) -> DataFrame:
+    """The tile of each pixel and month, carried from the nearest month that names one."""
+    c = table(spark, d, "composites").select("pixel_id", month_of(F.col("time"), F.col("file_name")).alias("month_no"), tile_code(F.col("tile")).alias("tile"))
+    months = c.where("pixel_id is not null and month_no is not null").groupBy("pixel_id", "month_no").agg(F.max("tile").alias("tile"))
+    return fill_series(months, ["pixel_id"], "month_no", categorical=["tile"], max_gap=TILE_GAP)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p3_found": p3_found, "p3_conflict_distance": p3_conflict_distance, "p4_found": p4_found, "p4_filled_grid": p4_filled_grid, "p4_filled_tiles": p4_filled_tiles}
 
 _NEAR = f"""{DATASET}, {POINTS}, a AS (SELECT DISTINCT row_id, px, py, category, CAST(floor(px / 60) AS BIGINT) AS gx, CAST(floor(py / 60) AS BIGINT) AS gy FROM d WHERE category IS NOT NULL AND px IS NOT NULL),
   b AS (SELECT point_id, x, y, category, CAST(floor(x / 60) AS BIGINT) + i AS gx, CAST(floor(y / 60) AS BIGINT) + j AS gy FROM p, range(-1, 2) AS s(i), range(-1, 2) AS u(j) WHERE category IS NOT NULL),
@@ -69,4 +79,10 @@ SELECT 'point' AS target_kind, row_id, point_id AS target_id FROM near UNION SEL
     "p4_found": f"""WITH usable AS (SELECT DISTINCT pixel_id, band, {MONTH} AS month_no FROM composites WHERE band_data BETWEEN 1 AND 20000),
   grid AS (SELECT pixel_id, band, CAST(m AS INT) AS month_no FROM (SELECT DISTINCT pixel_id FROM composites WHERE pixel_id IS NOT NULL), (SELECT unnest({list(BANDS)}) AS band), range(1, 13) AS r(m))
 SELECT g.pixel_id, g.band, g.month_no FROM grid g ANTI JOIN usable u USING (pixel_id, band, month_no)""",
+    "p4_filled_tiles": f"""WITH m AS (SELECT pixel_id, month_no, max(t) AS tile FROM (SELECT pixel_id, {MONTH} AS month_no, {TILE.format(t="tile")} AS t FROM composites) WHERE pixel_id IS NOT NULL AND month_no IS NOT NULL GROUP BY ALL),
+  w AS (SELECT *, last_value(CASE WHEN tile IS NOT NULL THEN month_no END IGNORE NULLS) OVER a AS pm, last_value(tile IGNORE NULLS) OVER a AS p, first_value(CASE WHEN tile IS NOT NULL THEN month_no END IGNORE NULLS) OVER b AS nm, first_value(tile IGNORE NULLS) OVER b AS n
+    FROM m WINDOW a AS (PARTITION BY pixel_id ORDER BY month_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), b AS (PARTITION BY pixel_id ORDER BY month_no ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+  g AS (SELECT pixel_id, month_no, tile, CASE WHEN month_no - pm <= {TILE_GAP} THEN month_no - pm END AS dp, CASE WHEN nm - month_no <= {TILE_GAP} THEN nm - month_no END AS dn, p, n FROM w)
+SELECT pixel_id, month_no, coalesce(tile, CASE WHEN dp IS NOT NULL AND (dn IS NULL OR dp <= dn) THEN p WHEN dn IS NOT NULL THEN n END) AS tile, CASE WHEN tile IS NOT NULL THEN 'observed' WHEN dp IS NOT NULL OR dn IS NOT NULL THEN 'carried' ELSE 'none' END AS tile_method,
+  CASE WHEN tile IS NOT NULL THEN 0.0::DOUBLE ELSE least(dp, dn)::DOUBLE END AS tile_distance FROM g""",
 }

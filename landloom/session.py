@@ -47,12 +47,25 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _CUTS.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def release(df: DataFrame) -> None:
+    """Deletes the table behind a result of `cut` that nothing will read again, such as the last round's state of an iteration."""
+    path = getattr(df, "_cut_path", None)
+    if path in _CUTS:
+        _CUTS.remove(path)
+        _delete(df.sparkSession, path)
 
 
 def drop_cuts(spark: SparkSession) -> None:
     """Deletes the tables that `cut` wrote in this process. Call it when no result that reads them is needed any more."""
-    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
     while _CUTS:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_CUTS.pop())
-        path.getFileSystem(hadoop).delete(path, True)
+        _delete(spark, _CUTS.pop())
