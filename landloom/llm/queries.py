@@ -88,6 +88,12 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_spans(spark, d).select("doc_id", "item_id").distinct()
 
 
+def p7_items(spark: SparkSession, d: str) -> DataFrame:
+    """Each item that leaked: in how many documents, and the longest stretch of its words."""
+    spans = p7_spans(spark, d)
+    return spans.groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_documents"), F.max(F.col("end_word") - F.col("first_word")).alias("longest_words"))
+
+
 def p8_levels(spark: SparkSession, d: str) -> DataFrame:
     prosed = cut(reading.prose_features(table(spark, d, "documents")))
     full = reading.full_features(prosed, reading.rarity_table(prosed))
@@ -102,7 +108,7 @@ def p8_profile(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found, "p1_split_report": p1_split_report, "p1_coverage": p1_coverage, "p2_found": p2_found, "p2_report": p2_report, "p2_sample": p2_sample,
-    "p5_found": p5_found, "p5_groups": p5_groups, "p6_packs": p6_packs, "p6_usage": p6_usage, "p7_found": p7_found, "p7_spans": p7_spans,
+    "p5_found": p5_found, "p5_groups": p5_groups, "p6_packs": p6_packs, "p6_usage": p6_usage, "p7_found": p7_found, "p7_spans": p7_spans, "p7_items": p7_items,
     "p8_levels": p8_levels, "p8_profile": p8_profile,
 }
 
