@@ -7,15 +7,15 @@ band's MinHash values are candidates; the exact rule verifies them: at least min
 
 1. Within a partition (`_local`): banding and verification in memory, vectorised. Alike records fold into the one with most observed cells, their local representative, so of
    a group that holds a third of all rows every partition passes on a few representatives only. The table of records, representatives and band hashes is written once.
-2. Representatives are shuffled by band hash; in a sorted bucket each is linked to the first and to its neighbour, never to all. Distinct links are
-   verified against both series.
+2. Representatives are shuffled by band hash. In a sorted bucket each is first linked to the first and to its neighbour; links verified against both series give components. Then all pairs
+   of a bucket that are not in one component yet are verified, too, and the components joined.
 3. Connected components of verified links by alternating large-star and small-star steps; no component is ever collected.
-4. Loose components: the medoid is the representative with most verified links; representatives not alike to it (checked exactly where no link says so) leave and
-   form components among themselves, again until all are alike to their medoid.
+4. All members of a component, not only representatives, are cut into sets all alike to each other (`partition`): most by a bound on their distance from the mean series, the rest
+   by the exact rule, from the record with most alike ones on (`cliques`). Records that so leave their representative are searched again, unfolded, with all that have no group.
 
 Defined results: records with fewer than min_shared observed cells belong to no group; equal records form a group; groups of one are not reported; a cell's value is its latest usable
-one; null ids are left out; an empty table gives an empty result. Membership is exact with respect to representatives: a member is alike to its local representative, and that
-to the medoid. Banding finds a pair of alike records with a probability that depends on their Jaccard similarity; `recall` in the tests measures it against brute force.
+one; null ids are left out; an empty table gives an empty result. Every two members of a group are alike by the exact rule. Which of several possible sets is taken is greedy (the largest
+set of a loose component isn't searched exhaustively). Banding finds a pair of alike records with a probability that depends on their Jaccard similarity; `recall` in the tests measures it against brute force.
 """
 
 from __future__ import annotations
@@ -33,6 +33,7 @@ THRESHOLD, MIN_SHARED = 200, 30
 WIDTH, ROWS, BANDS = 500, 6, 64
 BINS = 64
 CHUNK = 65_536
+HOT = 262_144
 
 
 def alike(a: np.ndarray, b: np.ndarray, threshold: int = THRESHOLD, min_shared: int = MIN_SHARED) -> np.ndarray:
@@ -108,7 +109,7 @@ def _binary(rows: np.ndarray, keep: np.ndarray | None = None) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(rows), [pa.py_buffer(np.packbits(keep, bitorder="little").tobytes()), pa.py_buffer(ends), pa.py_buffer(rows[keep].tobytes())], int((~keep).sum()))
 
 
-def _local(width: int, rows: int, bands: int, threshold: int, min_shared: int):
+def _local(width: int, rows: int, bands: int, threshold: int, min_shared: int, folds: bool = True):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list[np.ndarray] = []
         cells: list[np.ndarray] = []
@@ -119,7 +120,7 @@ def _local(width: int, rows: int, bands: int, threshold: int, min_shared: int):
             order = np.lexsort((i, -(v > 0).sum(1)))  # the fullest series stand for the others: they share most cells with the rest of their group
             i, v = i[order], v[order]
             h = band_hashes(v, width, rows, bands)
-            rep = fold(v, h, threshold, min_shared)
+            rep = fold(v, h, threshold, min_shared) if folds else np.arange(len(i))
             return pa.RecordBatch.from_arrays([pa.array(i), pa.array(i[rep]), _binary(v), _binary(h, rep == np.arange(len(i)))], ["pixel_id", "rep", "cells", "hashes"])
 
         for b in batches:
@@ -211,38 +212,288 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("label")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
 
-def groups(series: DataFrame, threshold: int = THRESHOLD, min_shared: int = MIN_SHARED, width: int = WIDTH, rows: int = ROWS, bands: int = BANDS) -> tuple[DataFrame, DataFrame]:
-    """(pixel_id, rep, medoid) of all records that have a group, and the table (pixel_id, cells). series: (pixel_id, cells int16)."""
-    folded = cut(series.select("pixel_id", "cells").mapInArrow(_local(width, rows, bands, threshold, min_shared), FOLDED))
+def _alike_all(v: np.ndarray, w: np.ndarray, threshold: int, min_shared: int, most: int = 8_000_000) -> Iterator[tuple[int, np.ndarray]]:
+    """(first row, block of the matrix of the exact rule) for all rows of v against all rows of w."""
+    step = max(1, most // max(1, w.size))
+    seen = w > 0
+    for i in range(0, len(v), step):
+        x = v[i : i + step, None].astype(np.int32)
+        both = (x > 0) & seen
+        shared = both.sum(2)
+        yield i, (shared >= min_shared) & ((np.abs(x - w) * both).sum(2) <= threshold * shared)
+
+
+def cliques(v: np.ndarray, threshold: int = THRESHOLD, min_shared: int = MIN_SHARED) -> np.ndarray:
+    """For each record the number of its group; every two records of a group are alike, and no record left over when a group closes is alike to all of it.
+
+    The record alike to most others of those left opens a group, and the others join in the order of that number where they are alike to all members so far; ties go to the earlier row.
+    """
+    degree = np.zeros(len(v), np.int64)
+    for i, ok in _alike_all(v, v, threshold, min_shared):
+        degree[i : i + len(ok)] = ok.sum(1)
+    out = np.full(len(v), -1)
+    live = np.arange(len(v))
+    for g in range(len(v)):
+        if not len(live):
+            break
+        members = []
+        queue = live[np.argsort(-degree[live], kind="stable")]
+        while len(queue):
+            x, queue = queue[0], queue[1:]
+            members.append(x)
+            queue = queue[alike(np.repeat(v[x : x + 1], len(queue), 0), v[queue], threshold, min_shared)]
+        out[members] = g
+        live = live[out[live] < 0]
+        for i, ok in _alike_all(v[live], v[members], threshold, min_shared):
+            degree[live[i : i + len(ok)]] -= ok.sum(1)
+    return out
+
+
+def reach(v: np.ndarray, centre: np.ndarray, min_shared: int) -> np.ndarray:
+    """The mean of each record's min_shared largest deviations from the centre: no set of that many of its cells, or more, deviates by more on average.
+
+    So two records whose reaches add up to the threshold at most are alike if they share enough cells, which their numbers of observed cells can tell.
+    """
+    out = np.empty(len(v))
+    k = max(1, min(min_shared, v.shape[1]))
+    for i in range(0, len(v), 50_000):
+        x = v[i : i + 50_000]
+        off = np.where(x > 0, np.abs(x - centre[i : i + 50_000] if centre.ndim > 1 else x - centre), 0)
+        out[i : i + 50_000] = np.partition(off, off.shape[1] - k, 1)[:, -k:].mean(1)
+    return out
+
+
+def _core(v: np.ndarray, far: np.ndarray, threshold: int, min_shared: int) -> np.ndarray:
+    """Records that are alike to each other by their reach alone."""
+    return (far <= threshold / 2) & (2 * (v > 0).sum(1) >= v.shape[1] + min_shared)
+
+
+def _sums(v: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.add.reduceat(v.astype(np.int64), starts), np.add.reduceat((v > 0).astype(np.int64), starts)
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches sorted by their first column, cut anew so that no key stands in two of them."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        keys = np.asarray(b.column(0))
+        at = int(np.searchsorted(keys, keys[-1])) if keys[0] <= keys[-1] else b.num_rows
+        if held and keys[0] != held[-1].column(0)[-1].as_py():
+            yield pa.Table.from_batches(held)
+            held = []
+        if at:
+            yield pa.Table.from_batches([*held, b.slice(0, at)])
+            held = []
+        held.append(b.slice(at))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _cells(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<i2").reshape(len(column), -1)
+
+
+PARTED = "pixel_id bigint, rep bigint, medoid bigint, first boolean"
+
+
+def _part(threshold: int, min_shared: int):
+    """Over (label, pixel_id, rep, cells) sorted by label and pixel_id: each component cut into sets of records all alike to each other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _whole(batches):
+            label, ids, rep = (np.asarray(t.column(k).combine_chunks()) for k in range(3))
+            v = _cells(t.column(3))
+            starts = np.flatnonzero(np.concatenate([[True], label[1:] != label[:-1]]))
+            ends = np.append(starts[1:], len(label))
+            total, n = _sums(v, starts)
+            centre = np.rint(total / np.maximum(n, 1)).astype(np.int32)
+            far = reach(v, np.repeat(centre, ends - starts, 0), min_shared)
+            core = _core(v, far, threshold, min_shared)
+            inside = np.add.reduceat(core.astype(np.int64), starts)
+            medoid = np.empty_like(ids)
+            first = np.ones(len(ids), bool)
+            for s, e, k in zip(starts, ends, inside, strict=True):
+                own, d, c = v[s:e], far[s:e], core[s:e]
+                if k == e - s:
+                    medoid[s:e] = ids[s + np.argmin(d)]
+                    continue
+                if 2 * k > e - s:
+                    group = np.zeros(e - s, np.int64)
+                    rest = np.flatnonzero(~c)
+                    fits = np.ones(len(rest), bool)
+                    for i, ok in _alike_all(own[rest], own[c], threshold, min_shared):
+                        fits[i : i + len(ok)] = ok.all(1)
+                    group[rest] = _beside(own[rest], fits, threshold, min_shared)
+                else:
+                    group = cliques(own, threshold, min_shared)
+                largest = np.argmax(np.bincount(group))
+                for g in np.unique(group):
+                    at = np.flatnonzero(group == g)
+                    total, n = _sums(own[at], np.array([0]))
+                    both = own[at] > 0
+                    off = (np.abs(own[at] - total / np.maximum(n, 1)) * both).sum(1) / both.sum(1)
+                    medoid[s + at] = ids[s + at[np.argmin(off)]]
+                    first[s + at] = g == largest
+            yield from pa.table([ids, rep, medoid, first], names=["pixel_id", "rep", "medoid", "first"]).to_batches()
+
+    return run
+
+
+def _beside(v: np.ndarray, fits: np.ndarray, threshold: int, min_shared: int) -> np.ndarray:
+    """Groups of the records beside a core: 0 for those that join it, as they are alike to all of it and to each other."""
+    out = np.zeros(len(v), np.int64)
+    may = np.flatnonzero(fits)
+    joined = may[cliques(v[may], threshold, min_shared) == 0] if len(may) else may
+    others = np.setdiff1d(np.arange(len(v)), joined)
+    out[others] = 1 + cliques(v[others], threshold, min_shared)
+    return out
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of buckets with more than one."""
+    for t in _whole(batches):
+        h = np.asarray(t.column(0).combine_chunks())
+        new = np.concatenate([[True], h[1:] != h[:-1], [True]])
+        yield from t.filter(pa.array(~(new[:-1] & new[1:]))).to_batches()
+
+
+def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over (bucket, label, pixel_id) sorted by all: every pair of a bucket whose labels differ."""
+    for t in _whole(batches):
+        h, label, ids = (np.asarray(c.combine_chunks()) for c in t.columns)
+        rows = np.arange(len(h))
+        new = np.concatenate([[True], h[1:] != h[:-1]])
+        bucket = np.maximum.accumulate(np.where(new, rows, 0))
+        start = np.maximum.accumulate(np.where(new | np.concatenate([[True], label[1:] != label[:-1]]), rows, 0))
+        before = start - bucket
+        ends = np.cumsum(before)
+        i = 0
+        while i < len(h):
+            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + 1_000_000, side="right")))
+            n = before[i:j]
+            a = np.repeat(rows[i:j], n)
+            b = np.repeat(bucket[i:j], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            if len(a):
+                pairs = np.unique(np.column_stack([np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])]), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+            i = j
+
+
+def candidate_components(folded: DataFrame, threshold: int, min_shared: int) -> DataFrame:
+    """(rep, label) of all representatives that have a link. Every two representatives that share a bucket are in one component or were compared by the exact rule."""
     cells = folded.select("pixel_id", "cells")
     buckets = folded.where("hashes is not null").select("pixel_id", "hashes").mapInArrow(_buckets, "bucket bigint, pixel_id bigint")
-    pairs = buckets.repartition("bucket").sortWithinPartitions("bucket", "pixel_id").mapInArrow(_links, "a bigint, b bigint").distinct()
-    links = cut(verified(pairs, cells, threshold, min_shared).where("ok").select("a", "b"))
-    settled = None
-    open_links = links
-    while True:
-        labels = components(open_links)
-        both = open_links.unionByName(open_links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-        degree = both.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("degree"))
-        ranked = labels.join(degree, "node")
-        medoids = ranked.groupBy("label").agg(F.max(F.struct("degree", (-F.col("node")).alias("back")))["back"].alias("back")).select("label", (-F.col("back")).alias("medoid"))
-        nodes = labels.join(medoids, "label").select("node", "medoid")
-        known = both.select(F.col("a").alias("node"), F.col("b").alias("medoid"), F.lit(True).alias("linked"))
-        nodes = cut(nodes.join(known, ["node", "medoid"], "left").withColumn("linked", F.coalesce("linked", F.col("node") == F.col("medoid"))))
-        unsure = nodes.where("not linked").select(F.col("node").alias("a"), F.col("medoid").alias("b"))
-        checked = cut(verified(unsure, cells, threshold, min_shared))
-        sure = nodes.where("linked").select("node", "medoid").unionByName(checked.where("ok").select(F.col("a").alias("node"), F.col("b").alias("medoid")))
-        settled = sure if settled is None else settled.unionByName(sure)
-        loose = checked.where("not ok").select(F.col("a").alias("node"))
-        if loose.isEmpty():
-            break
-        left = loose.withColumnRenamed("node", "a")
-        right = loose.withColumnRenamed("node", "b")
-        open_links = cut(open_links.join(left, "a", "left_semi").join(right, "b", "left_semi"))
-    members = folded.select("pixel_id", "rep")
-    labelled = members.join(settled.withColumnRenamed("node", "rep"), "rep", "left").select("pixel_id", "rep", F.coalesce("medoid", "rep").alias("medoid"))
-    sizes = labelled.groupBy("medoid").agg(F.count("*").alias("size"), F.min("pixel_id").alias("least")).where("size > 1")
-    return labelled.join(sizes, "medoid").select("pixel_id", "rep", "medoid", "size", "least"), cells
+    order = lambda df, *by: df.repartition("bucket").sortWithinPartitions("bucket", *by)
+    shared = cut(order(buckets, "pixel_id").mapInArrow(_shared, "bucket bigint, pixel_id bigint"))
+    star = order(shared, "pixel_id").mapInArrow(_links, "a bigint, b bigint").distinct()
+    labels = cut(components(verified(star, cells, threshold, min_shared).where("ok")))
+    named = shared.join(labels.withColumnRenamed("node", "pixel_id"), "pixel_id", "left").select("bucket", F.coalesce("label", "pixel_id").alias("label"), "pixel_id")
+    rest = order(named, "label", "pixel_id").mapInArrow(_crossing, "a bigint, b bigint").distinct()
+    links = cut(verified(rest, cells, threshold, min_shared).where("ok").select("a", "b"))
+    release(shared)
+    for end in ("a", "b"):
+        links = links.join(labels.withColumnsRenamed({"node": end, "label": "own"}), end, "left").withColumn(f"l{end}", F.coalesce("own", end)).drop("own")
+    joined = components(links.select(F.col("la").alias("a"), F.col("lb").alias("b"))).select(F.col("node").alias("label"), F.col("label").alias("to"))
+    nodes = labels.unionByName(joined.select(F.col("label").alias("node"), "label")).distinct()
+    return cut(nodes.join(joined, "label", "left").select(F.col("node").alias("rep"), F.coalesce("to", "label").alias("label")).groupBy("rep").agg(F.min("label").alias("label")))
+
+
+def _hot_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        if b.num_rows:
+            label = np.asarray(b.column(0))
+            order = np.argsort(label, kind="stable")
+            starts = np.flatnonzero(np.concatenate([[True], np.diff(label[order]) != 0]))
+            total, n = _sums(_cells(b.column(3))[order], starts)
+            yield pa.RecordBatch.from_arrays([pa.array(label[order][starts]), pa.array(total.tolist(), pa.list_(pa.int64())), pa.array(n.tolist(), pa.list_(pa.int64()))], ["label", "total", "n"])
+
+
+def _hot_reach(centres: dict[int, np.ndarray], threshold: int, min_shared: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                v = _cells(b.column(3))
+                far = reach(v, np.stack([centres[x] for x in b.column(0).to_pylist()]), min_shared)
+                more = [pa.array(far), pa.array((v > 0).sum(1).astype(np.int32)), pa.array(_core(v, far, threshold, min_shared))]
+                yield pa.RecordBatch.from_arrays([*b.columns, *more], ["label", "pixel_id", "rep", "cells", "far", "seen", "core"])
+
+    return run
+
+
+def _hot_beside(threshold: int, min_shared: int):
+    """Over the rows beside the cores of hot components, sorted by label and pixel_id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _whole(batches):
+            label, ids, rep, core = (np.asarray(t.column(k).combine_chunks()) for k in (0, 1, 2, 5))
+            v, fits = _cells(t.column(3)), np.asarray(t.column(4).combine_chunks())
+            medoid, first = np.empty_like(ids), np.zeros(len(ids), bool)
+            for x in np.unique(label):
+                own = np.flatnonzero(label == x)
+                group = _beside(v[own], fits[own], threshold, min_shared)
+                for g in np.unique(group):
+                    at = own[group == g]
+                    medoid[at] = core[at[0]] if g == 0 else ids[at[0]]
+                    first[at] = g == 0
+            yield from pa.table([ids, rep, medoid, first], names=["pixel_id", "rep", "medoid", "first"]).to_batches()
+
+    return run
+
+
+def partition(members: DataFrame, threshold: int, min_shared: int, hot: int = HOT) -> DataFrame:
+    """(pixel_id, rep, medoid, first) for (label, pixel_id, rep, cells): components cut into sets all alike; first marks the largest set of each, or its core.
+
+    A component of at most `hot` records, or one without a core of more than half of them, is one task's. The core of a hotter one is found by reach from its mean series where the
+    records stand; only the records beside it are compared with the core, and only with those that their reach leaves open.
+    """
+    sizes = members.groupBy("label").count().where(F.col("count") > hot)
+    counts = {r["label"]: r["count"] for r in sizes.collect()}  # at most rows / hot
+    part = lambda df: df.repartition("label").sortWithinPartitions("label", "pixel_id").mapInArrow(_part(threshold, min_shared), PARTED)
+    if not counts:
+        return part(members)
+    hottest = members.where(F.col("label").isin(list(counts)))
+    centres: dict[int, list] = {}
+    for r in hottest.mapInArrow(_hot_sums, "label bigint, total array<bigint>, n array<bigint>").select("label", F.posexplode(F.arrays_zip("total", "n"))).groupBy("label", "pos").agg(F.sum("col.total").alias("t"), F.sum("col.n").alias("n")).collect():
+        centres.setdefault(r["label"], []).append((r["pos"], round(r["t"] / max(1, r["n"]))))
+    centre = {k: np.array([x for _, x in sorted(c)], np.int32) for k, c in centres.items()}
+    found = cut(hottest.mapInArrow(_hot_reach(centre, threshold, min_shared), "label bigint, pixel_id bigint, rep bigint, cells binary, far double, seen int, core boolean"))
+    cores = {r["label"]: r["core"] for r in found.where("core").groupBy("label").agg(F.count("*").alias("k"), F.min(F.struct("far", "pixel_id"))["pixel_id"].alias("core")).collect() if 2 * r["k"] > counts[r["label"]]}
+    plain = part(members.where(~F.col("label").isin(list(cores))))
+    if not cores:
+        return plain
+    medoid = F.coalesce(*[F.when(F.col("label") == k, F.lit(m)) for k, m in cores.items()])
+    found = found.where(F.col("label").isin(list(cores)))
+    inner, beside = found.where("core"), found.where("not core")
+    width = len(next(iter(centre.values())))
+    x, y = beside.select("label", F.col("pixel_id").alias("a"), F.col("cells").alias("va"), F.col("far").alias("fa"), F.col("seen").alias("sa")), inner.select("label", F.col("pixel_id").alias("b"), F.col("cells").alias("vb"), F.col("far").alias("fb"), F.col("seen").alias("sb"))
+    unsure = x.join(y, "label").where(f"fa + fb > {threshold} or sa + sb < {width + min_shared}").select("a", "b", "va", "vb")
+    wrong = unsure.mapInArrow(_verify(threshold, min_shared), "a bigint, b bigint, ok boolean").where("not ok").select(F.col("a").alias("pixel_id"), F.lit(False).alias("fits")).distinct()
+    rest = beside.join(wrong, "pixel_id", "left").select("label", "pixel_id", "rep", "cells", F.coalesce("fits", F.lit(True)).alias("fits"), medoid.alias("core"))
+    rest = rest.repartition("label").sortWithinPartitions("label", "pixel_id").mapInArrow(_hot_beside(threshold, min_shared), PARTED)
+    return plain.unionByName(inner.select("pixel_id", "rep", medoid.alias("medoid"), F.lit(True).alias("first"))).unionByName(rest)
+
+
+def _settled(folded: DataFrame, threshold: int, min_shared: int, hot: int) -> DataFrame:
+    labels = candidate_components(folded, threshold, min_shared)
+    named = folded.join(labels, "rep", "left").select(F.coalesce("label", "rep").alias("label"), "pixel_id", "rep", "cells")
+    return cut(partition(named, threshold, min_shared, hot))
+
+
+def groups(series: DataFrame, threshold: int = THRESHOLD, min_shared: int = MIN_SHARED, width: int = WIDTH, rows: int = ROWS, bands: int = BANDS, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+    """(pixel_id, rep, medoid, size, least) of all records that have a group, and the table (pixel_id, cells). series: (pixel_id, cells int16)."""
+    local = lambda df, folds: cut(df.select("pixel_id", "cells").mapInArrow(_local(width, rows, bands, threshold, min_shared, folds), FOLDED))
+    folded = local(series, True)
+    settled = _settled(folded, threshold, min_shared, hot)
+    if not settled.where("not first and pixel_id <> rep").isEmpty():
+        # Records that left their representative's group had no buckets of their own: all without a group, and those beside their component's first one, are searched again, each for itself.
+        alone = settled.groupBy("medoid").agg((F.count("*") == 1).alias("alone"))
+        marked = cut(settled.join(alone, "medoid").withColumn("again", ~F.col("first") | F.col("alone")))
+        pool = folded.join(marked.where("again").select("pixel_id"), "pixel_id", "left_semi")
+        settled = marked.where("not again").select("pixel_id", "rep", "medoid").unionByName(_settled(local(pool, False), threshold, min_shared, hot).select("pixel_id", "rep", "medoid"))
+    sizes = settled.groupBy("medoid").agg(F.count("*").alias("size"), F.min("pixel_id").alias("least")).where("size > 1")
+    return settled.join(sizes, "medoid").select("pixel_id", "rep", "medoid", "size", "least"), folded.select("pixel_id", "cells")
 
 
 def typical(members: DataFrame, cells: DataFrame, top: int = 3, salts: int = 32) -> DataFrame:
