@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from landloom.session import cut, release
 
 THRESHOLD, MIN_SHARED = 200, 30
-WIDTH, ROWS, BANDS = 500, 6, 64
+WIDTH, ROWS, BANDS = 800, 5, 160
 BINS = 64
 CHUNK = 65_536
 HOT = 262_144
