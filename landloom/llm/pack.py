@@ -1,10 +1,9 @@
-"""Filling containers of fixed capacity with documents measured in tokens, by bin completion on the histogram of sizes.
+"""Filling containers of fixed capacity with documents measured in tokens, by greedy bin completion on the histogram of sizes.
 
 Packs only depend on sizes, and there are at most `capacity` sizes, so the search runs on the histogram: a table bounded by the capacity, not by the data.
 For each capacity one task runs bin completion: around the largest size left it enumerates fillings of the remaining room,
-larger sizes first (a filling that puts one larger size in place of several smaller ones of the same sum dominates them and comes first), prunes by the waste
-that is still possible, and keeps the best filling so far as incumbent, beginning with best fit. A filling is used as often as the histogram
-allows. The plan says which ranks of a size go to which packs; documents get their rank within their size distributedly (offsets per size and hash bucket, so a size that
+larger sizes first, and keeps the fullest so far as incumbent, beginning with best fit; it ends at a full pack or after a number of steps. A filling is used as often as the histogram
+allows. Other fillings of the same item are not tried again later: no backtracking over packs, no bound on the waste of the whole plan, so the number of packs need not be the least. The plan says which ranks of a size go to which packs; documents get their rank within their size distributedly (offsets per size and hash bucket, so a size that
 a third of all documents share is ranked in many tasks) and look their packs up in the plan.
 
 A text longer than the capacity is cut into pieces of exactly the capacity, each a pack of its own, and one rest, which is packed like any other.
