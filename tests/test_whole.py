@@ -14,3 +14,12 @@ def test_mutual_information_counts_all_rows(spark):
     seen = stats.mutual_information(df, ["a"], "y")
     plan = seen._jdf.queryExecution().optimizedPlan().toString()
     assert "Limit" not in plan and seen.first().importance >= 0
+
+
+def test_stream_composites_equals_the_batch(spark):
+    e = table(spark, D, "events").withColumn("ts", F.col("ts").cast("timestamp")).dropDuplicates(["event_id"])
+    v = F.when(F.col("value") != 0, F.col("value").cast("double"))
+    w = F.window("ts", "60 days", "30 days")
+    want = {(r[0], r[1], r[2], r[3]) for r in e.groupBy("event_type", w.alias("w")).agg(F.count(v).alias("n")).select("event_type", "w.start", "w.end", "n").collect()}
+    got = [(r.event_type, r.opens, r.closes, r.n_valid) for r in steps.stream_composites(spark, D).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
