@@ -173,12 +173,15 @@ def pixel_to_geo(spark, d):
 
 @query()
 def reproject_utm(spark, d):
-    """Points to degrees and back; the round trip's error comes out beside them."""
-    p = table(spark, d, "points_df").where("geom.x between 100000 and 900000 and geom.y between 0 and 10000000").select("point_id", "geom.x", "geom.y")
+    """Points to degrees and back; the round trip's error comes out beside them. Null where there are no coordinates or the zone's projection isn't valid (x 100,000 to 900,000, y 0 to 10,000,000)."""
+    points = table(spark, d, "points_df").withColumn("valid", F.expr("coalesce(geom.x between 100000 and 900000 and geom.y between 0 and 10000000, false)"))
+    p = points.where("valid").select("point_id", "geom.x", "geom.y")
+    none = F.lit(None).cast("double")
     lon, lat = sc.inverse_utm(F.col("x"), F.col("y"), 21, True)
     g = p.select("*", lon.alias("lon"), lat.alias("lat"))
     e, n = sc.utm(F.col("lon"), F.col("lat"), 21, True)
-    return g.select("point_id", "lon", "lat", F.sqrt((e - F.col("x")) * (e - F.col("x")) + (n - F.col("y")) * (n - F.col("y"))).alias("error_m"))
+    out = g.select("point_id", "lon", "lat", F.sqrt((e - F.col("x")) * (e - F.col("x")) + (n - F.col("y")) * (n - F.col("y"))).alias("error_m"))
+    return out.unionByName(points.where("not valid").select("point_id", none.alias("lon"), none.alias("lat"), none.alias("error_m")))
 
 
 @query(f"WITH {base.RASTER}, c AS (SELECT y, x, dn FROM raster) SELECT CAST(c.y * 2 + i AS INT) AS y, CAST(c.x * 2 + j AS INT) AS x, dn FROM c, range(0, 2) AS a(i), range(0, 2) AS b(j)")

@@ -23,3 +23,10 @@ def test_stream_composites_equals_the_batch(spark):
     want = {(r[0], r[1], r[2], r[3]) for r in e.groupBy("event_type", w.alias("w")).agg(F.count(v).alias("n")).select("event_type", "w.start", "w.end", "n").collect()}
     got = [(r.event_type, r.opens, r.closes, r.n_valid) for r in steps.stream_composites(spark, D).collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_reproject_utm_returns_all_rows(spark):
+    p = table(spark, D, "points_df")
+    got = local.reproject_utm(spark, D).collect()
+    valid = p.where("geom.x between 100000 and 900000 and geom.y between 0 and 10000000").count()
+    assert len(got) == p.count() and sum(r.lon is not None and r.error_m is not None for r in got) == valid
