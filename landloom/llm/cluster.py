@@ -1,25 +1,27 @@
 """Grouping records into similarity clusters: MinHash banding, exact verification, connected components, medoids.
 
-A record is a series of cells (pixel: band x month); its set holds one token per observed cell, the cell with its value's bin. Bands of an even and an odd
-number take bins shifted by half a width, so a value near a bin's border is inside a bin in half of the bands. Records that share a
-band's MinHash values are candidates; the exact rule verifies them: at least min_shared common cells whose mean absolute difference is at most `threshold`
-(`token_jaccard` gives the Jaccard similarity of the token sets, which the rule stands in for).
-
-1. Within a partition (`_local`): banding and verification in memory, vectorised. Alike records fold into the one with most observed cells, their local representative, so of
-   a group that holds a third of all rows every partition passes on a few representatives only. The table of records, representatives and band hashes is written once.
-2. Representatives are shuffled by band hash. In a sorted bucket each is first linked to the first and to its neighbour; links verified against both series give components. Then all pairs
-   of a bucket that are not in one component yet are verified, too, and the components joined.
+A record is a series of cells (pixel: band x month); its set holds one token per observed cell, the cell with its value's bin. A MinHash value is taken cell-wise: each hash function
+orders the cells and shifts the bins, and gives the first observed cell with its bin, so two records agree in it with the Jaccard similarity of their observed cells times the share of
+equal bins. Records that share all values of a band are candidates; the exact rule verifies them: at least min_shared common cells whose mean absolute difference is at most
+`threshold` (`token_jaccard` gives the Jaccard similarity of the token sets, which the rule stands in for).
+
+1. Within a partition (`_local`): alike records fold into the one with most observed cells, their representative, so of a group that holds a third of all rows every partition passes on
+   a few representatives only. These are brought together by a coarse band and folded once more; each such fold is a verified link.
+2. Representatives left go to the buckets of all bands (`plan_bands`), with a bit sketch of their cells. In a bucket every pair is compared by sketch (a quantised sum of differences over
+   common cells, with a margin that loses about one alike pair in two thousand at the threshold itself), and pairs that pass are verified against both series by the exact rule. A hot bucket is cut into
+   blocks, and each pair of blocks is a bucket of its own, so no task holds more than two blocks and no pair is left out.
 3. Connected components of verified links by alternating large-star and small-star steps; no component is ever collected.
 4. All members of a component, not only representatives, are cut into sets all alike to each other (`partition`): most by a bound on their distance from the mean series, the rest
    by the exact rule, from the record with most alike ones on (`cliques`). Records that so leave their representative are searched again, unfolded, with all that have no group.
 
 Defined results: records with fewer than min_shared observed cells belong to no group; equal records form a group; groups of one are not reported; a cell's value is its latest usable
 one; null ids are left out; an empty table gives an empty result. Every two members of a group are alike by the exact rule. Which of several possible sets is taken is greedy (the largest
-set of a loose component isn't searched exhaustively). Banding finds a pair of alike records with a probability that depends on their Jaccard similarity; `recall` in the tests measures it against brute force.
+set of a loose component isn't searched exhaustively). Banding finds a pair of alike records with a probability that depends on their Jaccard similarity; the tests measure it against brute force.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,10 +32,12 @@ from pyspark.sql import functions as F
 from landloom.session import cut, release
 
 THRESHOLD, MIN_SHARED = 200, 30
-WIDTH, ROWS, BANDS = 800, 5, 160
-BINS = 64
+WIDTH = 4  # width of a value's bin, in thresholds
+FOLD_ROWS, FOLD_BANDS = 6, 32
+PLANES, PLANE_WIDTH, MARGIN = 2, 5, 3.3  # bits of the sketch per cell, their period in thresholds, standard deviations allowed
 CHUNK = 65_536
 HOT = 262_144
+BLOCK = 32_768
 
 
 def alike(a: np.ndarray, b: np.ndarray, threshold: int = THRESHOLD, min_shared: int = MIN_SHARED) -> np.ndarray:
@@ -44,38 +48,74 @@ def alike(a: np.ndarray, b: np.ndarray, threshold: int = THRESHOLD, min_shared:
     return (shared >= min_shared) & (apart <= threshold * shared)
 
 
-def token_jaccard(a: np.ndarray, b: np.ndarray, width: int = WIDTH) -> np.ndarray:
+def token_jaccard(a: np.ndarray, b: np.ndarray, width: int = WIDTH * THRESHOLD) -> np.ndarray:
     same = ((a > 0) & (b > 0) & (a // width == b // width)).sum(1)
     return same / np.maximum((a > 0).sum(1) + (b > 0).sum(1) - same, 1)
 
 
-def _hashes(cells: int, n: int) -> np.ndarray:
-    t = np.random.default_rng(20240229).integers(0, 2**32 - 1, (n, cells * BINS + 1), dtype=np.uint32)
-    t[:, -1] = 2**32 - 1  # the token of an unobserved cell
-    return t
+def plan_bands(records: int, agree: float = 0.61, lost: float = 0.001) -> tuple[int, int]:
+    """Rows of a band and number of bands for so many records.
 
+    A row more for every fivefold number keeps buckets from growing with the input; the bands then are as many as lose a share `lost` of the pairs that agree in a MinHash value with
+    probability `agree`: 0.61 is that of two records at the threshold, evenly apart, that lack a tenth of their cells each. For those the recall is the same at every size; pairs that agree
+    less (both at the threshold and with many missing cells that they don't share) are found the less often the more rows a band has.
+    """
+    rows = 3 + max(0, math.ceil(math.log(max(records, 1) / 65_536) / math.log(5)))
+    return rows, math.ceil(math.log(1 / lost) / -math.log1p(-(agree**rows)))
+
+
+def _first_seen(vt: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each column the first row, in that order, that isn't 0, and its value."""
+    cell, value = np.full(vt.shape[1], order[0], np.int64), vt[order[0]].copy()
+    missing = np.flatnonzero(value == 0)
+    for c in order[1:]:
+        if not len(missing):
+            break
+        x = vt[c, missing]
+        value[missing], cell[missing] = x, c
+        missing = missing[x == 0]
+    return cell, value
 
-def band_hashes(v: np.ndarray, width: int = WIDTH, rows: int = ROWS, bands: int = BANDS) -> np.ndarray:
-    """(records, bands) 64-bit hashes of the bands' MinHash values."""
+
+def band_hashes(v: np.ndarray, width: int, rows: int, bands: int, seed: int = 20240229) -> np.ndarray:
+    """(records, bands) 64-bit hashes of the bands' MinHash values; each band's don't depend on the number of bands."""
     n, cells = v.shape
-    table = _hashes(cells, rows * bands)
-    at = np.arange(cells, dtype=np.int32)[:, None] * BINS
-    tokens = []
-    for shift in (0, width // 2):
-        q = np.minimum((v.T.astype(np.int32) + shift) // width, BINS - 1)
-        tokens.append(np.ascontiguousarray(np.where(v.T > 0, at + q, cells * BINS)))
+    vt = np.ascontiguousarray(v.T.astype(np.int64))
     out = np.empty((n, bands), np.uint64)
     for j in range(bands):
-        t = tokens[j % 2]
+        rng = np.random.default_rng([seed, rows, j])
         h = np.full(n, 0x9E3779B97F4A7C15 * (j + 1) % 2**64, np.uint64)
-        for r in range(rows):
-            m = table[j * rows + r][t].min(axis=0).astype(np.uint64)
-            h = (h ^ m) * np.uint64(0xFF51AFD7ED558CCD)
+        for _ in range(rows):
+            cell, value = _first_seen(vt, rng.permutation(cells))
+            h = (h ^ (cell * 65_536 + (value + rng.integers(width)) // width).astype(np.uint64)) * np.uint64(0xFF51AFD7ED558CCD)
             h ^= h >> np.uint64(32)
         out[:, j] = h
     return out
 
 
+def sketches(v: np.ndarray, threshold: int) -> np.ndarray:
+    """(records, words, 1 + PLANES) 64-bit words: which cells are observed, and per plane the parity of each cell's bin, the planes' bins being shifted against each other.
+
+    So the bits of common cells that differ count the bin borders between two values: their sum is the sum of differences in units of period / PLANES, for differences within the period.
+    """
+    n, cells = v.shape
+    words = -(-cells // 64)
+    period = PLANE_WIDTH * threshold
+    shift = np.random.default_rng(5).integers(0, 2 * period, cells)
+    bits = np.zeros((n, 1 + PLANES, words * 64), bool)
+    bits[:, 0, :cells] = v > 0
+    for k in range(PLANES):
+        bits[:, 1 + k, :cells] = ((v + shift + k * period // PLANES) // period % 2 == 1) & (v > 0)
+    return np.packbits(bits, axis=2, bitorder="little").view("<u8").reshape(n, 1 + PLANES, words).transpose(0, 2, 1).copy()
+
+
+def _limits(cells: int, min_shared: int) -> np.ndarray:
+    """By the number of common cells, the most differing bits of a candidate."""
+    shared = np.arange(cells + 1)
+    most = shared * (PLANES / PLANE_WIDTH) + MARGIN * 0.5 * np.sqrt(shared)
+    return np.where(shared >= min_shared, np.floor(most), -1).astype(np.int16)
+
+
 def fold(v: np.ndarray, hashes: np.ndarray, threshold: int, min_shared: int) -> np.ndarray:
     """For each record the row of its representative among the given ones (itself if it has none); earlier rows stand for later ones."""
     rep = np.arange(len(v))
@@ -98,18 +138,17 @@ def fold(v: np.ndarray, hashes: np.ndarray, threshold: int, min_shared: int) ->
     return rep
 
 
-FOLDED = "pixel_id bigint, rep bigint, cells binary, hashes binary"
+FOLDED = "pixel_id bigint, rep bigint, cells binary"
 
 
-def _binary(rows: np.ndarray, keep: np.ndarray | None = None) -> pa.Array:
+def _binary(rows: np.ndarray) -> pa.Array:
     size = rows.shape[1] * rows.itemsize
-    if keep is None:
-        keep = np.ones(len(rows), bool)
-    ends = np.concatenate([[0], np.cumsum(np.where(keep, size, 0))]).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(rows), [pa.py_buffer(np.packbits(keep, bitorder="little").tobytes()), pa.py_buffer(ends), pa.py_buffer(rows[keep].tobytes())], int((~keep).sum()))
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer((np.arange(len(rows) + 1) * size).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(rows).tobytes())])
+
 
+def _local(threshold: int, min_shared: int):
+    """Over (pixel_id, cells): those with enough observed cells, each with its representative among the records that come with it."""
 
-def _local(width: int, rows: int, bands: int, threshold: int, min_shared: int, folds: bool = True):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list[np.ndarray] = []
         cells: list[np.ndarray] = []
@@ -119,14 +158,13 @@ def _local(width: int, rows: int, bands: int, threshold: int, min_shared: int, f
             i, v = np.concatenate(ids), np.concatenate(cells)
             order = np.lexsort((i, -(v > 0).sum(1)))  # the fullest series stand for the others: they share most cells with the rest of their group
             i, v = i[order], v[order]
-            h = band_hashes(v, width, rows, bands)
-            rep = fold(v, h, threshold, min_shared) if folds else np.arange(len(i))
-            return pa.RecordBatch.from_arrays([pa.array(i), pa.array(i[rep]), _binary(v), _binary(h, rep == np.arange(len(i)))], ["pixel_id", "rep", "cells", "hashes"])
+            rep = fold(v, band_hashes(v, WIDTH * threshold, FOLD_ROWS, FOLD_BANDS), threshold, min_shared)
+            return pa.RecordBatch.from_arrays([pa.array(i), pa.array(i[rep]), _binary(v)], ["pixel_id", "rep", "cells"])
 
         for b in batches:
             if not b.num_rows:
                 continue
-            v = np.frombuffer(b"".join(b.column(1).to_pylist()), "<i2").reshape(b.num_rows, -1)
+            v = _cells(b.column(1))
             enough = (v > 0).sum(1) >= min_shared
             ids.append(np.asarray(b.column(0))[enough])
             cells.append(v[enough])
@@ -140,35 +178,120 @@ def _local(width: int, rows: int, bands: int, threshold: int, min_shared: int, f
     return run
 
 
-def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        if b.num_rows:
-            h = np.frombuffer(b"".join(b.column(1).to_pylist()), "<i8").reshape(b.num_rows, -1)
-            yield pa.RecordBatch.from_arrays([pa.array(h.ravel()), pa.array(np.repeat(np.asarray(b.column(0)), h.shape[1]))], ["bucket", "pixel_id"])
+def _coarse(threshold: int):
+    """Adds the bucket of one band to (pixel_id, cells): it brings alike records together for another fold."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                key = band_hashes(_cells(b.column(1)), 2 * WIDTH * threshold, 4, 1, 77)[:, 0].astype(np.int64)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(key)], ["pixel_id", "cells", "coarse"])
 
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over (bucket, pixel_id) sorted by both: each record with the first of its bucket, and with the one before it."""
-    bucket = first = previous = None
-    for b in batches:
-        if not b.num_rows:
-            continue
-        h, p = np.asarray(b.column(0)), np.asarray(b.column(1))
-        if bucket is not None:
-            h, p = np.concatenate([[bucket], h]), np.concatenate([[previous], p])
-        new = np.concatenate([[True], h[1:] != h[:-1]])
-        at = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
-        lead = p[at]
-        if bucket is not None:
-            lead = np.where(at == 0, first, lead)
-        bucket, first, previous = h[-1], lead[-1], p[-1]
-        follow = np.flatnonzero(~new)
-        u = np.concatenate([p[follow], p[follow]])
-        w = np.concatenate([lead[follow], p[follow - 1]])
-        ok = u != w
-        if ok.any():
-            pairs = np.unique(np.column_stack([u[ok], w[ok]]), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+    return run
+
+
+def _sizes(rows: int, bands: int, threshold: int):
+    """How many of a batch stand in each bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                key, n = np.unique(band_hashes(_cells(b.column(1)), WIDTH * threshold, rows, bands), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key[n > 1].astype(np.int64)), pa.array(n[n > 1])], ["bucket", "n"])
+
+    return run
+
+
+BUCKETED = "bucket bigint, part tinyint, pixel_id bigint, sketch binary"
+
+
+def _buckets(rows: int, bands: int, threshold: int, blocks: dict[int, int]):
+    """Each record to the bucket of every band. Of a bucket that is cut into blocks, a record goes to all pairs of blocks its own is in: part 1 and 2 are compared with each other, part 0 with itself."""
+    hot = np.array(sorted(blocks), np.int64)
+    names = ["bucket", "part", "pixel_id", "sketch"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            v, ids = _cells(b.column(1)), np.asarray(b.column(0))
+            key = band_hashes(v, WIDTH * threshold, rows, bands).astype(np.int64)
+            sketch = sketches(v, threshold)
+            sketch = sketch.reshape(len(v), -1)
+            own = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)
+            for j in range(bands):
+                k = key[:, j]
+                at = np.searchsorted(hot, k) if len(hot) else np.zeros(len(k), np.int64)
+                cold = hot[np.minimum(at, len(hot) - 1)] != k if len(hot) else np.ones(len(k), bool)
+                yield pa.RecordBatch.from_arrays([pa.array(k[cold]), pa.array(np.zeros(cold.sum(), np.int8)), pa.array(ids[cold]), _binary(sketch[cold])], names)
+                for bucket in np.unique(k[~cold]):
+                    n = blocks[int(bucket)]
+                    in_it = np.flatnonzero(k == bucket)
+                    block = (own[in_it] % np.uint64(n)).astype(np.int64)
+                    for other in range(n):
+                        pair = np.minimum(block, other) * n + np.maximum(block, other)
+                        mixed = (np.uint64(bucket) if bucket >= 0 else np.uint64(int(bucket) + 2**64)) ^ ((pair.astype(np.uint64) + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F))
+                        part = np.where(block == other, 0, np.where(block < other, 1, 2)).astype(np.int8)
+                        yield pa.RecordBatch.from_arrays([pa.array(mixed.astype(np.int64)), pa.array(part), pa.array(ids[in_it]), _binary(sketch[in_it])], names)
+
+    return run
+
+
+def near_by_sketch(a: np.ndarray, b: np.ndarray, limits: np.ndarray) -> np.ndarray:
+    """Whether sketches (..., words, 1 + PLANES) may be those of alike records; the leading dimensions broadcast."""
+    shared = apart = None
+    for w in range(a.shape[-2]):
+        both = a[..., w, 0] & b[..., w, 0]
+        n = np.bitwise_count(both).astype(np.int16)
+        d = np.zeros(n.shape, np.int16)
+        for k in range(1, a.shape[-1]):
+            d += np.bitwise_count((a[..., w, k] ^ b[..., w, k]) & both)
+        shared, apart = (n, d) if shared is None else (shared + n, apart + d)
+    return apart <= limits[shared]
+
+
+def _compared(cells: int, min_shared: int):
+    """Over (bucket, part, pixel_id, sketch) sorted by the first two: the pairs of every bucket that pass by sketch."""
+    limits = _limits(cells, min_shared)
+    words = -(-cells // 64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _whole(batches):
+            bucket, part, ids = (np.asarray(t.column(k).combine_chunks()) for k in range(3))
+            sketch = np.frombuffer(b"".join(t.column(3).to_pylist()), "<u8").reshape(len(ids), words, 1 + PLANES)
+            starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+            ends = np.append(starts[1:], len(ids))
+            left, right = [], []
+            small = (ends - starts > 1) & (ends - starts <= 32) & (part[ends - 1] == 0)
+            for n in np.unique(ends[small] - starts[small]):  # all buckets of one size at once
+                at = starts[small & (ends - starts == n)]
+                i, j = np.triu_indices(n, 1)
+                for k in range(0, len(at), max(1, 65_536 // len(i))):
+                    part_at = at[k : k + max(1, 65_536 // len(i)), None]
+                    a, b = (part_at + i).ravel(), (part_at + j).ravel()
+                    ok = near_by_sketch(sketch[a], sketch[b], limits)
+                    left.append(a[ok])
+                    right.append(b[ok])
+            for s, e in zip(starts, ends, strict=True):
+                if e - s < 2 or (e - s <= 32 and part[e - 1] == 0):
+                    continue
+                cross = part[e - 1] > 0
+                second = s + int(np.searchsorted(part[s:e], 2)) if cross else s
+                step = max(1, 65_536 // max(1, e - second))
+                for i in range(s, second if cross else e, step):
+                    last = min(i + step, second) if cross else min(i + step, e)
+                    first = second if cross else i
+                    a, b = np.nonzero(near_by_sketch(sketch[i:last, None], sketch[None, first:e], limits))
+                    a, b = a + i, b + first
+                    keep = a < b
+                    left.append(a[keep])
+                    right.append(b[keep])
+            if left and sum(map(len, left)):
+                a, b = ids[np.concatenate(left)], ids[np.concatenate(right)]
+                pairs = np.unique(np.column_stack([np.minimum(a, b), np.maximum(a, b)]), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    return run
 
 
 def _verify(threshold: int, min_shared: int):
@@ -295,15 +418,15 @@ def _cells(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<i2").reshape(len(column), -1)
 
 
-PARTED = "pixel_id bigint, rep bigint, medoid bigint, first boolean"
+PARTED = "pixel_id bigint, own boolean, medoid bigint, first boolean"
 
 
 def _part(threshold: int, min_shared: int):
-    """Over (label, pixel_id, rep, cells) sorted by label and pixel_id: each component cut into sets of records all alike to each other."""
+    """Over (label, pixel_id, own, cells) sorted by label and pixel_id: each component cut into sets of records all alike to each other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _whole(batches):
-            label, ids, rep = (np.asarray(t.column(k).combine_chunks()) for k in range(3))
+            label, ids, own_buckets = (np.asarray(t.column(k).combine_chunks()) for k in range(3))
             v = _cells(t.column(3))
             starts = np.flatnonzero(np.concatenate([[True], label[1:] != label[:-1]]))
             ends = np.append(starts[1:], len(label))
@@ -316,6 +439,9 @@ def _part(threshold: int, min_shared: int):
             first = np.ones(len(ids), bool)
             for s, e, k in zip(starts, ends, inside, strict=True):
                 own, d, c = v[s:e], far[s:e], core[s:e]
+                if e - s == 1:
+                    medoid[s] = ids[s]
+                    continue
                 if k == e - s:
                     medoid[s:e] = ids[s + np.argmin(d)]
                     continue
@@ -336,7 +462,7 @@ def _part(threshold: int, min_shared: int):
                     off = (np.abs(own[at] - total / np.maximum(n, 1)) * both).sum(1) / both.sum(1)
                     medoid[s + at] = ids[s + at[np.argmin(off)]]
                     first[s + at] = g == largest
-            yield from pa.table([ids, rep, medoid, first], names=["pixel_id", "rep", "medoid", "first"]).to_batches()
+            yield from pa.table([ids, own_buckets, medoid, first], names=["pixel_id", "own", "medoid", "first"]).to_batches()
 
     return run
 
@@ -351,53 +477,28 @@ def _beside(v: np.ndarray, fits: np.ndarray, threshold: int, min_shared: int) ->
     return out
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows of buckets with more than one."""
-    for t in _whole(batches):
-        h = np.asarray(t.column(0).combine_chunks())
-        new = np.concatenate([[True], h[1:] != h[:-1], [True]])
-        yield from t.filter(pa.array(~(new[:-1] & new[1:]))).to_batches()
+def candidate_pairs(reps: DataFrame, threshold: int, min_shared: int, block: int = BLOCK) -> DataFrame:
+    """(a, b): pairs of records of (pixel_id, cells) that share a bucket and pass by sketch."""
+    found = reps.agg(F.count("*"), F.max(F.length("cells"))).first()
+    rows, bands = plan_bands(found[0])
+    sizes = reps.select("pixel_id", "cells").mapInArrow(_sizes(rows, bands, threshold), "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") > block)
+    blocks = {r["bucket"]: -(-r["n"] // block) for r in sizes.collect()}  # at most records x bands / block
+    rows_of = reps.select("pixel_id", "cells").mapInArrow(_buckets(rows, bands, threshold, blocks), BUCKETED)
+    return rows_of.repartition("bucket").sortWithinPartitions("bucket", "part").mapInArrow(_compared((found[1] or 2) // 2, min_shared), "a bigint, b bigint").distinct()
 
 
-def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over (bucket, label, pixel_id) sorted by all: every pair of a bucket whose labels differ."""
-    for t in _whole(batches):
-        h, label, ids = (np.asarray(c.combine_chunks()) for c in t.columns)
-        rows = np.arange(len(h))
-        new = np.concatenate([[True], h[1:] != h[:-1]])
-        bucket = np.maximum.accumulate(np.where(new, rows, 0))
-        start = np.maximum.accumulate(np.where(new | np.concatenate([[True], label[1:] != label[:-1]]), rows, 0))
-        before = start - bucket
-        ends = np.cumsum(before)
-        i = 0
-        while i < len(h):
-            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + 1_000_000, side="right")))
-            n = before[i:j]
-            a = np.repeat(rows[i:j], n)
-            b = np.repeat(bucket[i:j], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            if len(a):
-                pairs = np.unique(np.column_stack([np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])]), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-            i = j
-
-
-def candidate_components(folded: DataFrame, threshold: int, min_shared: int) -> DataFrame:
-    """(rep, label) of all representatives that have a link. Every two representatives that share a bucket are in one component or were compared by the exact rule."""
-    cells = folded.select("pixel_id", "cells")
-    buckets = folded.where("hashes is not null").select("pixel_id", "hashes").mapInArrow(_buckets, "bucket bigint, pixel_id bigint")
-    order = lambda df, *by: df.repartition("bucket").sortWithinPartitions("bucket", *by)
-    shared = cut(order(buckets, "pixel_id").mapInArrow(_shared, "bucket bigint, pixel_id bigint"))
-    star = order(shared, "pixel_id").mapInArrow(_links, "a bigint, b bigint").distinct()
-    labels = cut(components(verified(star, cells, threshold, min_shared).where("ok")))
-    named = shared.join(labels.withColumnRenamed("node", "pixel_id"), "pixel_id", "left").select("bucket", F.coalesce("label", "pixel_id").alias("label"), "pixel_id")
-    rest = order(named, "label", "pixel_id").mapInArrow(_crossing, "a bigint, b bigint").distinct()
-    links = cut(verified(rest, cells, threshold, min_shared).where("ok").select("a", "b"))
-    release(shared)
-    for end in ("a", "b"):
-        links = links.join(labels.withColumnsRenamed({"node": end, "label": "own"}), end, "left").withColumn(f"l{end}", F.coalesce("own", end)).drop("own")
-    joined = components(links.select(F.col("la").alias("a"), F.col("lb").alias("b"))).select(F.col("node").alias("label"), F.col("label").alias("to"))
-    nodes = labels.unionByName(joined.select(F.col("label").alias("node"), "label")).distinct()
-    return cut(nodes.join(joined, "label", "left").select(F.col("node").alias("rep"), F.coalesce("to", "label").alias("label")).groupBy("rep").agg(F.min("label").alias("label")))
+def linked_components(folded: DataFrame, threshold: int, min_shared: int, folds: bool) -> DataFrame:
+    """(rep, label, own) of all representatives that have a link; own: it stood in buckets of its own."""
+    reps = folded.where("pixel_id = rep").select("pixel_id", "cells")
+    twice = reps.select("pixel_id", F.col("pixel_id").alias("rep"), "cells")
+    if folds:
+        together = reps.mapInArrow(_coarse(threshold), "pixel_id bigint, cells binary, coarse bigint").repartition("coarse").sortWithinPartitions("coarse").select("pixel_id", "cells")
+        twice = cut(together.mapInArrow(_local(threshold, min_shared), FOLDED))
+    own = twice.where("pixel_id = rep").select("pixel_id", "cells")
+    links = verified(candidate_pairs(own, threshold, min_shared), own, threshold, min_shared).where("ok").select("a", "b")
+    second = twice.where("pixel_id <> rep").select(F.col("pixel_id").alias("rep"), F.lit(False).alias("own"))
+    labels = components(links.unionByName(twice.where("pixel_id <> rep").select(F.col("pixel_id").alias("a"), F.col("rep").alias("b"))))
+    return cut(labels.withColumnRenamed("node", "rep").join(second, "rep", "left").select("rep", "label", F.coalesce("own", F.lit(True)).alias("own")))
 
 
 def _hot_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -417,7 +518,7 @@ def _hot_reach(centres: dict[int, np.ndarray], threshold: int, min_shared: int):
                 v = _cells(b.column(3))
                 far = reach(v, np.stack([centres[x] for x in b.column(0).to_pylist()]), min_shared)
                 more = [pa.array(far), pa.array((v > 0).sum(1).astype(np.int32)), pa.array(_core(v, far, threshold, min_shared))]
-                yield pa.RecordBatch.from_arrays([*b.columns, *more], ["label", "pixel_id", "rep", "cells", "far", "seen", "core"])
+                yield pa.RecordBatch.from_arrays([*b.columns, *more], ["label", "pixel_id", "own", "cells", "far", "seen", "core"])
 
     return run
 
@@ -427,7 +528,7 @@ def _hot_beside(threshold: int, min_shared: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _whole(batches):
-            label, ids, rep, core = (np.asarray(t.column(k).combine_chunks()) for k in (0, 1, 2, 5))
+            label, ids, own_buckets, core = (np.asarray(t.column(k).combine_chunks()) for k in (0, 1, 2, 5))
             v, fits = _cells(t.column(3)), np.asarray(t.column(4).combine_chunks())
             medoid, first = np.empty_like(ids), np.zeros(len(ids), bool)
             for x in np.unique(label):
@@ -437,13 +538,13 @@ def _hot_beside(threshold: int, min_shared: int):
                     at = own[group == g]
                     medoid[at] = core[at[0]] if g == 0 else ids[at[0]]
                     first[at] = g == 0
-            yield from pa.table([ids, rep, medoid, first], names=["pixel_id", "rep", "medoid", "first"]).to_batches()
+            yield from pa.table([ids, own_buckets, medoid, first], names=["pixel_id", "own", "medoid", "first"]).to_batches()
 
     return run
 
 
 def partition(members: DataFrame, threshold: int, min_shared: int, hot: int = HOT) -> DataFrame:
-    """(pixel_id, rep, medoid, first) for (label, pixel_id, rep, cells): components cut into sets all alike; first marks the largest set of each, or its core.
+    """(pixel_id, own, medoid, first) for (label, pixel_id, own, cells): components cut into sets all alike; first marks the largest set of each, or its core.
 
     A component of at most `hot` records, or one without a core of more than half of them, is one task's. The core of a hotter one is found by reach from its mean series where the
     records stand; only the records beside it are compared with the core, and only with those that their reach leaves open.
@@ -458,7 +559,7 @@ def partition(members: DataFrame, threshold: int, min_shared: int, hot: int = HO
     for r in hottest.mapInArrow(_hot_sums, "label bigint, total array<bigint>, n array<bigint>").select("label", F.posexplode(F.arrays_zip("total", "n"))).groupBy("label", "pos").agg(F.sum("col.total").alias("t"), F.sum("col.n").alias("n")).collect():
         centres.setdefault(r["label"], []).append((r["pos"], round(r["t"] / max(1, r["n"]))))
     centre = {k: np.array([x for _, x in sorted(c)], np.int32) for k, c in centres.items()}
-    found = cut(hottest.mapInArrow(_hot_reach(centre, threshold, min_shared), "label bigint, pixel_id bigint, rep bigint, cells binary, far double, seen int, core boolean"))
+    found = cut(hottest.mapInArrow(_hot_reach(centre, threshold, min_shared), "label bigint, pixel_id bigint, own boolean, cells binary, far double, seen int, core boolean"))
     cores = {r["label"]: r["core"] for r in found.where("core").groupBy("label").agg(F.count("*").alias("k"), F.min(F.struct("far", "pixel_id"))["pixel_id"].alias("core")).collect() if 2 * r["k"] > counts[r["label"]]}
     plain = part(members.where(~F.col("label").isin(list(cores))))
     if not cores:
@@ -470,30 +571,29 @@ def partition(members: DataFrame, threshold: int, min_shared: int, hot: int = HO
     x, y = beside.select("label", F.col("pixel_id").alias("a"), F.col("cells").alias("va"), F.col("far").alias("fa"), F.col("seen").alias("sa")), inner.select("label", F.col("pixel_id").alias("b"), F.col("cells").alias("vb"), F.col("far").alias("fb"), F.col("seen").alias("sb"))
     unsure = x.join(y, "label").where(f"fa + fb > {threshold} or sa + sb < {width + min_shared}").select("a", "b", "va", "vb")
     wrong = unsure.mapInArrow(_verify(threshold, min_shared), "a bigint, b bigint, ok boolean").where("not ok").select(F.col("a").alias("pixel_id"), F.lit(False).alias("fits")).distinct()
-    rest = beside.join(wrong, "pixel_id", "left").select("label", "pixel_id", "rep", "cells", F.coalesce("fits", F.lit(True)).alias("fits"), medoid.alias("core"))
+    rest = beside.join(wrong, "pixel_id", "left").select("label", "pixel_id", "own", "cells", F.coalesce("fits", F.lit(True)).alias("fits"), medoid.alias("core"))
     rest = rest.repartition("label").sortWithinPartitions("label", "pixel_id").mapInArrow(_hot_beside(threshold, min_shared), PARTED)
-    return plain.unionByName(inner.select("pixel_id", "rep", medoid.alias("medoid"), F.lit(True).alias("first"))).unionByName(rest)
+    return plain.unionByName(inner.select("pixel_id", "own", medoid.alias("medoid"), F.lit(True).alias("first"))).unionByName(rest)
 
 
-def _settled(folded: DataFrame, threshold: int, min_shared: int, hot: int) -> DataFrame:
-    labels = candidate_components(folded, threshold, min_shared)
-    named = folded.join(labels, "rep", "left").select(F.coalesce("label", "rep").alias("label"), "pixel_id", "rep", "cells")
+def _settled(folded: DataFrame, threshold: int, min_shared: int, hot: int, folds: bool) -> DataFrame:
+    labels = linked_components(folded, threshold, min_shared, folds)
+    named = folded.join(labels, "rep", "left").select(F.coalesce("label", "rep").alias("label"), "pixel_id", ((F.col("pixel_id") == F.col("rep")) & F.coalesce("own", F.lit(True))).alias("own"), "cells")
     return cut(partition(named, threshold, min_shared, hot))
 
 
-def groups(series: DataFrame, threshold: int = THRESHOLD, min_shared: int = MIN_SHARED, width: int = WIDTH, rows: int = ROWS, bands: int = BANDS, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
-    """(pixel_id, rep, medoid, size, least) of all records that have a group, and the table (pixel_id, cells). series: (pixel_id, cells int16)."""
-    local = lambda df, folds: cut(df.select("pixel_id", "cells").mapInArrow(_local(width, rows, bands, threshold, min_shared, folds), FOLDED))
-    folded = local(series, True)
-    settled = _settled(folded, threshold, min_shared, hot)
-    if not settled.where("not first and pixel_id <> rep").isEmpty():
+def groups(series: DataFrame, threshold: int = THRESHOLD, min_shared: int = MIN_SHARED, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+    """(pixel_id, medoid, size, least) of all records that have a group, and the table (pixel_id, cells). series: (pixel_id, cells int16)."""
+    folded = cut(series.select("pixel_id", "cells").mapInArrow(_local(threshold, min_shared), FOLDED))
+    settled = _settled(folded, threshold, min_shared, hot, True)
+    if not settled.where("not first and not own").isEmpty():
         # Records that left their representative's group had no buckets of their own: all without a group, and those beside their component's first one, are searched again, each for itself.
         alone = settled.groupBy("medoid").agg((F.count("*") == 1).alias("alone"))
         marked = cut(settled.join(alone, "medoid").withColumn("again", ~F.col("first") | F.col("alone")))
-        pool = folded.join(marked.where("again").select("pixel_id"), "pixel_id", "left_semi")
-        settled = marked.where("not again").select("pixel_id", "rep", "medoid").unionByName(_settled(local(pool, False), threshold, min_shared, hot).select("pixel_id", "rep", "medoid"))
+        pool = folded.join(marked.where("again").select("pixel_id"), "pixel_id", "left_semi").select("pixel_id", F.col("pixel_id").alias("rep"), "cells")
+        settled = marked.where("not again").select("pixel_id", "medoid").unionByName(_settled(pool, threshold, min_shared, hot, False).select("pixel_id", "medoid"))
     sizes = settled.groupBy("medoid").agg(F.count("*").alias("size"), F.min("pixel_id").alias("least")).where("size > 1")
-    return settled.join(sizes, "medoid").select("pixel_id", "rep", "medoid", "size", "least"), folded.select("pixel_id", "cells")
+    return settled.join(sizes, "medoid").select("pixel_id", "medoid", "size", "least"), folded.select("pixel_id", "cells")
 
 
 def typical(members: DataFrame, cells: DataFrame, top: int = 3, salts: int = 32) -> DataFrame:

@@ -67,7 +67,7 @@ def test_few_shared_cells_empty_and_alone(spark):
 def test_loose_component_splits_around_medoids(spark):
     base = np.full(72, 3000)
     v = np.array([base + 150 * k for k in range(5)])  # a chain: neighbours are alike, ends are not
-    members, _ = c.groups(series(spark, v), threshold=200, width=4000)
+    members, _ = c.groups(series(spark, v), threshold=200)
     for r in members.collect():
         assert bool(c.alike(v[r.pixel_id][None], v[r.medoid][None], 200, 30)[0])
 
@@ -79,14 +79,6 @@ def test_components(spark):
     assert c.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_bucket_links_carry_over_batches():
-    import pyarrow as pa
-
-    batch = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows])], ["bucket", "pixel_id"])
-    out = [tuple(x.values()) for b in c._links(iter([batch([(1, 5), (1, 6)]), batch([(1, 9), (2, 3)]), batch([(3, 1), (3, 2)])])) for x in b.to_pylist()]
-    assert set(out) == {(6, 5), (9, 5), (9, 6), (2, 1)}
-
-
 def test_typical_members(spark):
     base = np.full(72, 3000)
     v = np.array([base, base + 10, base + 20, base + 30, base + 40])

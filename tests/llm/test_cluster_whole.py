@@ -25,22 +25,51 @@ def all_alike(spark, v, **kw):
     return sorted(sorted(x) for x in by.values())
 
 
-def test_every_pair_of_a_bucket_is_compared_or_in_one_component():
+@pytest.mark.parametrize("sizes", [[1, 2, 3], [40, 5, 2], [200]])
+def test_every_pair_of_a_bucket_is_compared(sizes):
     import pyarrow as pa
 
-    rows = [(1, 5, 5), (1, 5, 6), (1, 9, 7), (2, 3, 3), (2, 8, 8)]
-    batches = [pa.RecordBatch.from_arrays([pa.array(list(x)) for x in zip(*part)], ["bucket", "label", "pixel_id"]) for part in (rows[:2], rows[2:4], rows[4:])]
-    got = {tuple(x.values()) for b in c._crossing(iter(batches)) for x in b.to_pylist()}
-    assert got == {(5, 7), (6, 7), (3, 8)}
-
-
-@pytest.mark.parametrize("mad,missing", [(150, 0.1), (199, 0), (199, 0.1)])
+    rng = np.random.default_rng(2)
+    v = np.concatenate([np.clip(rng.integers(1000, 6000, 72) + rng.integers(-150, 151, (n, 72)), 1, 20000) for n in sizes]).astype(np.int16)
+    bucket = np.repeat(np.arange(len(sizes)), sizes)
+    sketch = c.sketches(v, 200)
+    near = {(i, j) for i in range(len(v)) for j in range(i + 1, len(v)) if bucket[i] == bucket[j] and c.near_by_sketch(sketch[i], sketch[j], c._limits(72, 30))}
+    table = pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(np.zeros(len(v), np.int8)), pa.array(np.arange(len(v))), c._binary(sketch.reshape(len(v), -1))], ["bucket", "part", "pixel_id", "sketch"])
+    cut = len(v) // 2
+    got = {tuple(x.values()) for b in c._compared(72, 30)(iter([table.slice(0, cut), table.slice(cut)])) for x in b.to_pylist()}
+    assert got == near
+
+
+@pytest.mark.parametrize("block", [c.BLOCK, 40, 7])
+def test_hot_buckets_in_blocks_lose_no_pair(spark, block):
+    rng = np.random.default_rng(6)
+    v = np.clip(rng.integers(1000, 6000, 72) + rng.integers(-330, 331, (150, 72)), 1, 20000).astype(np.int16)
+    near = c.near_by_sketch(c.sketches(v, 200)[:, None], c.sketches(v, 200)[None], c._limits(72, 30))
+    rows, bands = c.plan_bands(len(v))
+    h = c.band_hashes(v, 800, rows, bands)
+    want = {(i, j) for i in range(len(v)) for j in range(i + 1, len(v)) if near[i, j] and (h[i] == h[j]).any()}
+    got = {(r.a, r.b) for r in c.candidate_pairs(series(spark, v), 200, 30, block).collect()}
+    assert got == want and len(want) > 1000
+
+
+@pytest.mark.parametrize("mad", [150, 199])
+@pytest.mark.parametrize("missing", [0, 0.1, 0.17, 0.25])
 def test_recall_near_the_threshold(mad, missing):
-    v = pairs_at(np.random.default_rng(3), mad, missing, 1000)
+    v = pairs_at(np.random.default_rng(3), mad, missing, 1500)
     a, b = v[::2], v[1::2]
     ok = c.alike(a, b)
-    hit = (c.band_hashes(a, c.WIDTH, c.ROWS, c.BANDS) == c.band_hashes(b, c.WIDTH, c.ROWS, c.BANDS)).any(1)
-    assert hit[ok].mean() >= 0.985
+    rows, bands = c.plan_bands(50_000)
+    hit = (c.band_hashes(a, 800, rows, bands) == c.band_hashes(b, 800, rows, bands)).any(1) & c.near_by_sketch(c.sketches(a, 200), c.sketches(b, 200), c._limits(72, 30))
+    assert hit[ok].mean() >= (0.985 if missing <= 0.1 else 0.9)
+
+
+def test_recall_is_kept_at_larger_sizes():
+    v = pairs_at(np.random.default_rng(3), 199, 0.1, 1500)
+    ok = c.alike(v[::2], v[1::2])
+    for n in (1_000_000, 100_000_000):
+        rows, bands = c.plan_bands(n)
+        hit = (c.band_hashes(v[::2], 800, rows, bands) == c.band_hashes(v[1::2], 800, rows, bands)).any(1)
+        assert hit[ok].mean() >= 0.985
 
 
 def test_pairs_far_apart_in_one_class(spark):
