@@ -1,22 +1,20 @@
-"""Filling containers of fixed capacity with documents measured in tokens, by greedy bin completion on the histogram of sizes.
+"""Filling containers of fixed capacity with documents measured in tokens, by bin completion on the histogram of sizes.
 
-Packs only depend on sizes, and there are at most `capacity` sizes, so the search runs on the histogram: a table bounded by the capacity, not by the data.
-For each capacity one task runs bin completion: around the largest size left it enumerates fillings of the remaining room,
-larger sizes first, and keeps the fullest so far as incumbent, beginning with best fit; it ends at a full pack or after a number of steps. A filling is used as often as the histogram
-allows. Other fillings of the same item are not tried again later: no backtracking over packs, no bound on the waste of the whole plan, so the number of packs need not be the least. The plan says which ranks of a size go to which packs; documents get their rank within their size distributedly (offsets per size and hash bucket, so a size that
-a third of all documents share is ranked in many tasks) and look their packs up in the plan.
+Packs only depend on sizes, and there are at most `capacity` sizes, so the search (`completion.py`: branch and bound over undominated fillings around the largest item, pruned by waste,
+best fit as the first incumbent) runs on the histogram: a table bounded by the capacity, not by the data. One task searches for each capacity. The plan it writes says which ranks of a size
+go to which packs. Documents get their rank within their size distributedly (offsets per size and hash bucket, so a size that a third of all documents share is ranked in many tasks), and
+each hash bucket is joined with the stretch of the plan that its ranks meet; the plan is a table throughout and is never collected.
 
 A text longer than the capacity is cut into pieces of exactly the capacity, each a pack of its own, and one rest, which is packed like any other.
 
 Defined results: null and empty texts have no tokens, take no room and stand in pack 0; texts may be of any length; repeated documents are
-items of their own; a null doc_id is an ordinary value; a pack_sizes row with a null or non-positive capacity is left out, repeated ones count once; empty tables give empty results.
+items of their own; a null doc_id is an ordinary value; a pack_sizes row with a null or non-positive capacity is left out, repeated ones count once, a null name is a name; empty tables give empty results.
 """
 
 from __future__ import annotations
 
 import base64
 import re
-from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,9 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from landloom.llm.completion import STEPS, complete_bins, least_packs
+from landloom.session import cut
+
 DEFAULT_RANKS = "byte_bpe_50k.tiktoken"
-BUCKETS = 64
-MOST_CAPACITY = 4_000_000
+BUCKET_ITEMS = 50_000
 
 
 def tokenizer_path(name: str = DEFAULT_RANKS) -> str:
@@ -81,149 +81,99 @@ def count_tokens(documents: DataFrame, path: str, doc_id: str = "doc_id", text:
     return documents.select(documents[doc_id].cast("bigint").alias("doc_id"), documents[text].cast("string").alias("text")).mapInArrow(run, "doc_id bigint, n_tokens bigint")
 
 
-def best_filling(sizes: list[int], counts: dict[int, int], room: int, mass: int, nodes: int = 4_000) -> dict[int, int]:
-    """Sizes and copies whose sum is as near to room as possible without passing it. sizes: ascending, counts > 0; mass: the sum of all of them.
-
-    Branch and bound over the sizes from large to small and over the copies of a size from many to few. The first descent is best fit and
-    gives the first incumbent. A branch ends where no size fits any more; the search ends when the room is filled exactly, and otherwise after `nodes`
-    steps with the incumbent. Depth is at most the number of different sizes in a filling.
-    """
-    if mass <= room:
-        return {s: counts[s] for s in sizes}
-    best: dict[int, int] = {}
-    best_sum = 0
-    chosen: dict[int, int] = {}
-    left = nodes
-    smallest = sizes[0] if sizes else room + 1
-
-    def go(room_left: int, hi: int, total: int) -> bool:
-        nonlocal best, best_sum, left
-        if total > best_sum:
-            best, best_sum = chosen.copy(), total
-            if total == room:
-                return True
-        if room_left < smallest:
-            return False
-        for k in range(min(hi, bisect_right(sizes, room_left)) - 1, -1, -1):
-            s = sizes[k]
-            for copies in range(min(counts[s], room_left // s), 0, -1):
-                left -= 1
-                if left < 0:
-                    return True
-                chosen[s] = copies
-                if go(room_left - copies * s, k, total + copies * s):
-                    return True
-                del chosen[s]
-        return False
-
-    go(room, len(sizes), 0)
-    return best
-
-
-def complete_bins(histogram: dict[int, int], capacity: int, nodes: int = 4_000) -> list[tuple[dict[int, int], int]]:
-    """Fillings and how often each is used: every item of the histogram (sizes 1..capacity) once."""
-    counts = {s: n for s, n in histogram.items() if n > 0}
-    sizes = sorted(counts)
-    mass = sum(s * n for s, n in counts.items())
-    out: list[tuple[dict[int, int], int]] = []
-    while sizes:
-        largest = sizes[-1]
-        # The largest item opens the pack; copies of it may also fill the room.
-        counts[largest] -= 1
-        rest = sizes if counts[largest] else sizes[:-1]
-        pattern = dict(best_filling(rest, counts, capacity - largest, mass - largest, nodes))
-        counts[largest] += 1
-        pattern[largest] = pattern.get(largest, 0) + 1
-        times = min(counts[s] // k for s, k in pattern.items())
-        for s, k in pattern.items():
-            counts[s] -= k * times
-            mass -= s * k * times
-            if not counts[s]:
-                sizes.pop(bisect_left(sizes, s))
-        out.append((pattern, times))
-    return out
-
-
 def pieces(sizes: DataFrame, capacities: DataFrame) -> DataFrame:
     """(pack_name, capacity, doc_id, piece_no, size): whole texts, or full pieces and a rest where a text is longer than the capacity."""
     caps = capacities.where(F.col("capacity_tokens") > 0).select("pack_name", F.col("capacity_tokens").cast("bigint").alias("capacity")).distinct()
-    bounds = caps.groupBy().agg(F.sum("capacity").alias("all"), F.sort_array(F.collect_set(F.struct("pack_name", "capacity"))).alias("each")).first()
-    if (bounds["all"] or 0) > MOST_CAPACITY:
-        raise ValueError(f"capacities add up to more than {MOST_CAPACITY} tokens")
     spark = sizes.sparkSession
-    if not bounds["each"]:
+    bounds = caps.orderBy("pack_name", "capacity").collect()  # a row per capacity
+    if not bounds:
         return spark.createDataFrame([], "pack_name string, capacity bigint, doc_id bigint, piece_no int, size bigint")
-    each = F.array(*[F.struct(F.lit(r["pack_name"]).cast("string").alias("pack_name"), F.lit(r["capacity"]).cast("bigint").alias("capacity")) for r in bounds["each"]])
+    each = F.array(*[F.struct(F.lit(r["pack_name"]).cast("string").alias("pack_name"), F.lit(r["capacity"]).cast("bigint").alias("capacity")) for r in bounds])
     rows = sizes.select("doc_id", "n_tokens", F.explode(each).alias("c")).select("c.pack_name", "c.capacity", "doc_id", "n_tokens")
     last = F.greatest(F.lit(0), F.ceil(F.col("n_tokens") / F.col("capacity")) - 1).cast("int")
     rows = rows.withColumn("piece_no", F.explode(F.sequence(F.lit(0), last)))
     return rows.select("pack_name", "capacity", "doc_id", "piece_no", F.least("capacity", F.col("n_tokens") - F.col("piece_no") * F.col("capacity")).alias("size"))
 
 
-PLAN = "pack_name string, size bigint, first_rank bigint, each bigint, first_pack bigint"
+PLAN = "pack_name string, capacity bigint, size bigint, first_rank bigint, each bigint, times bigint, first_pack bigint, proven boolean"
 
 
-def _plan(nodes: int):
+def _plan(steps: int):
     def run(table: pa.Table) -> pa.Table:
         name, capacity = table["pack_name"][0].as_py(), table["capacity"][0].as_py()
         histogram = dict(zip(table["size"].to_pylist(), table["n"].to_pylist(), strict=True))
+        full = histogram.pop(capacity, 0)
+        found, proven = complete_bins(histogram, capacity, steps)
         used: dict[int, int] = {}
         rows = []
         pack = 0
-        for pattern, times in complete_bins(histogram, capacity, nodes):
+        for pattern, times in [*([({capacity: 1}, full)] if full else []), *found]:
             for s, k in pattern.items():
-                rows.append((name, s, used.get(s, 0), k, pack))
+                rows.append((name, capacity, s, used.get(s, 0), k, times, pack, proven))
                 used[s] = used.get(s, 0) + k * times
             pack += times
-        cols = list(zip(*rows, strict=True)) or [[]] * 5
-        return pa.table({n: pa.array(c, pa.string() if n == "pack_name" else pa.int64()) for n, c in zip(("pack_name", "size", "first_rank", "each", "first_pack"), cols, strict=True)})
+        cols = list(zip(*rows, strict=True)) or [[]] * 8
+        kinds = [pa.string(), *[pa.int64()] * 6, pa.bool_()]
+        return pa.table([pa.array(c, kind) for c, kind in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in PLAN.split(", ")])
 
     return run
 
 
-def _assign(plan: dict[tuple[str, int], tuple[np.ndarray, np.ndarray, np.ndarray]]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            names, size, rank = b.column(0).to_pylist(), np.asarray(b.column(3)), np.asarray(b.column(4))
-            pack = np.zeros(len(size), np.int64)
-            codes: dict = {}
-            code = np.array([codes.setdefault(x, len(codes)) for x in names])
-            order = np.lexsort((size, code))
-            new = np.flatnonzero(np.concatenate([[True], (code[order][1:] != code[order][:-1]) | (size[order][1:] != size[order][:-1])]))
-            for s, e in zip(new, [*new[1:], len(order)], strict=True):
-                at = order[s:e]
-                if size[at[0]] > 0:
-                    first, each, packs = plan[names[at[0]], int(size[at[0]])]
-                    i = np.searchsorted(first, rank[at], side="right") - 1
-                    pack[at] = packs[i] + (rank[at] - first[i]) // each[i]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pack), b.column(1), b.column(2), b.column(3)], ["pack_name", "pack_no", "doc_id", "piece_no", "n_tokens"])
+ITEM = ["pack_name", "doc_id", "piece_no", "size"]
 
-    return run
+
+def _assign(key: tuple, items: pa.Table, plan: pa.Table) -> pa.Table:
+    """The packs of one hash bucket's items. plan: the bucket's stretches of the plan, with the rank that the bucket's first item of each size has."""
+    if not items.num_rows:
+        return pa.table({"pack_name": pa.array([], pa.string()), "pack_no": pa.array([], pa.int64()), "doc_id": pa.array([], pa.int64()), "piece_no": pa.array([], pa.int32()), "n_tokens": pa.array([], pa.int64())})
+    items = items.sort_by([("size", "ascending"), ("doc_id", "ascending"), ("piece_no", "ascending")])
+    plan = plan.sort_by([("size", "ascending"), ("first_rank", "ascending")])
+    size = np.asarray(items["size"])
+    pack = np.zeros(len(size), np.int64)
+    ps = np.asarray(plan["size"])
+    first, each, packs, offset = (np.asarray(plan[c]) for c in ("first_rank", "each", "first_pack", "offset"))
+    starts = np.flatnonzero(np.concatenate([[True], size[1:] != size[:-1]]))
+    for s, e in zip(starts, [*starts[1:], len(size)], strict=True):
+        if size[s] > 0:
+            lo, hi = np.searchsorted(ps, size[s]), np.searchsorted(ps, size[s], side="right")
+            rank = offset[lo] + np.arange(e - s)
+            i = lo + np.searchsorted(first[lo:hi], rank, side="right") - 1
+            pack[s:e] = packs[i] + (rank - first[i]) // each[i]
+    return pa.table([items["pack_name"], pa.array(pack), items["doc_id"], items["piece_no"], items["size"]], names=["pack_name", "pack_no", "doc_id", "piece_no", "n_tokens"])
 
 
-def pack(sizes: DataFrame, capacities: DataFrame, nodes: int = 4_000) -> DataFrame:
+def plan_packs(items: DataFrame, steps: int = STEPS) -> DataFrame:
+    """The plan for (pack_name, capacity, size) of all items: a filling that is used `times` times from first_pack on takes `each` items of a size, from first_rank on."""
+    histogram = items.where("size > 0").groupBy("pack_name", "capacity", "size").agg(F.count("*").alias("n"))
+    return histogram.groupBy("pack_name", "capacity").applyInArrow(_plan(steps), PLAN)
+
+
+def pack(sizes: DataFrame, capacities: DataFrame, steps: int = STEPS, bucket_items: int = BUCKET_ITEMS) -> DataFrame:
     """(pack_name, pack_no, doc_id, piece_no, n_tokens) for sizes (doc_id, n_tokens)."""
     items = pieces(sizes, capacities)
-    histogram = items.where("size > 0").groupBy("pack_name", "capacity", "size").agg(F.count("*").alias("n"))
-    planned = histogram.groupBy("pack_name").applyInArrow(_plan(nodes), PLAN).orderBy("pack_name", "size", "first_rank").collect()  # bounded by the sizes that fillings use up
-    plan: dict = {}
-    for r in planned:
-        plan.setdefault((r["pack_name"], r["size"]), []).append((r["first_rank"], r["each"], r["first_pack"]))
-    plan = {k: tuple(np.array(c, np.int64) for c in zip(*v, strict=True)) for k, v in plan.items()}
-    bucketed = items.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece_no"), F.lit(BUCKETS)).cast("int"))
-    counts = bucketed.groupBy("pack_name", "size", "bucket").agg(F.count("*").alias("n"))
+    plan = cut(plan_packs(items, steps))
+    buckets = max(1, -(-items.groupBy("pack_name").count().agg(F.max("count")).first()[0] // bucket_items)) if items.take(1) else 1
+    bucketed = items.select(*ITEM, F.pmod(F.xxhash64("doc_id", "piece_no"), F.lit(buckets)).cast("int").alias("bucket"))
+    counts = bucketed.where("size > 0").groupBy("pack_name", "size", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("pack_name", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("pack_name", "size", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    inner = Window.partitionBy("pack_name", "size", "bucket").orderBy("doc_id", "piece_no")
-    ranked = bucketed.withColumn("r", F.row_number().over(inner) - 1).join(offsets, ["pack_name", "size", "bucket"]).select("pack_name", "doc_id", "piece_no", "size", (F.col("offset") + F.col("r")).alias("rank"))
-    return ranked.mapInArrow(_assign(plan), "pack_name string, pack_no bigint, doc_id bigint, piece_no int, n_tokens bigint")
+    ranges = counts.select(F.col("pack_name").alias("of_pack"), F.col("size").alias("of_size"), F.col("bucket").alias("of_bucket"), "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    meets = (F.col("first_rank") < F.col("offset") + F.col("n")) & (F.col("first_rank") + F.col("each") * F.col("times") > F.col("offset"))
+    same = F.col("pack_name").eqNullSafe(F.col("of_pack")) & (F.col("size") == F.col("of_size"))
+    stretches = plan.join(ranges, same).where(meets).select("of_pack", "of_bucket", "size", "first_rank", "each", "first_pack", "offset")
+    return bucketed.groupBy("pack_name", "bucket").cogroup(stretches.groupBy("of_pack", "of_bucket")).applyInArrow(_assign, "pack_name string, pack_no bigint, doc_id bigint, piece_no int, n_tokens bigint")
 
 
 def usage(packed: DataFrame, capacities: DataFrame) -> DataFrame:
-    """Per pack size: packs, tokens, empty room as a share, and the least number of packs that could do."""
+    """Per pack size: packs, tokens, empty room as a share, and the least number of packs that could do (the greater of tokens over capacity and Martello and Toth's L2)."""
     caps = capacities.where(F.col("capacity_tokens") > 0).select("pack_name", F.col("capacity_tokens").cast("bigint").alias("capacity")).distinct()
+
+    def bound(table: pa.Table) -> pa.Table:
+        name, capacity = table["pack_name"][0].as_py(), table["capacity"][0].as_py()
+        histogram = dict(zip(table["n_tokens"].to_pylist(), table["n"].to_pylist(), strict=True))
+        return pa.table({"pack_name": pa.array([name], pa.string()), "least_packs": pa.array([least_packs(histogram, capacity)], pa.int64())})
+
     sums = packed.groupBy("pack_name").agg((F.max("pack_no") + 1).alias("n_packs"), F.sum("n_tokens").alias("n_tokens"))
+    histogram = packed.where("n_tokens > 0").groupBy("pack_name", "n_tokens").agg(F.count("*").alias("n")).join(caps, "pack_name")
+    least = histogram.groupBy("pack_name").applyInArrow(bound, "pack_name string, least_packs bigint")
     room = F.col("n_packs") * F.col("capacity")
-    return sums.join(caps, "pack_name").select("pack_name", "capacity", "n_packs", "n_tokens", F.ceil(F.col("n_tokens") / F.col("capacity")).alias("least_packs"), (F.lit(1.0) - F.col("n_tokens") / room).alias("empty_share"))
+    return sums.join(caps, "pack_name").join(least, "pack_name", "left").select("pack_name", "capacity", "n_packs", "n_tokens", F.coalesce("least_packs", F.lit(0)).alias("least_packs"), (F.lit(1.0) - F.col("n_tokens") / room).alias("empty_share"))
