@@ -29,11 +29,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_split_report(spark: SparkSession, d: str) -> DataFrame:
     """Per evaluation split and source: evaluation rows near training rows, and pairs."""
-    rows = _records(spark, d)
-    pairs = overlap.cross_split_pairs(rows, NEAR_M)
-    per_row = pairs.groupBy("eval_id").agg(F.count("*").alias("n"))
-    named = rows.where("side = 'eval'").groupBy("row_id").agg(F.min("split").alias("split"), F.min("source").alias("source"))
-    return per_row.join(named, per_row["eval_id"] == named["row_id"]).groupBy("split", "source").agg(F.count("*").alias("n_rows"), F.sum("n").cast("bigint").alias("n_pairs"))
+    return overlap.split_report(_records(spark, d), NEAR_M, ["split", "source"])
 
 
 def p1_coverage(spark: SparkSession, d: str) -> DataFrame:
@@ -41,11 +37,12 @@ def p1_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _usable(spark: SparkSession, d: str) -> DataFrame:
-    return calibrate.usable(with_category(table(spark, d, "dataset"), table(spark, d, "legend")), "row_id", "category")
+    return calibrate.usable(with_category(table(spark, d, "dataset"), table(spark, d, "legend")), "row_id", "category", "source")
 
 
 def p2_report(spark: SparkSession, d: str) -> DataFrame:
-    return calibrate.plan(_usable(spark, d), table(spark, d, "class_targets"))
+    report, _ = calibrate.plan(_usable(spark, d), table(spark, d, "class_targets"))
+    return report.withColumn("expected", F.round("expected", 6))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -54,7 +51,12 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_sample(spark: SparkSession, d: str) -> DataFrame:
     rows = _usable(spark, d)
-    return calibrate.draw(rows, calibrate.plan(rows, table(spark, d, "class_targets")))
+    return calibrate.draw(rows, calibrate.plan(rows, table(spark, d, "class_targets"))[1])
+
+
+def p2_sample_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Rows that the drawn sample has of each class."""
+    return p2_sample(spark, d).groupBy("target_set", "category").agg(F.count("*").alias("n_rows"), F.countDistinct("id").alias("n_ids"))
 
 
 def _groups(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -107,7 +109,7 @@ def p8_profile(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "p1_found": p1_found, "p1_split_report": p1_split_report, "p1_coverage": p1_coverage, "p2_found": p2_found, "p2_report": p2_report, "p2_sample": p2_sample,
+    "p1_found": p1_found, "p1_split_report": p1_split_report, "p1_coverage": p1_coverage, "p2_found": p2_found, "p2_report": p2_report, "p2_sample": p2_sample, "p2_sample_counts": p2_sample_counts,
     "p5_found": p5_found, "p5_groups": p5_groups, "p6_packs": p6_packs, "p6_usage": p6_usage, "p7_found": p7_found, "p7_spans": p7_spans, "p7_items": p7_items,
     "p8_levels": p8_levels, "p8_profile": p8_profile,
 }
@@ -118,6 +120,9 @@ _PAIRS = f"""{DATASET}, s AS (SELECT DISTINCT row_id, px, py, lower(trim(split))
   t AS (SELECT row_id, px, py, CAST(floor(px / 15) AS BIGINT) AS gx, CAST(floor(py / 15) AS BIGINT) AS gy FROM s WHERE side = 'train'),
   pairs AS (SELECT DISTINCT t.row_id AS train_id, e.row_id AS eval_id, e.split, e.source FROM t JOIN e USING (gx, gy) WHERE (t.px - e.px) * (t.px - e.px) + (t.py - e.py) * (t.py - e.py) <= 225)"""
 
+_H, _E = overlap.reach(NEAR_M), overlap.edge(NEAR_M)
+_BOX = ", ".join(f"CAST(floor(({v} {sign} {_H!r}) / {_E!r}) AS BIGINT) AS {name}" for v, sign, name in (("py", "-", "r0"), ("py", "+", "r1"), ("px", "-", "c0"), ("px", "+", "c1")))
+
 _NEEDS = f"""u AS (SELECT category, count(DISTINCT row_id) AS n FROM (SELECT row_id, {CATEGORY.format(r="r")} AS category FROM dataset r) WHERE category IS NOT NULL GROUP BY category),
   k AS (SELECT c.target_set, c.class_id, CAST((SELECT sum(n) FROM u) * c.sample_permille // 1000 AS BIGINT) AS size, c.share_permille, c.min_rows FROM class_targets c),
   needs AS (SELECT target_set, class_id, CAST(greatest(min_rows, (size * share_permille + 999) // 1000) AS BIGINT) AS needed, coalesce((SELECT n FROM u WHERE u.category = k.class_id), 0) AS available FROM k)"""
@@ -125,5 +130,13 @@ _NEEDS = f"""u AS (SELECT category, count(DISTINCT row_id) AS n FROM (SELECT row
 SQL: dict[str, str] = {
     "p1_found": f"WITH {_PAIRS} SELECT DISTINCT least(train_id, eval_id) AS row_id_lo, greatest(train_id, eval_id) AS row_id_hi FROM pairs",
     "p1_split_report": f"WITH {_PAIRS} SELECT split, source, count(DISTINCT eval_id) AS n_rows, count(*) AS n_pairs FROM pairs GROUP BY split, source",
+    "p1_coverage": f"""WITH {_PAIRS}, b AS (SELECT DISTINCT row_id, side, {_BOX} FROM s),
+  o AS (SELECT p.train_id, p.eval_id, unnest(range(greatest(t.r0, e.r0), least(t.r1, e.r1) + 1)) AS r, greatest(t.c0, e.c0) AS c0, least(t.c1, e.c1) AS c1 FROM (SELECT DISTINCT train_id, eval_id FROM pairs) p JOIN b t ON t.row_id = p.train_id JOIN b e ON e.row_id = p.eval_id),
+  c AS (SELECT train_id, eval_id, r, unnest(range(c0, c1 + 1)) AS c FROM o),
+  u AS (SELECT train_id AS id, r, c FROM c UNION SELECT eval_id, r, c FROM c)
+SELECT u.id, b.side, count(*) AS n_cells_shared, count(*) / CAST((any_value(r1) - any_value(r0) + 1) * (any_value(c1) - any_value(c0) + 1) AS DOUBLE) AS coverage FROM u JOIN b ON b.row_id = u.id GROUP BY u.id, b.side""",
     "p2_found": f"WITH {_NEEDS} SELECT target_set, class_id FROM needs WHERE available < needed",
+    "p2_report": f"""WITH {_NEEDS} SELECT n.target_set, n.class_id, needed, available, CAST(least(needed, available) AS DOUBLE) AS expected, greatest(0, needed - available) AS gap,
+  CASE WHEN available < needed THEN 'short' WHEN k.min_rows > (k.size * k.share_permille + 999) // 1000 THEN 'floor' ELSE 'met' END AS status FROM needs n JOIN k USING (target_set, class_id)""",
+    "p2_sample_counts": f"WITH {_NEEDS} SELECT target_set, class_id AS category, least(needed, available) AS n_rows, least(needed, available) AS n_ids FROM needs WHERE least(needed, available) > 0",
 }

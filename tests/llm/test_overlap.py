@@ -46,9 +46,35 @@ def test_hot_place(spark):
     assert overlap.cross_split_pairs(df, 15.0).count() == 3 * 997
 
 
-def test_common_symbols_and_coverage(spark):
-    a = np.array([0, 0b1100, 2**61, 5], np.int64)
-    b = np.array([0, 0b0100, 0, 4], np.int64)
-    assert overlap.common_symbols(a, b).tolist() == [31, 29, 0, 30]
-    c = {r.id: r.coverage for r in overlap.coverage(records(spark, [row(1, 3.0, 3.0, "train"), row(2, 3.0, 3.0, "eval"), row(3, 500.0, 0.0, "eval")]), 15.0).collect()}
-    assert c == {1: 1.0, 2: 1.0}
+def test_crowded_cells_in_several_runs(spark):
+    rng = random.Random(3)
+    rows = [row(i, rng.uniform(-20, 20), rng.uniform(-20, 20), rng.choice(["train", "eval"])) for i in range(500)]
+    got = [(r.train_id, r.eval_id) for r in overlap.cross_split_pairs(records(spark, rows), 15.0, crowd=15).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(rows, 15.0)
+
+
+def test_common_prefixes():
+    row, col, length = np.array([1, 1, 1, 1, 2]), np.array([5, 5, 5, 6, 6]), np.array([1, 2, 2, 1, 1])
+    assert overlap.common_prefixes(row, col, length).tolist() == [0, 1, 2, 0, 0]
+
+
+def test_coverage_and_report_against_brute_force(spark):
+    rng = random.Random(4)
+    rows = [row(i, rng.randint(-30, 30) * 4.0, rng.randint(-30, 30) * 4.0, rng.choice(["train", "eval"])) for i in range(400)]
+    pairs = brute(rows, 15.0)
+    place = {r[0]: r[1:3] for r in rows}
+    h, e = overlap.reach(15.0), overlap.edge(15.0)
+    cells = lambda i: {(a, b) for a in range(int((place[i][0] - h) // e), int((place[i][0] + h) // e) + 1) for b in range(int((place[i][1] - h) // e), int((place[i][1] + h) // e) + 1)}
+    want = {}
+    for t, v in pairs:
+        for i, j in ((t, v), (v, t)):
+            want.setdefault(i, set()).update(cells(i) & cells(j))
+    got = {r.id: (r.n_cells_shared, r.coverage) for r in overlap.coverage(records(spark, rows), 15.0).collect()}
+    assert got == {i: (len(c), len(c) / len(cells(i))) for i, c in want.items()}
+    report = overlap.split_report(records(spark, rows), 15.0, ["grid"]).collect()
+    assert [tuple(r) for r in report] == [("clash", len({v for _, v in pairs}), len(pairs))]
+
+
+def test_large_coordinates_and_small_distances(spark):
+    rows = [row(1, 3e9, -4e9, "train"), row(2, 3e9 + 0.0625, -4e9, "eval"), row(3, 3e9 + 0.5, -4e9, "eval")]
+    assert {tuple(r) for r in overlap.cross_split_pairs(records(spark, rows), 0.125).collect()} == {(1, 2)}
