@@ -8,7 +8,7 @@ hash aggregate of fixed-width buffers), one shuffle by pixel of these narrow row
 once. The group profile (mean by tile, band and month) comes from the same shuffled rows and is joined once per pixel.
 
 Defined results: rows without pixel_id belong to no pixel; rows without a month or with a band or value that isn't usable only make their pixel
-known; of several usable deliveries the latest counts (equal times, to 16 microseconds: the larger value); a pixel without a usable value in a band takes the
+known; of several usable deliveries the latest counts (equal times: the larger value); a pixel without a usable value in a band takes the
 mean of its tile for that band and month, else of that band, pixels without tile that of all pixels; where there is none, the value stays
 null with method 'none'. Empty input gives an empty grid.
 """
@@ -31,25 +31,36 @@ MONTHS = 12
 LOWEST, HIGHEST = 1, 20000
 
 
-def dated(at: Column, value: Column) -> Column:
-    """Time and value in one number, whose maximum is the latest value: 48 bits of time in steps of 16 microseconds (null: before all others), 15 bits of value. Later wins; within
-    a step the larger value does, so the result never depends on the order of rows. One fixed-width buffer: a hash aggregate, no sort."""
-    micros = F.coalesce(F.unix_micros(at.cast("timestamp")), F.lit(-(2**51)).cast("bigint"))
-    return F.shiftleft(F.shiftright(micros, 4), 15).bitwiseOR(value.cast("bigint"))
+class Dating:
+    """Time and value in one number, whose maximum is the latest value: later wins, at equal times the larger value does, a null time comes before all others. So the result never depends on
+    the order of rows, and one fixed-width buffer holds it: a hash aggregate, no sort. Microseconds since the earliest delivery and 15 bits of value fit 63 bits as long as the deliveries span less than
+    8.9 years; beyond that the number is a decimal, which is exact as well, only slower."""
 
+    def __init__(self, rows: DataFrame, at: str):
+        micros = F.unix_micros(F.col(at).cast("timestamp"))
+        lo, hi = rows.agg(F.min(micros), F.max(micros)).first()  # one column is read
+        self.base = lo or 0
+        self.wide = (hi or 0) - self.base >= 2**48 - 2
 
-def value_of(dated_value: Column) -> Column:
-    return dated_value.bitwiseAND(F.lit(0x7FFF)).cast("int")
+    def key(self, at: Column, value: Column) -> Column:
+        since = F.coalesce(F.unix_micros(at.cast("timestamp")) - F.lit(self.base) + 1, F.lit(0).cast("bigint"))
+        if self.wide:
+            return (since.cast("decimal(20,0)") * F.lit(32768).cast("decimal(6,0)") + value.cast("decimal(6,0)")).cast("decimal(27,0)")
+        return F.shiftleft(since, 15).bitwiseOR(value.cast("bigint"))
+
+    def value(self, key: Column) -> Column:
+        return (key % F.lit(32768).cast("decimal(6,0)")).cast("int") if self.wide else key.bitwiseAND(F.lit(0x7FFF)).cast("int")
 
 
 def monthly(cells: DataFrame, bands: Sequence[int] = BANDS, grouped: bool = True) -> DataFrame:
     """One row per (pixel_id, month_no): v0..vN the latest usable value of each band, and, if grouped, grp a hash of the tile (null if unknown)."""
     usable = F.col("band_data").between(LOWEST, HIGHEST)
+    dating = Dating(cells, "processed_at")
     rows = cells.where(F.col("pixel_id").isNotNull()).select(
         "pixel_id", month_of(F.col("time"), F.col("file_name")).cast("int").alias("month_no"), "band",
-        F.when(usable, dated(F.col("processed_at"), F.col("band_data"))).alias("k"), F.xxhash64(tile_code(F.col("tile"))).alias("grp"), F.col("tile").isNull().alias("lost"),
+        F.when(usable, dating.key(F.col("processed_at"), F.col("band_data"))).alias("k"), F.xxhash64(tile_code(F.col("tile"))).alias("grp"), F.col("tile").isNull().alias("lost"),
     )
-    latest = [value_of(F.max(F.when(F.col("band") == b, F.col("k")))).alias(f"v{i}") for i, b in enumerate(bands)]
+    latest = [dating.value(F.max(F.when(F.col("band") == b, F.col("k")))).alias(f"v{i}") for i, b in enumerate(bands)]
     if grouped:
         latest.append(F.max(F.when(~F.col("lost"), F.col("grp"))).alias("grp"))
     return rows.groupBy("pixel_id", "month_no").agg(*latest)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landloom.operators.gapfill import dated, monthly, value_of
+from landloom.operators.gapfill import Dating, monthly
 from landloom.operators.records import month_of, with_category, with_place
 from landloom.plans.sql_common import CATEGORY, MONTH
 from landloom.plans.tables import table
@@ -16,7 +16,8 @@ BANDS = (1, 2, 3, 4, 9, 10)
 def cells(spark: SparkSession, d: str) -> DataFrame:
     """(pixel_id, band, month_no, v): the latest usable value of each cell."""
     c = table(spark, d, "composites").where(F.col("pixel_id").isNotNull() & F.col("band_data").between(1, 20000))
-    g = c.groupBy("pixel_id", "band", month_of(F.col("time"), F.col("file_name")).alias("month_no")).agg(value_of(F.max(dated(F.col("processed_at"), F.col("band_data")))).alias("v"))
+    dating = Dating(c, "processed_at")
+    g = c.groupBy("pixel_id", "band", month_of(F.col("time"), F.col("file_name")).alias("month_no")).agg(dating.value(F.max(dating.key(F.col("processed_at"), F.col("band_data")))).alias("v"))
     return g.where(F.col("month_no").isNotNull())
 
 

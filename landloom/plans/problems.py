@@ -49,7 +49,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_filled_grid(spark: SparkSession, d: str) -> DataFrame:
-    return fill_grid(table(spark, d, "composites"))
+    return fill_grid(table(spark, d, "composites")).withColumn("value", F.round("value", 6))
 
 
 TILE_GAP = 6
@@ -79,6 +79,19 @@ SELECT 'point' AS target_kind, row_id, point_id AS target_id FROM near UNION SEL
     "p4_found": f"""WITH usable AS (SELECT DISTINCT pixel_id, band, {MONTH} AS month_no FROM composites WHERE band_data BETWEEN 1 AND 20000),
   grid AS (SELECT pixel_id, band, CAST(m AS INT) AS month_no FROM (SELECT DISTINCT pixel_id FROM composites WHERE pixel_id IS NOT NULL), (SELECT unnest({list(BANDS)}) AS band), range(1, 13) AS r(m))
 SELECT g.pixel_id, g.band, g.month_no FROM grid g ANTI JOIN usable u USING (pixel_id, band, month_no)""",
+    "p4_filled_grid": f"""WITH r AS (SELECT pixel_id, {MONTH} AS m, band, band_data, processed_at, {TILE.format(t="tile")} AS t FROM composites WHERE pixel_id IS NOT NULL),
+  pm AS (SELECT pixel_id, m, max(t) AS t FROM r GROUP BY ALL), px AS (SELECT pixel_id, max(t) AS t FROM pm GROUP BY ALL),
+  u AS (SELECT pixel_id, m, band, max({{'at': coalesce(processed_at, TIMESTAMP '1900-01-01'), 'v': band_data}}).v AS v FROM r WHERE band_data BETWEEN 1 AND 20000 AND m BETWEEN 1 AND 12 AND band IN {BANDS} GROUP BY ALL),
+  w AS (SELECT u.*, pm.t FROM u JOIN pm USING (pixel_id, m)),
+  gm AS (SELECT t, band, m, avg(v) AS v FROM w WHERE t IS NOT NULL GROUP BY ALL UNION ALL SELECT NULL, band, m, avg(v) FROM w GROUP BY ALL),
+  gy AS (SELECT t, band, avg(v) AS v FROM w WHERE t IS NOT NULL GROUP BY ALL UNION ALL SELECT NULL, band, avg(v) FROM w GROUP BY ALL),
+  g AS (SELECT px.pixel_id, px.t, b.band, CAST(k AS INT) AS m, u.v FROM px, (SELECT unnest({list(BANDS)}) AS band) b, range(1, 13) AS n(k) LEFT JOIN u ON u.pixel_id = px.pixel_id AND u.band = b.band AND u.m = k),
+  s AS (SELECT *, max(CASE WHEN v IS NOT NULL THEN m END) OVER a AS pm, last_value(v IGNORE NULLS) OVER a AS pv, min(CASE WHEN v IS NOT NULL THEN m END) OVER z AS nm, first_value(v IGNORE NULLS) OVER z AS nv FROM g
+    WINDOW a AS (PARTITION BY pixel_id, band ORDER BY m ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), z AS (PARTITION BY pixel_id, band ORDER BY m ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+  k AS (SELECT *, CASE WHEN v IS NOT NULL THEN 'observed' WHEN nm - pm - 1 <= 6 THEN 'interpolated' WHEN least(m - pm, nm - m) <= 3 THEN 'carried' END AS how FROM s),
+  f AS (SELECT k.*, coalesce(gm.v, gy.v) AS mean FROM k LEFT JOIN gm ON gm.t IS NOT DISTINCT FROM k.t AND gm.band = k.band AND gm.m = k.m LEFT JOIN gy ON gy.t IS NOT DISTINCT FROM k.t AND gy.band = k.band)
+SELECT pixel_id, band, m AS month_no, round(CASE how WHEN 'observed' THEN v::DOUBLE WHEN 'interpolated' THEN pv + (nv - pv) * (m - pm)::DOUBLE / (nm - pm) WHEN 'carried' THEN (CASE WHEN nm IS NULL OR m - pm <= nm - m THEN pv ELSE nv END)::DOUBLE ELSE mean END, 6) AS value,
+  v IS NULL AS filled, coalesce(how, CASE WHEN mean IS NULL THEN 'none' ELSE 'group' END) AS method, CASE WHEN v IS NOT NULL THEN 0 WHEN how IS NOT NULL THEN CAST(least(m - pm, nm - m) AS INT) END AS distance FROM f""",
     "p4_filled_tiles": f"""WITH m AS (SELECT pixel_id, month_no, max(t) AS tile FROM (SELECT pixel_id, {MONTH} AS month_no, {TILE.format(t="tile")} AS t FROM composites) WHERE pixel_id IS NOT NULL AND month_no IS NOT NULL GROUP BY ALL),
   w AS (SELECT *, last_value(CASE WHEN tile IS NOT NULL THEN month_no END IGNORE NULLS) OVER a AS pm, last_value(tile IGNORE NULLS) OVER a AS p, first_value(CASE WHEN tile IS NOT NULL THEN month_no END IGNORE NULLS) OVER b AS nm, first_value(tile IGNORE NULLS) OVER b AS n
     FROM m WINDOW a AS (PARTITION BY pixel_id ORDER BY month_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), b AS (PARTITION BY pixel_id ORDER BY month_no ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
