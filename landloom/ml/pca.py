@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from landloom.operators.stats import column_means, pair_sums
+
 
 @dataclass
 class Pca:
@@ -19,26 +23,44 @@ class Pca:
     ratio: np.ndarray
 
     def transform(self, df: DataFrame, n: int, passthrough: Sequence[str] = ()) -> DataFrame:
-        """Columns PC1..PCn by array dot products of the centred columns, and the columns passed through."""
-        out = []
-        for k in range(n):
-            total = F.lit(0.0)
-            for c, m, w in zip(self.columns, self.mean, self.components[k], strict=True):
-                total = total + (F.col(c).cast("double") - F.lit(float(m))) * F.lit(float(w))
-            out.append(total.alias(f"PC{k + 1}"))
-        return df.select(*passthrough, *out)
+        """Columns PC1..PCn, a matrix product per Arrow batch, and the columns passed through; null where a row lacks a value."""
+        weights, mean, kept = self.components[:n].T, self.mean, len(passthrough)
+        kinds = dict(df.dtypes)
+        names = [*passthrough, *[f"PC{k + 1}" for k in range(n)]]
+        shape = ", ".join([*[f"`{c}` {kinds[c]}" for c in passthrough], *[f"PC{k + 1} double" for k in range(n)]])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in b.columns[kept:]]) - mean
+                y = x @ weights
+                yield pa.RecordBatch.from_arrays([*b.columns[:kept], *[pa.array(y[:, k], from_pandas=True) for k in range(n)]], names)
+
+        return df.select(*passthrough, *[F.col(f"`{c}`").cast("double") for c in self.columns]).mapInArrow(run, shape)
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        """One JSON document at path; an existing one is replaced."""
+        text = json.dumps({"columns": self.columns, **{k: getattr(self, k).tolist() for k in ("mean", "components", "variance", "ratio")}})
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> Pca:
+        d = json.loads("".join(r["value"] for r in spark.read.text(path).collect()))
+        return Pca(d["columns"], *[np.array(d[k], float) for k in ("mean", "components", "variance", "ratio")])
 
 
 def fit(df: DataFrame, columns: Sequence[str]) -> Pca:
+    """Components of the covariance over rows that have all values. Signs: the largest loading of each component is positive."""
     cols = list(columns)
-    row = df.agg(F.count("*").alias("n"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)]).first()
-    mean = np.array([row[f"m{i}"] for i in range(len(cols))], float)
-    v = [F.col(c).cast("double") - F.lit(float(m)) for c, m in zip(cols, mean, strict=True)]
-    at = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-    sums = df.agg(*[F.sum(v[i] * v[j]).alias(f"s{k}") for k, (i, j) in enumerate(at)]).first()
+    whole = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{k}") for k, c in enumerate(cols)]).na.drop()
+    names = whole.columns
+    first = np.array(column_means(whole, names))
     cov = np.zeros((len(cols), len(cols)))
-    for k, (i, j) in enumerate(at):
-        cov[i, j] = cov[j, i] = sums[k] / max(row["n"] - 1, 1)
+    mean = first.copy()
+    for r in pair_sums(whole, names, first).collect():  # a row per pair of features
+        n = max(r["n"], 1)
+        cov[r["i"], r["j"]] = cov[r["j"], r["i"]] = (r["sxy"] - r["sx"] * r["sy"] / n) / max(r["n"] - 1, 1)
+        if r["i"] == r["j"]:
+            mean[r["i"]] = first[r["i"]] + r["sx"] / n
     values, vectors = np.linalg.eigh(cov)
     order = np.argsort(values)[::-1]
     values, vectors = np.maximum(values[order], 0), vectors[:, order].T

@@ -5,10 +5,11 @@ Everything but mutual information is one or two aggregates; what reaches the dri
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -139,18 +140,54 @@ def profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return wide.select(F.explode(out).alias("r")).select("r.*")
 
 
+PAIR_SUMS = "i int, j int, n bigint, sx double, sy double, sxx double, syy double, sxy double"
+
+
+def pair_sums(df: DataFrame, columns: Sequence[str], centre: Sequence[float]) -> DataFrame:
+    """For every two columns i <= j, over the rows that have both: their number, sums, and sums of squares and products, of the values less `centre`.
+
+    One pass: each task adds up matrix products of its Arrow batches, and one row per pair leaves it, so many columns cost neither a wide plan nor a wide shuffle.
+    """
+    shift = np.array(centre, float)
+    d = len(columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((6, d, d))
+        for b in batches:
+            if b.num_rows:
+                x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in b.columns]) - shift
+                there = (~np.isnan(x)).astype(float)
+                x = np.nan_to_num(x)
+                sx, sxx = x.T @ there, (x * x).T @ there
+                total += np.stack([there.T @ there, sx, sx.T, sxx, sxx.T, x.T @ x])
+        i, j = np.triu_indices(d)
+        yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(total[0][i, j].astype(np.int64)), *[pa.array(t[i, j]) for t in total[1:]]], ["i", "j", "n", "sx", "sy", "sxx", "syy", "sxy"])
+
+    parts = df.select(*[clean(c).alias(f"c{k}") for k, c in enumerate(columns)]).mapInArrow(run, PAIR_SUMS)
+    return parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
+
+
+def column_means(df: DataFrame, columns: Sequence[str]) -> list[float]:
+    row = df.agg(*[F.avg(clean(c)).alias(f"m{k}") for k, c in enumerate(columns)]).first()
+    return [0.0 if m is None else float(m) for m in row]
+
+
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(a, b, corr) for all pairs, from one pass of centred products (means first, so large offsets do no harm); null where a column is constant. Rows with a missing value in a pair's columns are left out of that pair's sums only if missing in both passes' means; give complete columns."""
-    means = df.agg(*[F.avg(clean(c)).alias(c) for c in columns]).first()
-    v = {c: clean(c) - F.lit(means[c]) for c in columns}
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    row = df.agg(*[F.sum(v[a] * v[b]).alias(f"p{k}") for k, (a, b) in enumerate(pairs)])
-    sums = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"p{k}").alias("s")) for k, (a, b) in enumerate(pairs)])
-    long = row.select(F.explode(sums).alias("r")).select("r.*")
-    own = long.where("a = b").select(F.col("a").alias("f"), F.col("s").alias("ss"))
-    joined = long.join(own.withColumnsRenamed({"f": "a", "ss": "sa"}), "a").join(own.withColumnsRenamed({"f": "b", "ss": "sb"}), "b")
-    half = joined.select("a", "b", F.try_divide("s", F.sqrt(F.col("sa")) * F.sqrt(F.col("sb"))).alias("corr"))
-    return half.unionByName(half.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "corr"))
+    """(a, b, corr) for all pairs, each over the rows that have both values; null where fewer than two rows do or a column is constant over them. Values are centred first, so large offsets do no harm."""
+    means = column_means(df, columns)
+    n = F.col("n").cast("double")
+    spread = lambda s, ss: F.col(ss) - F.col(s) * F.try_divide(F.col(s), n)
+    names = F.array(*[F.lit(c) for c in columns])
+    shift = F.array(*[F.lit(m) for m in means])
+    # Rounding leaves a constant column a spread of some units in the last place of its squares.
+    least = lambda s, ss, at: (F.col(ss) + n * F.element_at(shift, F.col(at) + 1) * F.element_at(shift, F.col(at) + 1)) * F.lit(1e-14)
+    vx, vy = spread("sx", "sxx"), spread("sy", "syy")
+    both = (F.col("n") >= 2) & (vx > least("sx", "sxx", "i")) & (vy > least("sy", "syy", "j"))
+    ratio = (F.col("sxy") - F.col("sx") * F.try_divide(F.col("sy"), n)) / (F.sqrt(vx) * F.sqrt(vy))
+    corr = F.when(both, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), ratio)))
+    half = pair_sums(df, columns, means).select(F.element_at(names, F.col("i") + 1).alias("a"), F.element_at(names, F.col("j") + 1).alias("b"), corr.alias("corr"))
+    half = half.withColumn("_way", F.explode(F.when(F.col("a") == F.col("b"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))))
+    return half.select(F.when(F.col("_way") == 0, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(F.col("_way") == 0, F.col("b")).otherwise(F.col("a")).alias("b"), "corr")
 
 
 def mean_correlation(corr: DataFrame) -> DataFrame:
@@ -289,7 +326,8 @@ def append_log(log: DataFrame, rows: DataFrame, index: str = "index", missing: s
 
 
 def next_experiment(names: DataFrame, name: str) -> DataFrame:
-    return names.agg((F.coalesce(F.max(F.regexp_extract(name, r"^experiment_(\d+)$", 1).try_cast("int")), F.lit(0)) + 1).alias("next_number"))
+    """The number after the largest of experiment_N; 0 where there is none."""
+    return names.agg((F.coalesce(F.max(F.regexp_extract(name, r"^experiment_(\d+)$", 1).try_cast("int")), F.lit(-1)) + 1).alias("next_number"))
 
 
 def flatten_keys(d: Mapping, parent: str = "") -> dict:

@@ -176,6 +176,16 @@ def corr_matrix(spark, d):
     return stats.correlations(base.bands12(spark, d), _F8).select("a", "b", F.round("corr", 6).alias("corr"))
 
 
+_GAPS = ", ".join(f"CASE WHEN pix % {i + 2} > 0 THEN {c} END AS {c}" for i, c in enumerate(_F8))
+
+
+@query(f"WITH {base.BANDS12}, gaps AS (SELECT {_GAPS}, 5::DOUBLE AS k FROM bands12) " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS corr FROM gaps" for a in _F8 for b in _F8) + " UNION ALL " + " UNION ALL ".join(f"SELECT '{a}', 'k', NULL UNION ALL SELECT 'k', '{a}', NULL" for a in _F8) + " UNION ALL SELECT 'k', 'k', NULL")
+def corr_matrix_gaps(spark, d):
+    """Correlations of columns with missing values, each pair over the rows that have both, and of a constant column."""
+    b = base.bands12(spark, d).select(*[F.when(F.col("pix") % (i + 2) > 0, F.col(c)).alias(c) for i, c in enumerate(_F8)], F.lit(5.0).alias("k"))
+    return stats.correlations(b, [*_F8, "k"]).select("a", "b", F.round("corr", 6).alias("corr"))
+
+
 @query(f"WITH {base.BANDS12}, k AS ({' UNION ALL '.join(f'SELECT {chr(39)}{a}{chr(39)} AS feature, corr({a}, {b}) AS c FROM bands12' for a in _F8 for b in _F8)}), m AS (SELECT feature, avg(c) AS mean_correlation FROM k GROUP BY feature), i AS ({_unpivot(_F8, 'stddev_pop({c}) AS importance')}) SELECT feature, round(mean_correlation, 6) AS mean_correlation, round(importance / (1 + abs(mean_correlation)), 5) AS combined_metric FROM m JOIN i USING (feature)")
 def mean_corr_metric(spark, d):
     b = base.bands12(spark, d)
