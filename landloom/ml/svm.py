@@ -113,16 +113,16 @@ class Calibrated:
 
 
 def normalise(p: np.ndarray) -> np.ndarray:
-    """Rows to sum 1; the uniform distribution where all are 0; two classes: the first is the complement of the second."""
-    p = p.copy()
-    k = p.shape[1]
+    """Class probabilities of each row made to sum to 1. With two classes the second one's is kept and the first takes the rest; otherwise rows are divided by their sum, and a row without
+    any probability becomes uniform. Rounding never leaves a value above 1."""
+    n, k = p.shape
     if k == 2:
-        p[:, 0] = 1.0 - p[:, 1]
-    else:
-        s = p.sum(1, keepdims=True)
-        p = np.divide(p, s, out=np.full_like(p, 1 / k), where=s != 0)
-    p[(p > 1.0) & (p <= 1.0 + 1e-5)] = 1.0
-    return p
+        return np.column_stack([1.0 - p[:, 1], np.where(np.abs(p[:, 1] - 1.0) <= 1e-5, np.minimum(p[:, 1], 1.0), p[:, 1])])
+    total = p.sum(axis=1)
+    shares = np.full((n, k), 1.0 / k)
+    some = total != 0
+    shares[some] = p[some] / total[some, None]
+    return np.where(np.abs(shares - 1.0) <= 1e-5, np.minimum(shares, 1.0), shares)
 
 
 def softmax(p: np.ndarray) -> np.ndarray:

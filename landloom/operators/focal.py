@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -126,20 +127,41 @@ def window_std(df: DataFrame, keys: Sequence[str], value: str, out: str = "std",
     return df.withColumn("gradient", F.col("_hi") - F.col("_lo")).drop("_v", "_v2", "_1", "_sv", "_sv2", "_n", "_hi", "_lo")
 
 
-def fill_nodata(df: DataFrame, keys: Sequence[str], value: str, out: str, most: int = 15) -> DataFrame:
-    """Missing pixels take the inverse-distance mean of the nearest valid pixels to the left, right, above and below within `most` pixels."""
-    v = F.col(value).cast("double")
-    df = df.withColumn("_h", F.when(v.isNotNull(), F.struct(F.col("x").alias("x"), F.col("y").alias("y"), v.alias("v"))))
-    terms = []
-    for i, (across, along) in enumerate((("y", "x"), ("x", "y"))):
-        w = _line(keys, across, along)
-        df = df.withColumn(f"_p{i}", F.last("_h", True).over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn(f"_n{i}", F.first("_h", True).over(w.rowsBetween(1, Window.unboundedFollowing)))
-        terms += [(F.col(f"_p{i}.v"), F.col(along) - F.col(f"_p{i}.{along}")), (F.col(f"_n{i}.v"), F.col(f"_n{i}.{along}") - F.col(along))]
-    weights = [F.when(d <= most, F.lit(1.0) / d) for _, d in terms]
-    zero = F.lit(0.0)
-    top = sum((F.coalesce(w * x, zero) for w, (x, _) in zip(weights, terms, strict=True)), zero)
-    low = sum((F.coalesce(w, zero) for w in weights), zero)
-    return df.withColumn(out, F.coalesce(v, F.try_divide(top, low))).drop("_h", "_p0", "_n0", "_p1", "_n1")
+def fill_array(values: np.ndarray, most: int) -> np.ndarray:
+    """NaN pixels take the inverse-distance mean of the nearest valid pixel of each quadrant within `most` pixels. A quadrant holds one of its two half axes, so no pixel is in two."""
+    h, w = values.shape
+    todo = np.argwhere(np.isnan(values))
+    if not len(todo):
+        return values.copy()
+    padded = np.pad(values, most, constant_values=np.nan)
+    best = np.full((4, len(todo)), np.inf)
+    found = np.zeros((4, len(todo)))
+    for dy in range(-most, most + 1):
+        for dx in range(-most, most + 1):
+            d2 = dy * dy + dx * dx
+            if not 0 < d2 <= most * most:
+                continue
+            q = 0 if dy < 0 <= dx else 1 if dx > 0 and dy >= 0 else 2 if dy > 0 >= dx else 3
+            v = padded[todo[:, 0] + most + dy, todo[:, 1] + most + dx]
+            nearer = ~np.isnan(v) & (d2 < best[q])
+            best[q][nearer], found[q][nearer] = d2, v[nearer]
+    weight = np.where(np.isfinite(best), 1.0 / np.sqrt(best), 0.0)
+    total = weight.sum(0)
+    out = values.copy()
+    ok = total > 0
+    out[todo[ok, 0], todo[ok, 1]] = ((weight * found).sum(0)[ok]) / total[ok]
+    return out
+
+
+def fill_nodata(df: DataFrame, keys: Sequence[str], value: str, out: str, most: int = 15, block: int = 512) -> DataFrame:
+    """df with `out`: missing pixels take the inverse-distance mean of the nearest valid pixels of the four quadrants around them, at most `most` pixels away; null where there are none.
+
+    Works by blocks with a halo of `most` pixels, which holds all that a pixel may take.
+    """
+    from landloom.operators.blocks import by_blocks
+
+    filled = by_blocks(df.select(*keys, "y", "x", value), keys, [value], lambda arrays, there: {out: fill_array(arrays[value], most)}, [out], block, most)
+    return df.drop(out).join(filled.withColumn(out, F.when(~F.isnan(out), F.col(out))), [*keys, "y", "x"], "left")
 
 
 def tumbling(df: DataFrame, size: int) -> DataFrame:

@@ -126,73 +126,89 @@ def match_histogram(df: DataFrame, keys: Sequence[str], bands: Sequence[str], zo
     return d.withColumns(out).drop(*[f"_{s}{i}" for i in range(len(bands)) for s in ("mi", "mo", "si", "so")])
 
 
+def _arrival(t: np.ndarray, done: np.ndarray, y: int, x: int) -> float:
+    """Time of the front at a pixel: the eikonal equation |grad T| = 1 from the settled neighbours, upwind."""
+    h, w = t.shape
+    ty = min((t[a, x] for a in (y - 1, y + 1) if 0 <= a < h and done[a, x]), default=np.inf)
+    tx = min((t[y, b] for b in (x - 1, x + 1) if 0 <= b < w and done[y, b]), default=np.inf)
+    if abs(ty - tx) < 1.0:
+        return (ty + tx + np.sqrt(2.0 - (ty - tx) ** 2)) / 2.0
+    return min(ty, tx) + 1.0
+
+
+def _slope(f: np.ndarray, ok: np.ndarray, y: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Central differences, one-sided where only one neighbour counts, 0 where none does."""
+    out = []
+    for dy, dx in ((1, 0), (0, 1)):
+        h, w = f.shape
+        ay, ax, by, bx = np.maximum(y - dy, 0), np.maximum(x - dx, 0), np.minimum(y + dy, h - 1), np.minimum(x + dx, w - 1)
+        before, after = ok[ay, ax] & ((ay != y) | (ax != x)), ok[by, bx] & ((by != y) | (bx != x))
+        fy = np.where(ok[y, x], f[y, x], 0.0)
+        lo, hi = np.where(before, f[ay, ax], fy), np.where(after, f[by, bx], fy)
+        here = ok[y, x] | (before & after)
+        out.append(np.where(here & (before | after), (hi - lo) / np.maximum(before.astype(float) + after, 1), 0.0))
+    return out[0], out[1]
+
+
 def inpaint_array(image: np.ndarray, hole: np.ndarray, radius: int = 3) -> np.ndarray:
-    """Fast-marching inpainting after Telea (2004): hole pixels in order of distance to the border, each the weighted mean of known pixels near it."""
+    """Inpainting by fast marching, after Telea (2004).
+
+    Hole pixels are filled in the order in which a front from the border reaches them (eikonal equation). Each takes the weighted mean of the settled pixels within the radius, every
+    one carried along by its own image gradient; weights are Telea's three: the direction of the front, the distance, the difference of arrival times.
+    """
     import heapq
 
     h, w = image.shape
     out = image.astype(float).copy()
-    known = ~hole
-    dist = np.where(known, 0.0, np.inf)
-    heap = []
-    done = known.copy()
+    done = ~hole
+    t = np.where(done, 0.0, np.inf)
+    heap: list[tuple[float, int, int]] = []
     step = ((0, 1), (0, -1), (1, 0), (-1, 0))
+
+    def reach(y: int, x: int) -> None:
+        now = _arrival(t, done, y, x)
+        if now < t[y, x]:
+            t[y, x] = now
+            heapq.heappush(heap, (now, y, x))
+
     for y, x in zip(*np.nonzero(hole), strict=True):
-        if any(0 <= y + a < h and 0 <= x + b < w and known[y + a, x + b] for a, b in step):
-            dist[y, x] = 1.0
-            heapq.heappush(heap, (1.0, int(y), int(x)))
+        if any(0 <= y + a < h and 0 <= x + b < w and done[y + a, x + b] for a, b in step):
+            reach(int(y), int(x))
     while heap:
-        d, y, x = heapq.heappop(heap)
+        now, y, x = heapq.heappop(heap)
         if done[y, x]:
             continue
         y0, y1, x0, x1 = max(0, y - radius), min(h, y + radius + 1), max(0, x - radius), min(w, x + radius + 1)
         ys, xs = np.nonzero(done[y0:y1, x0:x1])
         ys, xs = ys + y0, xs + x0
-        ry, rx = y - ys, x - xs
+        ry, rx = (y - ys).astype(float), (x - xs).astype(float)
         r2 = ry * ry + rx * rx
-        near = (r2 > 0) & (r2 <= radius * radius)
+        near = r2 <= radius * radius
         ys, xs, ry, rx, r2 = ys[near], xs[near], ry[near], rx[near], r2[near]
         if len(ys):
-            def slope_of(f, yy, xx):
-                def one(a, b, c):
-                    return (c - a) / 2 if np.isfinite(a) and np.isfinite(c) else 0.0
-
-                gy = one(f[max(yy - 1, 0), xx], f[yy, xx], f[min(yy + 1, h - 1), xx])
-                gx = one(f[yy, max(xx - 1, 0)], f[yy, xx], f[yy, min(xx + 1, w - 1)])
-                return gy, gx
-
-            gy, gx = slope_of(np.where(np.isfinite(dist), dist, np.nan), y, x)
-            direction = np.abs(ry * gy + rx * gx) / np.sqrt(r2)
-            direction = np.maximum(direction, 1e-6)
-            weight = direction / r2 / (1.0 + np.abs(dist[ys, xs] - d))
-            out[y, x] = (weight * out[ys, xs]).sum() / weight.sum()
+            ty, tx = _slope(t, np.isfinite(t), np.array([y]), np.array([x]))
+            direction = np.maximum(np.abs(ry * ty[0] + rx * tx[0]) / np.sqrt(r2), 1e-6)
+            weight = direction / r2 / (1.0 + np.abs(t[ys, xs] - now))
+            gy, gx = _slope(out, done, ys, xs)
+            out[y, x] = (weight * (out[ys, xs] + gy * ry + gx * rx)).sum() / weight.sum()
         done[y, x] = True
         for a, b in step:
-            yy, xx = y + a, x + b
-            if 0 <= yy < h and 0 <= xx < w and not done[yy, xx] and d + 1.0 < dist[yy, xx]:
-                dist[yy, xx] = d + 1.0
-                heapq.heappush(heap, (d + 1.0, yy, xx))
+            if 0 <= y + a < h and 0 <= x + b < w and not done[y + a, x + b]:
+                reach(y + a, x + b)
     return out
 
 
+def inpaint_all(df: DataFrame, keys: Sequence[str], values: Sequence[str], hole: str, block: int = 549, halo: int = 3) -> DataFrame:
+    """(keys, y, x, values): all values inpainted in one pass by blocks with a halo. Holes deeper than the halo at a block's border are filled from their own side only."""
+    from landloom.operators.blocks import by_blocks
+
+    def run(arrays, there):
+        missing = (arrays["_hole"] == 1) & there
+        return {v: inpaint_array(np.nan_to_num(arrays[v]), missing) if missing.any() else np.nan_to_num(arrays[v]) for v in values}
+
+    return by_blocks(df.withColumn("_hole", F.col(hole).cast("int")), keys, [*values, "_hole"], run, values, block, halo)
+
+
 def inpaint(df: DataFrame, keys: Sequence[str], value: str, hole: str, out: str, block: int = 549, halo: int = 3) -> DataFrame:
-    """Inpainting by blocks with a halo: a task holds one block. Keys, y, x and out come out. Holes deeper than the halo at a block's border are filled from their own side only."""
-    kinds = dict(df.dtypes)
-    names = [*keys, "_by", "_bx"]
-    at = lambda c: F.array_distinct(F.array(F.floor((F.col(c) - halo) / block), F.floor(F.col(c) / block), F.floor((F.col(c) + halo) / block)))
-    rows = df.select(*keys, "y", "x", value, F.col(hole).alias("_hole")).withColumn("_by", F.explode(at("y"))).withColumn("_bx", F.explode(at("x")))
-    rows = rows.withColumn("_own", (F.col("_by") == F.floor(F.col("y") / block)) & (F.col("_bx") == F.floor(F.col("x") / block)))
-    shape = ", ".join([f"`{k}` {kinds[k]}" for k in keys] + ["y int", "x int", f"`{out}` double"])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        y0, x0 = pdf["y"].min(), pdf["x"].min()
-        grid = np.zeros((pdf["y"].max() - y0 + 1, pdf["x"].max() - x0 + 1))
-        missing = np.zeros(grid.shape, bool)
-        yy, xx = (pdf["y"] - y0).to_numpy(), (pdf["x"] - x0).to_numpy()
-        grid[yy, xx] = pdf[value].fillna(0).to_numpy()
-        missing[yy, xx] = pdf["_hole"].to_numpy()
-        done = inpaint_array(grid, missing)
-        own = pdf["_own"].to_numpy()
-        return pd.DataFrame({**{k: pdf[k].to_numpy()[own] for k in keys}, "y": pdf["y"].to_numpy()[own].astype(np.int32), "x": pdf["x"].to_numpy()[own].astype(np.int32), out: done[yy[own], xx[own]]})
-
-    return rows.groupBy(*names).applyInPandas(run, shape)
+    """(keys, y, x, out) of one value."""
+    return inpaint_all(df, keys, [value], hole, block, halo).withColumnRenamed(value, out)

@@ -1,6 +1,6 @@
 """The steps of map production as compositions of operators: mask refinement, compositing, restoration, features, dataset building, mapping.
 
-All are lazy; a materialisation point, where a result is used more than once, is `session.cut`.
+All are lazy. None reads a result twice: several bands, layers or classes go through one pass.
 """
 
 from __future__ import annotations
@@ -56,12 +56,8 @@ def cloud_restoration(cube: DataFrame, dem: DataFrame, bands: Sequence[str], blu
     terrain = focal.slope(dem, ["tile"], "elevation").select(*keys, "slope")
     d = masks.shadow_zone(d.join(terrain, keys), ["tile", "month"], blue, nir, swir, "slope")
     d = masks.match_histogram(d, ["tile", "month"], bands, "zone", rounded=False)
-    out = None
-    for b in bands:
-        part = masks.inpaint(d, ["tile", "month"], b, "ring", b)
-        part = part.withColumn(b, F.least(F.lit(65535), F.greatest(F.lit(0), F.rint(b).cast("int"))))
-        out = part if out is None else out.join(part, ["tile", "month", "y", "x"])
-    return out
+    out = masks.inpaint_all(d, ["tile", "month"], list(bands), "ring")
+    return out.withColumns({b: F.least(F.lit(65535), F.greatest(F.lit(0), F.rint(b).cast("int"))) for b in bands})
 
 
 def generate_features(pixels: DataFrame, keys: Sequence[str], bands: Mapping[int, str], names: Sequence[str] | None = None, sobel: bool = True) -> DataFrame:
@@ -83,11 +79,7 @@ def generate_features(pixels: DataFrame, keys: Sequence[str], bands: Mapping[int
 def texture_features(pixels: DataFrame, keys: Sequence[str], value: str, height: int, width: int, window: int = 7) -> DataFrame:
     """Six texture layers at pixel size."""
     g = texture.glcm(pixels, list(keys), value, window, 1, height, width)
-    out = None
-    for p in texture.PROPERTIES:
-        layer = texture.upsample(g, list(keys), p, height, width)
-        out = layer if out is None else out.join(layer, [*keys, "y", "x"])
-    return out
+    return texture.upsample(g, list(keys), texture.PROPERTIES, height, width)
 
 
 def dataset_name(tile: str, features: str, source: str, kind: str, per_class: int | None = None, eroded: bool = False) -> str:
@@ -96,18 +88,26 @@ def dataset_name(tile: str, features: str, source: str, kind: str, per_class: in
     return f"T{tile}_f{features}_{source}{size}_{kind}{'_eroded' if eroded else ''}.csv"
 
 
-def sampled_points(landcover: DataFrame, known: DataFrame, per_class: int, legend: DataFrame, eroded: bool = False) -> DataFrame:
-    """(y, x, class_id, class, split): systematic samples per class of a land-cover map (y, x, class_id), without known pixels; optionally of the eroded class masks."""
+def sampled_points(landcover: DataFrame, known: DataFrame, per_class: int, legend: DataFrame, eroded: bool = False, tile: str | None = None) -> DataFrame:
+    """([tile,] y, x, class_id, class, split): systematic samples per class of a land-cover map ([tile,] y, x, class_id), without known pixels; optionally of the eroded class masks.
+
+    tile: the column that tells maps apart; erosion, known pixels and samples then are each tile's own. Without it the table is one map.
+    """
+    by = [tile] if tile else []
     lc = landcover
     if eroded:
         # A pixel stays if the pixels above and to the left of it are of its class or absent.
         c = F.col("class_id")
-        up, left = F.lag("class_id").over(focal._line([], "x", "y")), F.lag("class_id").over(focal._line([], "y", "x"))
+        up, left = F.lag("class_id").over(focal._line(by, "x", "y")), F.lag("class_id").over(focal._line(by, "y", "x"))
         lc = lc.withColumn("_k", F.coalesce(up == c, F.lit(True)) & F.coalesce(left == c, F.lit(True))).where("_k").drop("_k")
-    free = lc.join(known.select("y", "x").distinct(), ["y", "x"], "left_anti")
-    s = vector.systematic_sample(free, "class_id", per_class)
+    free = lc.join(known.select(*by, "y", "x").distinct(), [*by, "y", "x"], "left_anti")
+    group = "class_id"
+    if tile:
+        group = "_group"
+        free = free.withColumn(group, F.struct(tile, "class_id"))
+    s = vector.systematic_sample(free, group, per_class)
     names = legend.select(F.col("lc_code").alias("class_id"), F.col("description").alias("class"))
-    return s.join(names, "class_id", "left").select("y", "x", "class_id", "class", F.lit("train").alias("split"))
+    return s.join(names, "class_id", "left").select(*by, "y", "x", "class_id", "class", F.lit("train").alias("split"))
 
 
 def build_dataset(points: DataFrame, sampled: DataFrame, kind: str, order: Column, target: int | None = None) -> DataFrame:
@@ -125,9 +125,13 @@ def build_dataset(points: DataFrame, sampled: DataFrame, kind: str, order: Colum
     raise ValueError(kind)
 
 
+# Fixed names, in their order, of the texture columns of the old training matrix.
+LEGACY_TEXTURE = ("GLCMcontrast", "GLCMdissimilarity", "GLCMhomogeneity", "GLCMenergy", "GLCMcorrelation", "GLCMASM")
+
+
 def legacy_columns(n_bands: int = 12, n_months: int = 12) -> list[str]:
     """Names of the old training matrix: month by month, then six texture columns."""
-    return [f"band_{b}_month_{m}" for m in range(1, n_months + 1) for b in range(1, n_bands + 1)] + [f"GLCM_{p}" for p in texture.PROPERTIES]
+    return [f"band_{b}_month_{m}" for m in range(1, n_months + 1) for b in range(1, n_bands + 1)] + list(LEGACY_TEXTURE)
 
 
 def convert_legacy(old: DataFrame, legend: DataFrame, n_bands: int = 12, n_months: int = 12) -> DataFrame:
@@ -135,4 +139,5 @@ def convert_legacy(old: DataFrame, legend: DataFrame, n_bands: int = 12, n_month
     names = legacy_columns(n_bands, n_months)
     leg = legend.select(F.col("internal_code").alias("label"), F.col("lc_code").alias("ground_truth_index"), F.col("description").alias("ground_truth_label"))
     j = old.join(leg, "label", "left")
-    return j.select("ground_truth_index", "ground_truth_label", F.lit("test").alias("split"), *[F.get("features", i).alias(n) for i, n in enumerate(names)])
+    kept = [c for c in old.columns if c not in ("features", "label")]
+    return j.select(*kept, "ground_truth_index", "ground_truth_label", F.lit("test").alias("split"), *[F.get("features", i).alias(n) for i, n in enumerate(names)])

@@ -82,17 +82,22 @@ def spline_matrix(n: int, size: int) -> np.ndarray:
     return _basis(knots, np.linspace(0, n, size), k) @ np.linalg.inv(_basis(knots, x, k))
 
 
-def upsample(df: DataFrame, keys: Sequence[str], value: str, height: int, width: int) -> DataFrame:
-    """(keys, y, x, value): window values (wy, wx) brought to height x width by a bivariate cubic spline. Needs the whole window grid of a tile in one task: 1 / window^2 of its pixels."""
+def upsample(df: DataFrame, keys: Sequence[str], values: str | Sequence[str], height: int, width: int) -> DataFrame:
+    """(keys, y, x, values): window values (wy, wx) brought to height x width by a bivariate cubic spline, all of them in one pass. Needs the whole window grid of a tile in one task: 1 / window^2 of its pixels."""
     kinds = dict(df.dtypes)
-    names = list(keys)
-    shape = ", ".join([f"`{k}` {kinds[k]}" for k in names] + ["y int", "x int", f"`{value}` double"])
+    names, layers = list(keys), [values] if isinstance(values, str) else list(values)
+    shape = ", ".join([f"`{k}` {kinds[k]}" for k in names] + ["y int", "x int"] + [f"`{v}` double" for v in layers])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        grid = pdf.pivot(index="wy", columns="wx", values=value).to_numpy(float)
-        out = spline_matrix(grid.shape[0], height) @ np.nan_to_num(grid) @ spline_matrix(grid.shape[1], width).T
         y, x = np.mgrid[:height, :width]
-        return pd.DataFrame({**{k: pdf[k].iloc[0] for k in names}, "y": y.ravel().astype(np.int32), "x": x.ravel().astype(np.int32), value: out.ravel()})
+        out = {**{k: pdf[k].iloc[0] for k in names}, "y": y.ravel().astype(np.int32), "x": x.ravel().astype(np.int32)}
+        wy, wx = pdf["wy"].to_numpy() - pdf["wy"].min(), pdf["wx"].to_numpy() - pdf["wx"].min()
+        down, across = spline_matrix(int(wy.max()) + 1, height), spline_matrix(int(wx.max()) + 1, width).T
+        for v in layers:
+            grid = np.zeros((int(wy.max()) + 1, int(wx.max()) + 1))
+            grid[wy, wx] = np.nan_to_num(pdf[v].to_numpy(float, na_value=np.nan))
+            out[v] = (down @ grid @ across).ravel()
+        return pd.DataFrame(out)
 
     if not names:
         return df.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(run, shape)

@@ -82,7 +82,16 @@ def closing(spark, d):
     return focal.closing(_mask(spark, d), [], "m", "closed").select("y", "x", "closed")
 
 
-@query()
+def _box(steps: list[tuple[str, int]]) -> str:
+    """A chain of box maxima and minima of the mask m, as CTEs; the last one's value is v."""
+    parts, last = [], "SELECT y, x, CAST(dn > 3000 AS INT) AS v FROM raster"
+    for k, (f, r) in enumerate(steps):
+        parts.append(f"s{k} AS (SELECT y, x, {f}(v) OVER (PARTITION BY y ORDER BY x RANGE BETWEEN {r} PRECEDING AND {r} FOLLOWING) AS v FROM ({last}))")
+        last = f"SELECT y, x, {f}(v) OVER (PARTITION BY x ORDER BY y RANGE BETWEEN {r} PRECEDING AND {r} FOLLOWING) AS v FROM s{k}"
+    return f"WITH {base.RASTER}, {', '.join(parts)}, done AS ({last})"
+
+
+@query(_box([("max", 10), ("min", 10), ("min", 1), ("max", 1), ("max", 5), ("min", 5)]) + " SELECT y, x, v AS stripes FROM done")
 def stripes(spark, d):
     return focal.stripes(_mask(spark, d), [], "m", "stripes").select("y", "x", "stripes")
 
@@ -92,10 +101,14 @@ def window_std(spark, d):
     return focal.window_std(base.raster(spark, d), [], "dn").select("y", "x", F.round("std", 4).alias("std"), "gradient")
 
 
-@query()
+@query(f"""WITH {base.RASTER}, r AS (SELECT y, x, CASE WHEN dn > 1000 THEN dn END AS v FROM raster),
+  n AS (SELECT a.y, a.x, b.v, b.y - a.y AS dy, b.x - a.x AS dx FROM (SELECT y, x FROM r WHERE v IS NULL) a JOIN (SELECT y, x, v FROM r WHERE v IS NOT NULL) b ON b.y BETWEEN a.y - 15 AND a.y + 15 AND b.x BETWEEN a.x - 15 AND a.x + 15),
+  q AS (SELECT *, dy * dy + dx * dx AS d2, CASE WHEN dy < 0 AND dx >= 0 THEN 0 WHEN dx > 0 AND dy >= 0 THEN 1 WHEN dy > 0 AND dx <= 0 THEN 2 ELSE 3 END AS q FROM n WHERE dy * dy + dx * dx <= 225),
+  k AS (SELECT *, row_number() OVER (PARTITION BY y, x, q ORDER BY d2, dy, dx) AS i FROM q), f AS (SELECT y, x, sum(v / sqrt(d2)) / sum(1 / sqrt(d2)) AS v FROM k WHERE i = 1 GROUP BY ALL)
+  SELECT r.y, r.x, round(coalesce(r.v::DOUBLE, f.v), 6) AS filled FROM r LEFT JOIN f USING (y, x)""")
 def fill_nodata(spark, d):
     r = base.raster(spark, d).withColumn("v", F.when(F.col("dn") > 1000, F.col("dn")))
-    return focal.fill_nodata(r, [], "v", "filled").select("y", "x", "filled")
+    return focal.fill_nodata(r, [], "v", "filled").select("y", "x", F.round("filled", 6).alias("filled"))
 
 
 @query(f"WITH {base.RASTER}, q AS (SELECT cls, quantile_cont(dn::DOUBLE, 0.001) AS lo, quantile_cont(dn::DOUBLE, 0.999) AS hi FROM raster GROUP BY cls) SELECT y, x, round(least(greatest(dn, lo), hi), 6) AS dn FROM raster JOIN q USING (cls)")

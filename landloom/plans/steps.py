@@ -63,6 +63,24 @@ def sampled_points(spark, d):
     return pipelines.sampled_points(lc, none, 40, table(spark, d, "legend"), eroded=True).select("y", "x", "class_id", "split")
 
 
+@query(f"""WITH {base.RASTER}, c AS (SELECT y // 10 AS tile, y, x, dn // 2000 AS class_id FROM raster), r AS (SELECT *, row_number() OVER (PARTITION BY tile, class_id ORDER BY y, x) - 1 AS rn, count(*) OVER (PARTITION BY tile, class_id) AS n FROM c WHERE (x * 7 + y) % 50 <> 0)
+  SELECT CAST(tile AS INT) AS tile, y, x, CAST(class_id AS INT) AS class_id FROM r WHERE rn % greatest(1, n // least(7, n)) = 0 AND rn // greatest(1, n // least(7, n)) < least(7, n)""")
+def sampled_points_by_tile(spark, d):
+    """Samples of several tiles in one table, without known pixels: each tile's classes are sampled for themselves."""
+    lc = base.raster(spark, d).select(F.floor(F.col("y") / 10).cast("int").alias("tile"), "y", "x", F.floor(F.col("dn") / 2000).cast("int").alias("class_id"))
+    known = lc.where("(x * 7 + y) % 50 = 0").select("tile", "y", "x")
+    return pipelines.sampled_points(lc, known, 7, table(spark, d, "legend"), tile="tile").select("tile", "y", "x", "class_id")
+
+
+@query(f"""WITH l AS (SELECT internal_code, min(lc_code) AS code, min(description) AS name FROM legend GROUP BY ALL)
+  SELECT vec_id AS pix, code AS ground_truth_index, name AS ground_truth_label, 'test' AS split, {', '.join(f'embedding[{m * 4 + b + 1}]::DOUBLE AS band_{b + 1}_month_{m + 1}' for m in range(3) for b in range(4))},
+  {', '.join(f'embedding[{13 + i}]::DOUBLE AS {n}' for i, n in enumerate(('GLCMcontrast', 'GLCMdissimilarity', 'GLCMhomogeneity', 'GLCMenergy', 'GLCMcorrelation', 'GLCMASM')))} FROM embeddings LEFT JOIN l ON l.internal_code = label""")
+def convert_legacy(spark, d):
+    """The embeddings read as an old training matrix of four bands, three months and the six texture columns."""
+    old = table(spark, d, "embeddings").select(F.col("vec_id").alias("pix"), F.transform("embedding", lambda v: v.cast("double")).alias("features"), "label")
+    return pipelines.convert_legacy(old, table(spark, d, "legend"), 4, 3)
+
+
 def _scenes(spark, d):
     """Images of a strip of pixels, one per ship date of each supplier."""
     s = base.series(spark, d)
@@ -91,11 +109,22 @@ def cloud_restoration(spark, d):
     return pipelines.cloud_restoration(cube, dem, ["blue", "nir"], "blue", "nir", "nir")
 
 
-@query()
+def _stack() -> str:
+    from landloom.plans.local import _INDEX_SQL
+
+    cells = f"g AS (SELECT *, CAST(pix // 25 AS INT) AS y, CAST(pix % 25 AS INT) AS x FROM bands12), i AS (SELECT pix, cls, y, x, {', '.join(f'{v} AS {k}' for k, v in _INDEX_SQL.items())} FROM g)"
+    # Borders repeat: a line's end pixel stands in for the one beyond it.
+    rows = "h AS (SELECT *, coalesce(lag(ndvi) OVER a, ndvi) AS l, coalesce(lead(ndvi) OVER a, ndvi) AS r FROM i WINDOW a AS (PARTITION BY y ORDER BY x)), e AS (SELECT *, r - l AS dx, l + 2 * ndvi + r AS sm FROM h)"
+    cols = "s AS (SELECT *, coalesce(lag(dx) OVER b, dx) + 2 * dx + coalesce(lead(dx) OVER b, dx) AS sx, coalesce(lead(sm) OVER b, sm) - coalesce(lag(sm) OVER b, sm) AS sy FROM e WINDOW b AS (PARTITION BY x ORDER BY y))"
+    return f"WITH {base.BANDS12}, {cells}, {rows}, {cols} SELECT pix, cls, y, x, {', '.join(f'round({k}, 6) AS {k}' for k in _INDEX_SQL)}, round(sqrt(sx * sx + sy * sy), 6) AS sobel FROM s"
+
+
+@query(_stack())
 def feature_stack(spark, d):
     """Indices of a synthetic grid of embeddings: twelve bands, thirteen indices and the Sobel magnitude."""
     b = base.bands12(spark, d).withColumns({"y": F.floor(F.col("pix") / 25).cast("int"), "x": (F.col("pix") % 25).cast("int")})
-    return pipelines.generate_features(b, [], {k: f"b{k}" for k in range(1, 13)}).drop(*[f"b{k}" for k in range(1, 13)])
+    out = pipelines.generate_features(b, [], {k: f"b{k}" for k in range(1, 13)}).drop(*[f"b{k}" for k in range(1, 13)])
+    return out.select(*[F.round(c, 6).alias(c) if c not in ("pix", "cls", "y", "x") else c for c in out.columns])
 
 
 @query()
@@ -104,7 +133,8 @@ def texture_stack(spark, d):
     return pipelines.texture_features(r, [], "dn", r.agg(F.max("y") + 1).first()[0], 100)
 
 
-@query()
+@query("""WITH e AS (SELECT DISTINCT ON (event_id) event_type, ts, value FROM events), k AS (SELECT *, CAST(floor(epoch(ts) / 86400.0 / 30) AS BIGINT) AS n FROM e), w AS (SELECT event_type, unnest([n - 1, n]) AS n, value FROM k)
+  SELECT event_type, CAST(DATE '1970-01-01' + CAST(30 * n AS INT) AS DATE) AS opens, CAST(DATE '1970-01-01' + CAST(30 * n + 60 AS INT) AS DATE) AS closes, round(avg(CASE WHEN value <> 0 THEN value END), 6) AS mean_value, count(CASE WHEN value <> 0 THEN 1 END) AS n_valid FROM w GROUP BY ALL""")
 def stream_composites(spark, d):
     """The events as a file stream of images: duplicates within the watermark go, 60-day windows every 30 days. Runs to the end of the input and reads the sink back;
     windows that the watermark has not closed by then come from the same aggregate over the table."""
@@ -124,4 +154,5 @@ def stream_composites(spark, d):
     rows = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")).dropDuplicates(["event_id"])
     whole = windowed_mean(rows, ["event_type"], "ts", "value").select("event_type", F.col("window.start").alias("opens"), F.col("window.end").alias("closes"), "mean_value", "n_valid")
     done = closed.select(F.col("event_type").alias("t"), F.col("opens").alias("o"))
-    return closed.unionByName(whole.join(done, F.col("event_type").eqNullSafe(F.col("t")) & (F.col("opens") == F.col("o")), "left_anti"))
+    both = closed.unionByName(whole.join(done, F.col("event_type").eqNullSafe(F.col("t")) & (F.col("opens") == F.col("o")), "left_anti"))
+    return both.select("event_type", F.to_date("opens").alias("opens"), F.to_date("closes").alias("closes"), F.round("mean_value", 6).alias("mean_value"), "n_valid")
