@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from landloom.session import cut
+
 PAD = 1e-6  # keeps rounding on the safe side: squares are so much wider, and cells ten times that
 CROWD = 20_000
 
@@ -139,8 +141,13 @@ def shared_spans(rows: DataFrame, distance: float, crowd: int = CROWD) -> DataFr
     """(tx, ty, ex, ey, row, col, length, first): what a training and an evaluation site at most distance apart have in common; first once for each pair."""
     if not distance > 0:
         raise ValueError("distance must be positive")
-    places = sites(rows)
-    salted = suffixes(places, distance).join(_crowded(places, distance, crowd), ["row", "col"], "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    places = cut(sites(rows))
+    crowded = cut(_crowded(places, distance, crowd))
+    salted = suffixes(places, distance)
+    if crowded.isEmpty():
+        ordered = salted.select("row", "col", F.lit(0).alias("salt"), "length", "x", "y", "n_train", "n_eval").repartition("row", "col").sortWithinPartitions("row", "col", "length")
+        return ordered.mapInArrow(_spans(distance), SPAN)
+    salted = salted.join(crowded, ["row", "col"], "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
     own = F.pmod(F.xxhash64("x", "y"), F.col("salts")).cast("int")
     salted = salted.withColumn("own", own).withColumn("salt", F.explode(F.when(F.col("n_eval") > 0, F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array("own"))))
     salted = salted.withColumn("n_train", F.when(F.col("salt") == F.col("own"), F.col("n_train")).otherwise(0))
