@@ -4,8 +4,9 @@ Both joins hash to grid cells and verify exactly. No side is broadcast by hint a
 
 * `within_distance`: cells have twice the radius as edge, the right side is written to the cells that its reach meets (four at most), the join is an
   equi-join on the cell. With metric='haversine' x and y are degrees of longitude and latitude and the distance is the great circle's.
-* `containing_regions`: a region goes to the level of a doubling grid whose cell edge is at least its extent, so it lies in four
-  cells at most, however large it is; a point is looked up once on each level that occurs.
+* `near_counts`: how many and how near, from counts of sites; pairs of rows are not made.
+* `containing_regions`: a region goes to the level of a doubling grid whose cell edge is at least a quarter of its extent, so it lies in 25
+  cells at most, however large it is, and the points in a large one are spread over as many keys; a point is looked up once on each level that occurs.
 
 Rows that share a place are one site until the last join, so a place that holds a third of all rows costs one probe; the join
 back to its rows is an inner sort-merge join that adaptive execution splits by rows.
@@ -41,11 +42,10 @@ def _row_of(y: Column, edge: float) -> Column:
     return F.floor(y / F.lit(edge))
 
 
-def within_distance(
-    left: DataFrame, right: DataFrame, radius: float, left_id: str, right_id: str, left_xy: tuple[str, str] = ("x", "y"), right_xy: tuple[str, str] = ("x", "y"),
-    left_tag: str | None = None, right_tag: str | None = None, metric: str = "plane",
-) -> DataFrame:
-    """Pairs (left_id, right_id, distance) at most radius apart. With tags, only pairs whose tags differ (both not null)."""
+def _near_sites(
+    left: DataFrame, right: DataFrame, radius: float, left_id: str, right_id: str, left_xy: tuple[str, str], right_xy: tuple[str, str], left_tag: str | None, right_tag: str | None, metric: str,
+) -> tuple[DataFrame, DataFrame]:
+    """(ax, ay, at, rid, distance) of left sites and right rows at most radius apart, and the left rows (lid, ax, ay, at)."""
     if metric not in ("plane", "haversine"):
         raise ValueError(metric)
     a = left.select(F.col(left_id).alias("lid"), F.col(left_xy[0]).cast("double").alias("ax"), F.col(left_xy[1]).cast("double").alias("ay"), (F.col(left_tag) if left_tag else F.lit(0)).alias("at"))
@@ -89,12 +89,35 @@ def within_distance(
     hits = left_cells.join(right_cells, ["gx", "gy"]).withColumn("distance", dist).where(F.col("distance") <= radius)
     if left_tag:
         hits = hits.where(F.col("at") != F.col("bt"))
-    return (
-        hits.select("ax", "ay", "at", "rid", "distance")
-        .join(a, ["ax", "ay", "at"] if left_tag else ["ax", "ay"])
-        .select(F.col("lid").alias("left_id"), F.col("rid").alias("right_id"), "distance")
-        .distinct()
-    )
+    return hits.select("ax", "ay", "at", "rid", "distance"), a
+
+
+def within_distance(
+    left: DataFrame, right: DataFrame, radius: float, left_id: str, right_id: str, left_xy: tuple[str, str] = ("x", "y"), right_xy: tuple[str, str] = ("x", "y"),
+    left_tag: str | None = None, right_tag: str | None = None, metric: str = "plane",
+) -> DataFrame:
+    """Pairs (left_id, right_id, distance) at most radius apart. With tags, only pairs whose tags differ (both not null)."""
+    hits, a = _near_sites(left, right, radius, left_id, right_id, left_xy, right_xy, left_tag, right_tag, metric)
+    return hits.join(a, ["ax", "ay", "at"]).select(F.col("lid").alias("left_id"), F.col("rid").alias("right_id"), "distance").distinct()
+
+
+def near_counts(
+    left: DataFrame, right: DataFrame, radius: float, left_id: str, right_id: str, left_xy: tuple[str, str] = ("x", "y"), right_xy: tuple[str, str] = ("x", "y"),
+    left_tag: str | None = None, right_tag: str | None = None, metric: str = "plane",
+) -> DataFrame:
+    """(left_id, n_near, nearest): of each left row that has any, the different right ids at most radius apart and the least distance.
+
+    Right rows are counted per left site. Only ids that stand at several sites, as deliveries that disagree do, are counted pair by pair.
+    """
+    hits, a = _near_sites(left, right, radius, left_id, right_id, left_xy, right_xy, left_tag, right_tag, metric)
+    rows = a.distinct()
+    spread = rows.groupBy("lid").agg(F.count("*").alias("n_sites"))
+    rows = rows.join(spread, rows["lid"].eqNullSafe(spread["lid"])).drop(spread["lid"])
+    per_site = hits.groupBy("ax", "ay", "at", "rid").agg(F.min("distance").alias("distance"))
+    counted = per_site.groupBy("ax", "ay", "at").agg(F.count("*").alias("n_near"), F.min("distance").alias("nearest"))
+    single = rows.where("n_sites = 1").join(counted, ["ax", "ay", "at"]).select(F.col("lid").alias("left_id"), "n_near", "nearest")
+    several = rows.where("n_sites > 1").join(per_site, ["ax", "ay", "at"]).groupBy(F.col("lid").alias("left_id"), "rid").agg(F.min("distance").alias("distance"))
+    return single.unionByName(several.groupBy("left_id").agg(F.count("*").alias("n_near"), F.min("distance").alias("nearest")))
 
 
 _INSIDE = """aggregate(sequence(0, size(xs) - 1), false, (odd, i) -> odd != coalesce(
@@ -102,7 +125,7 @@ _INSIDE = """aggregate(sequence(0, size(xs) - 1), false, (odd, i) -> odd != coal
     AND px < try_divide((xs[if(i = 0, size(xs), i) - 1] - xs[i]) * (py - ys[i]), ys[if(i = 0, size(xs), i) - 1] - ys[i]) + xs[i], false))"""
 
 
-def containing_regions(points: DataFrame, regions: DataFrame, point_id: str, region_id: str, xy: tuple[str, str] = ("x", "y"), ring: str = "ring", least_edge: float = 64.0) -> DataFrame:
+def containing_regions(points: DataFrame, regions: DataFrame, point_id: str, region_id: str, xy: tuple[str, str] = ("x", "y"), ring: str = "ring", least_edge: float = 64.0, across: int = 4) -> DataFrame:
     """Pairs (left_id, right_id) of points and the regions whose ring (array<struct<x,y>>) contains them."""
     p = points.select(F.col(point_id).alias("lid"), F.col(xy[0]).cast("double").alias("px"), F.col(xy[1]).cast("double").alias("py"))
     p = _sites(p, "px", "py")
@@ -114,7 +137,7 @@ def containing_regions(points: DataFrame, regions: DataFrame, point_id: str, reg
         .withColumns({"x0": F.array_min("xs"), "x1": F.array_max("xs"), "y0": F.array_min("ys"), "y1": F.array_max("ys")})
         .where((F.abs("x0") < 1e15) & (F.abs("x1") < 1e15) & (F.abs("y0") < 1e15) & (F.abs("y1") < 1e15))
         .withColumn("extent", F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.lit(least_edge)))
-        .withColumn("edge", F.lit(least_edge) * F.pow(F.lit(2.0), F.ceil(F.log2(F.col("extent") / F.lit(least_edge)))))
+        .withColumn("edge", F.lit(least_edge / across) * F.pow(F.lit(2.0), F.ceil(F.log2(F.col("extent") / F.lit(least_edge)))))
     )
     cells = F.expr("flatten(transform(sequence(floor(x0 / edge), floor(x1 / edge)), i -> transform(sequence(floor(y0 / edge), floor(y1 / edge)), j -> struct(i as gx, j as gy))))")
     r = r.withColumn("_g", F.explode(cells)).select("rid", "xs", "ys", "x0", "x1", "y0", "y1", "edge", "_g.gx", "_g.gy")

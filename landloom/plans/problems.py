@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from landloom.operators.gapfill import BANDS, fill_grid, fill_series
-from landloom.operators.proximity import containing_regions, within_distance
+from landloom.operators.proximity import containing_regions, near_counts, within_distance
 from landloom.operators.records import month_of, tile_code, with_category, with_place
 from landloom.plans.sql_common import DATASET, MONTH, POINTS, TILE
 from landloom.plans.tables import table
@@ -26,10 +26,6 @@ def _points(spark: SparkSession, d: str) -> DataFrame:
     return p.where(~((F.col("x") == 0) & (F.col("y") == 0)))
 
 
-def _near_points(spark: SparkSession, d: str) -> DataFrame:
-    return within_distance(_placed(spark, d), _points(spark, d), NEAR_M, "row_id", "point_id", ("px", "py"), ("x", "y"), "category", "category")
-
-
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     placed = cut(_placed(spark, d).where(F.col("px").isNotNull()))  # read four times below
     near = within_distance(placed, _points(spark, d), NEAR_M, "row_id", "point_id", ("px", "py"), ("x", "y"), "category", "category")
@@ -40,8 +36,8 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_conflict_distance(spark: SparkSession, d: str) -> DataFrame:
     """For each dataset row with points of another category near it: how many, and how near the nearest is."""
-    near = _near_points(spark, d).groupBy(F.col("left_id").alias("row_id"), F.col("right_id").alias("point_id")).agg(F.min("distance").alias("distance"))
-    return near.groupBy("row_id").agg(F.count("*").alias("n_points"), F.round(F.min("distance"), 6).alias("nearest_m"))
+    near = near_counts(_placed(spark, d), _points(spark, d), NEAR_M, "row_id", "point_id", ("px", "py"), ("x", "y"), "category", "category")
+    return near.select(F.col("left_id").alias("row_id"), F.col("n_near").alias("n_points"), F.round("nearest", 6).alias("nearest_m"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from landloom.operators.proximity import containing_regions, within_distance
+from landloom.operators.proximity import containing_regions, near_counts, within_distance
 
 
 def near(a, b, r, dist):
@@ -51,6 +51,17 @@ def test_tags_repeats_clashing_columns_and_nulls(spark):
     assert got == [(1, 2), (None, 2)]
 
 
+def test_counts_equal_counted_pairs(spark):
+    rng = random.Random(9)
+    place = lambda: (rng.randint(0, 30) * 4.0, rng.randint(0, 30) * 4.0, rng.choice([1, 2, None]))
+    a = [(rng.choice([i, i // 2, None]), *place()) for i in range(300)]
+    b = [(i // 2, *place()) for i in range(300)]
+    A, B = (spark.createDataFrame(v, "i long, x double, y double, tag int") for v in (a, b))
+    want = within_distance(A, B, 10.0, "i", "i", left_tag="tag", right_tag="tag").groupBy("left_id").agg(F.countDistinct("right_id"), F.min("distance"))
+    got = near_counts(A, B, 10.0, "i", "i", left_tag="tag", right_tag="tag")
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()} and got.count() > 50
+
+
 def test_empty(spark):
     a = spark.createDataFrame([], "id long, x double, y double")
     r = spark.createDataFrame([], "id long, ring array<struct<x double, y double>>")
