@@ -140,12 +140,15 @@ def containing_regions(points: DataFrame, regions: DataFrame, point_id: str, reg
         .withColumn("edge", F.lit(least_edge / across) * F.pow(F.lit(2.0), F.ceil(F.log2(F.col("extent") / F.lit(least_edge)))))
     )
     cells = F.expr("flatten(transform(sequence(floor(x0 / edge), floor(x1 / edge)), i -> transform(sequence(floor(y0 / edge), floor(y1 / edge)), j -> struct(i as gx, j as gy))))")
-    r = r.withColumn("_g", F.explode(cells)).select("rid", "xs", "ys", "x0", "x1", "y0", "y1", "edge", "_g.gx", "_g.gy")
+    # Rings stay behind: cells carry a region's box and key only, and candidates meet the rings once they are inside the box.
+    r = r.withColumn("key", F.xxhash64("rid", "xs", "ys"))
+    rings = r.select("key", "rid", "xs", "ys")
+    r = r.withColumn("_g", F.explode(cells)).select("key", "x0", "x1", "y0", "y1", "edge", "_g.gx", "_g.gy")
     # One row per grid level that occurs: at most some fifty for any data, as the edge doubles from level to level.
     levels = r.groupBy().agg(F.sort_array(F.collect_set("edge")).alias("edges"))
     edges = [float(e) for e in (levels.first()["edges"] or [])]
     sites = p.select("px", "py").distinct()
     probes = sites.withColumn("edge", F.explode(F.array(*[F.lit(e) for e in edges]) if edges else F.expr("cast(array() as array<double>)"))).withColumns({"gx": F.floor(F.col("px") / F.col("edge")), "gy": F.floor(F.col("py") / F.col("edge"))})
     boxed = probes.join(r, ["edge", "gx", "gy"]).where(F.col("px").between(F.col("x0"), F.col("x1")) & F.col("py").between(F.col("y0"), F.col("y1")))
-    hits = boxed.where(F.expr(_INSIDE)).select("px", "py", "rid")
+    hits = boxed.select("px", "py", "key").join(rings, "key").where(F.expr(_INSIDE)).select("px", "py", "rid")
     return hits.join(p, ["px", "py"]).select(F.col("lid").alias("left_id"), F.col("rid").alias("right_id")).distinct()
