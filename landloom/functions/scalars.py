@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 # Scene classification codes.
 SCL_CLOUD = (8, 9, 10)
 SCL_SHADOW = (3,)
+QA_FILL, QA_CLOUD, QA_SHADOW, QA_SNOW = 1, 2, 3, 4  # classes of qa_class
 
 
 def dn_offset(dn: Column, offset: Column | int) -> Column:
@@ -148,3 +149,42 @@ def inverse_utm(e: Column, n_: Column, zone: int, south: bool = False) -> tuple[
     for j, c in enumerate(delta, 1):
         phi = phi + F.lit(c) * F.sin(chi * (2 * j))
     return F.lit(zone * 6.0 - 183.0) + F.degrees(F.atan2(F.sinh(eta), F.cos(xi))), F.degrees(phi)
+
+
+WEB_RADIUS = 6378137.0  # fixed value: the sphere of EPSG:3857
+
+
+def _utm_zone(epsg: int) -> tuple[int, bool] | None:
+    zone = epsg % 100
+    return (zone, epsg // 100 == 327) if epsg // 100 in (326, 327) and 1 <= zone <= 60 else None
+
+
+def to_degrees(x: Column, y: Column, epsg: int) -> tuple[Column, Column]:
+    """Map coordinates to WGS84 longitude and latitude. EPSG 4326, 3857, and every UTM zone (32601 to 32660, 32701 to 32760); others are an error."""
+    if epsg == 4326:
+        return x, y
+    if epsg == 3857:
+        return F.degrees(x / F.lit(WEB_RADIUS)), F.degrees(F.lit(2.0) * F.atan(F.exp(y / F.lit(WEB_RADIUS)))) - F.lit(90.0)
+    if (zone := _utm_zone(epsg)) is None:
+        raise ValueError(f"EPSG:{epsg} is not known here")
+    return inverse_utm(x, y, *zone)
+
+
+def from_degrees(lon: Column, lat: Column, epsg: int) -> tuple[Column, Column]:
+    if epsg == 4326:
+        return lon, lat
+    if epsg == 3857:
+        return F.radians(lon) * F.lit(WEB_RADIUS), F.log(F.tan(F.radians(lat) / 2 + F.lit(0.7853981633974483))) * F.lit(WEB_RADIUS)
+    if (zone := _utm_zone(epsg)) is None:
+        raise ValueError(f"EPSG:{epsg} is not known here")
+    return utm(lon, lat, *zone)
+
+
+def reproject(x: Column, y: Column, source: int, target: int) -> tuple[Column, Column]:
+    """Coordinates of one EPSG code in another, by way of degrees."""
+    return (x, y) if source == target else from_degrees(*to_degrees(x, y, source), target)
+
+
+def utm_epsg(lon: Column, lat: Column) -> Column:
+    """The EPSG code of the UTM zone that a place is in."""
+    return F.when(lat < 0, F.lit(32700)).otherwise(F.lit(32600)) + F.least(F.lit(60), F.floor((lon + 180.0) / 6.0).cast("int") + 1)

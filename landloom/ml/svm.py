@@ -19,8 +19,13 @@ MOST_ROWS = 20_000
 
 
 def rbf(a: np.ndarray, b: np.ndarray, gamma: float) -> np.ndarray:
-    d = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T
-    return np.exp(-gamma * np.maximum(d, 0))
+    d = a @ b.T  # one matrix, changed in place
+    d *= -2.0
+    d += (a * a).sum(1)[:, None]
+    d += (b * b).sum(1)[None, :]
+    np.maximum(d, 0.0, out=d)
+    d *= -gamma
+    return np.exp(d, out=d)
 
 
 @dataclass
@@ -262,30 +267,60 @@ def fit_pairs(x: np.ndarray, y: np.ndarray, classes: list, c: float, gamma: floa
     return out
 
 
-def fit_ensemble(x: np.ndarray, y: np.ndarray, x_cal: np.ndarray, y_cal: np.ndarray, c: float, gamma: float, balanced: bool = False) -> Ensemble:
-    """Machines on the training part, calibrators on the other."""
+MACHINE = "kind string, i int, j int, bias double, coef array<double>, sv array<array<double>>"
+
+
+def fit_ensemble(x: np.ndarray, y: np.ndarray, x_cal: np.ndarray, y_cal: np.ndarray, c: float, gamma: float, balanced: bool = False, spark=None) -> Ensemble:
+    """Machines on the training part, calibrators on the other. With a session every machine (a class against the rest, or a pair of classes) is fitted in a task of its own."""
     e = Ensemble(list(np.unique(y)))
-    for k in e.classes:
-        m = fit_binary(x, y == k, c, gamma, balanced)
+    jobs = [("binary", i, -1) for i in range(len(e.classes))] + [("pair", i, j) for i, j in itertools.combinations(range(len(e.classes)), 2)]
+
+    def fit_one(kind: str, i: int, j: int, x: np.ndarray, y: np.ndarray) -> Binary:
+        if kind == "binary":
+            return fit_binary(x, y == e.classes[i], c, gamma, balanced)
+        at = (y == e.classes[i]) | (y == e.classes[j])
+        return fit_binary(x[at], y[at] == e.classes[i], c, gamma, balanced)
+
+    if spark is None:
+        found = {job: fit_one(*job, x, y) for job in jobs}
+    else:
+        shared = spark.sparkContext.broadcast((x, y))  # bounded by MOST_ROWS
+
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            rows = []
+            for r in pdf.itertuples():
+                m = fit_one(r.kind, r.i, r.j, *shared.value)
+                rows.append((r.kind, r.i, r.j, m.bias, m.coef.tolist(), m.sv.tolist()))
+            return pd.DataFrame(rows, columns=["kind", "i", "j", "bias", "coef", "sv"])
+
+        rows = spark.createDataFrame([(n, *job) for n, job in enumerate(jobs)], "n int, kind string, i int, j int").repartition(len(jobs), "n").groupBy("n").applyInPandas(run, MACHINE).collect()  # support vectors: at most MOST_ROWS a machine
+        found = {(r["kind"], r["i"], r["j"]): Binary(gamma, np.array(r["sv"], float).reshape(len(r["sv"]), x.shape[1]), np.array(r["coef"], float), r["bias"]) for r in rows}
+        shared.unpersist()
+    for i, k in enumerate(e.classes):
+        m = found["binary", i, -1]
         e.binary[k] = Calibrated(m, *isotonic(m.decide(x_cal), (y_cal == k).astype(float)))
-    e.pairs = fit_pairs(x, y, e.classes, c, gamma, balanced)
+    e.pairs = {(i, j): m for (kind, i, j), m in found.items() if kind == "pair"}
     v = e.votes(x_cal)
     e.twin = {k: isotonic(v[:, i], (y_cal == k).astype(float)) for i, k in enumerate(e.classes)}
     return e
 
 
-def predict(df: DataFrame, ensemble: Ensemble, features: str, keys: Sequence[str], mode: str = "binary", chunk: int = 8192) -> DataFrame:
-    """(keys, label, p0.. of the classes in order, as quantised 0..255). Map only: rows stay where they are."""
+def predict(df: DataFrame, ensemble: Ensemble, features: str, keys: Sequence[str], mode: str = "binary", most_cells: int = 16_000_000) -> DataFrame:
+    """(keys, label, p0.. of the classes in order, as quantised 0..255). Map only: rows stay where they are, and each is scored once. most_cells bounds the kernel matrix of a step: 128 MB by default."""
     kinds = dict(df.dtypes)
     shape = ", ".join([f"`{k}` {kinds[k]}" for k in keys] + ["label string"] + [f"p{i} int" for i in range(len(ensemble.classes))])
 
+    machines = [*[m.model for m in ensemble.binary.values()], *ensemble.pairs.values()]
+    chunk = max(1, most_cells // max([1, *[len(m.sv) for m in machines]]))
+    names = np.asarray(ensemble.classes, object)
+
     def run(frames):
         for pdf in frames:
             if not len(pdf):
                 continue
             x = np.array(pdf[features].tolist(), float).reshape(len(pdf), -1)
             p = np.concatenate([ensemble.proba(x[i : i + chunk], mode) for i in range(0, len(x), chunk)])
-            label = np.concatenate([ensemble.predict(x[i : i + chunk], mode) for i in range(0, len(x), chunk)])
+            label = names[p.argmax(1)]  # softmax keeps the order of votes
             q = (p * 255).astype(np.int32)
             yield pd.DataFrame({**{k: pdf[k] for k in keys}, "label": label.astype(str), **{f"p{i}": q[:, i] for i in range(q.shape[1])}})
 

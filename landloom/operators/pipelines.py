@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from landloom.functions.indices import INDICES
-from landloom.functions.scalars import season_id
+from landloom.functions.scalars import QA_CLOUD, QA_SHADOW, QA_SNOW, SCL_CLOUD, SCL_SHADOW, qa_class, scl_mask, season_id
 from landloom.operators import focal, masks, stats, temporal, texture, vector
 
 
@@ -47,6 +47,70 @@ def monthly_composites(scenes: DataFrame, bands: Sequence[str], fallback: bool =
     return d.groupBy("tile", "window_month", "y", "x").agg(*aggs)
 
 
+def paired(images: DataFrame, masks_of: DataFrame, key: str = "scene") -> DataFrame:
+    """Images with their masks by scene; an image without a mask, a mask without an image or a scene with two masks is an error."""
+    a, b = images.select(key).distinct(), masks_of.groupBy(key).agg(F.count("*").alias("_n"))
+    wrong = a.withColumn("_i", F.lit(1)).join(b, key, "full").where("_i is null or _n is null or _n <> 1").limit(5).collect()
+    if wrong:
+        raise ValueError(f"images and masks don't pair: {[r[key] for r in wrong]}")
+    return images.join(masks_of, key)
+
+
+def extract_masks(scenes: DataFrame, code: str, kind: str, grow: int = 0, keys: Sequence[str] = ("scene",)) -> DataFrame:
+    """(keys, y, x, cloud, shadow[, snow]) from a scene classification band ('scl') or Landsat quality bits ('qa', with snow); with grow, clouds and shadows are dilated by so many pixels."""
+    c = F.col(code)
+    if kind == "scl":
+        marks = {"cloud": scl_mask(c, SCL_CLOUD), "shadow": scl_mask(c, SCL_SHADOW)}
+    elif kind == "qa":
+        q = qa_class(c)
+        marks = {"cloud": q == QA_CLOUD, "shadow": q == QA_SHADOW, "snow": q == QA_SNOW}
+    else:
+        raise ValueError(kind)
+    d = scenes.select(*keys, "y", "x", *[F.coalesce(v, F.lit(False)).alias(k) for k, v in marks.items()])
+    if grow:
+        for m in ("cloud", "shadow"):
+            d = focal.dilate(d.withColumn("_m", F.col(m).cast("int")), list(keys), "_m", "_g", grow).withColumn(m, F.col("_g") == 1).drop("_m", "_g")
+    return d
+
+
+WINDOWS = {"month": lambda d, t: temporal.assign_sliding(d, t).withColumnRenamed("window_month", "window"), "season": lambda d, t: d.withColumn("window", F.concat(F.year(t).cast("string"), F.lit("_"), F.quarter(t).cast("string")))}
+
+
+def composites(scenes: DataFrame, bands: Sequence[str], every: str = "month", fallback: bool = False, grow: int = 0, most: int | None = None, snow: bool = False) -> DataFrame:
+    """(tile, window, y, x, bands, n_valid): medians of clear pixels, per sliding two-month window ('month') or calendar quarter ('season'), and the number of clear images.
+
+    scenes: (tile, scene, time, y, x, bands, cloud, shadow[, snow]); one table serves both sensors. grow dilates the union of the masks, as Landsat's are; snow counts as masked, too; values
+    above `most` (gaps between stripes) are no data. fallback: the least raw value where no image is clear.
+    """
+    masked = F.coalesce(F.col("cloud"), F.lit(False)) | F.coalesce(F.col("shadow"), F.lit(False))
+    if snow:
+        masked = masked | F.coalesce(F.col("snow"), F.lit(False))
+    d = scenes.withColumn("_bad", masked.cast("int"))
+    if grow:
+        d = focal.dilate(d, ["tile", "scene"], "_bad", "_grown", grow, cross=True).withColumn("_bad", F.col("_grown"))
+    d = WINDOWS[every](d, "time")
+    aggs = []
+    for b in bands:
+        v = F.nullif(F.col(b), F.lit(0))
+        v = F.when(v <= most, v) if most is not None else v
+        m = F.median(F.when(F.col("_bad") == 0, v))
+        aggs.append((F.coalesce(m, F.min(v)) if fallback else m).cast("int").alias(b))
+    return d.groupBy("tile", "window", "y", "x").agg(*aggs, F.count(F.when((F.col("_bad") == 0) & (F.col(bands[0]) != 0), 1)).alias("n_valid"))
+
+
+def mask_scores(predicted: DataFrame, truth: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, kind, precision, recall, f1, accuracy, n) of cloud and shadow masks against a labelled patch: (keys, y, x, cls) with 1 or 2 for cloud and 3 for shadow. Pixels that only one side has don't count."""
+    j = predicted.join(truth, [*keys, "y", "x"])
+    pairs = {"cloud": (F.col("cloud"), F.col("cls").isin(1, 2)), "shadow": (F.col("shadow"), F.col("cls") == 3)}
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.coalesce(p, F.lit(False)).alias("p"), F.coalesce(t, F.lit(False)).alias("t")) for k, (p, t) in pairs.items()]))
+    d = j.select(*keys, each.alias("_r")).select(*keys, "_r.*")
+    count = lambda c: F.sum(c.cast("bigint")).cast("double")
+    g = d.groupBy(*keys, "kind").agg(count(F.col("p") & F.col("t")).alias("tp"), count(F.col("p")).alias("np"), count(F.col("t")).alias("nt"), count(F.col("p") == F.col("t")).alias("ok"), F.count("*").alias("n"))
+    zero = F.lit(0.0)
+    ratio = lambda a, b: F.coalesce(F.try_divide(a, b), zero)
+    return g.select(*keys, "kind", ratio(F.col("tp"), F.col("np")).alias("precision"), ratio(F.col("tp"), F.col("nt")).alias("recall"), ratio(2 * F.col("tp"), F.col("np") + F.col("nt")).alias("f1"), ratio(F.col("ok"), F.col("n")).alias("accuracy"), "n")
+
+
 def cloud_restoration(cube: DataFrame, dem: DataFrame, bands: Sequence[str], blue: str, nir: str, swir: str) -> DataFrame:
     """Gap filling in time of every band, then topographic shadow adjustment of each month. cube: (tile, month, y, x, bands); dem: (tile, y, x, elevation)."""
     keys = ["tile", "y", "x"]

@@ -224,3 +224,15 @@ def extent_clip(spark, d):
 def common_extent(spark, d):
     p = table(spark, d, "points_df").where("geom.x <> 0").groupBy("campaign").agg(F.min("geom.x").alias("left"), F.max("geom.x").alias("right"), F.min("geom.y").alias("bottom"), F.max("geom.y").alias("top"))
     return vector.common_extent(p)
+
+
+@query("""WITH p AS (SELECT point_id, (geom.x % 100000) / 100000 * 360 - 180 AS lon, (geom.y % 100000) / 100000 * 160 - 80 AS lat FROM points_df WHERE geom.x >= 0 AND geom.y >= 0)
+  SELECT point_id, round(radians(lon) * 6378137.0, 3) AS mx, round(ln(tan(radians(lat) / 2 + 0.7853981633974483)) * 6378137.0, 3) AS my, CAST(CASE WHEN lat < 0 THEN 32700 ELSE 32600 END + least(60, floor((lon + 180) / 6) + 1) AS INT) AS epsg, true AS back FROM p""")
+def reproject_world(spark, d):
+    """Places all over the world to Web Mercator and back, with the UTM zone that each is in."""
+    g = table(spark, d, "points_df").where("geom.x >= 0 and geom.y >= 0")
+    p = g.select("point_id", (F.expr("geom.x % 100000") / 100000 * 360 - 180).alias("lon"), (F.expr("geom.y % 100000") / 100000 * 160 - 80).alias("lat"))
+    mx, my = sc.reproject(F.col("lon"), F.col("lat"), 4326, 3857)
+    q = p.withColumns({"mx": mx, "my": my})
+    lon, lat = sc.reproject(F.col("mx"), F.col("my"), 3857, 4326)
+    return q.select("point_id", F.round("mx", 3).alias("mx"), F.round("my", 3).alias("my"), sc.utm_epsg(F.col("lon"), F.col("lat")).cast("int").alias("epsg"), ((F.abs(lon - F.col("lon")) < 1e-9) & (F.abs(lat - F.col("lat")) < 1e-9)).alias("back"))

@@ -101,6 +101,64 @@ def monthly_composites(spark, d):
     return pipelines.monthly_composites(_scenes(spark, d), ["blue"], fallback=True)
 
 
+_MARKED = f"""{base.RASTER}, m AS (SELECT CAST(y // 20 AS INT) AS scene, y, x, dn, dn % 12 AS scl, (dn * 37) % 65536 AS qa FROM raster)"""
+
+
+def _marked(spark, d):
+    return base.raster(spark, d).select(F.floor(F.col("y") / 20).cast("int").alias("scene"), "y", "x", "dn", (F.col("dn") % 12).alias("scl"), ((F.col("dn") * 37) % 65536).alias("qa"))
+
+
+@query(f"""WITH {_MARKED}, b AS (SELECT *, CAST(scl IN (8, 9, 10) AS INT) AS c, CAST(scl = 3 AS INT) AS s FROM m)
+  SELECT a.scene, a.y, a.x, max(b.c) = 1 AS cloud, max(b.s) = 1 AS shadow FROM b a JOIN b ON b.scene = a.scene AND b.y BETWEEN a.y - 1 AND a.y + 1 AND b.x BETWEEN a.x - 1 AND a.x + 1 GROUP BY ALL""")
+def mask_extract(spark, d):
+    """Cloud and shadow masks of five scenes from their classification band, grown by a pixel."""
+    return pipelines.extract_masks(_marked(spark, d), "scl", "scl", 1)
+
+
+@query(f"""WITH {_MARKED}, q AS (SELECT *, qa & 1 = 1 AS fill, (qa >> 1) & 1 = 1 OR (qa >> 3) & 1 = 1 OR ((qa >> 14) & 1 = 1 AND (qa >> 15) & 1 = 1) AS cl, (qa >> 4) & 1 = 1 OR ((qa >> 10) & 1 = 1 AND (qa >> 11) & 1 = 1) AS sh, (qa >> 5) & 1 = 1 AS sn FROM m)
+  SELECT scene, y, x, NOT fill AND cl AS cloud, NOT fill AND NOT cl AND sh AS shadow, NOT fill AND NOT cl AND NOT sh AND sn AS snow FROM q""")
+def mask_extract_landsat(spark, d):
+    return pipelines.extract_masks(_marked(spark, d), "qa", "qa")
+
+
+@query(f"""WITH {_MARKED}, t AS (SELECT scene, scl IN (8, 9, 10) AS pc, scl = 3 AS ps, dn % 4 IN (1, 2) AS tc, dn % 4 = 3 AS ts FROM m WHERE dn % 5 <> 0), l AS (SELECT scene, 'cloud' AS kind, pc AS p, tc AS t FROM t UNION ALL SELECT scene, 'shadow', ps, ts FROM t),
+  g AS (SELECT scene, kind, count_if(p AND t)::DOUBLE AS tp, count_if(p)::DOUBLE AS np, count_if(t)::DOUBLE AS nt, count_if(p = t)::DOUBLE AS ok, count(*) AS n FROM l GROUP BY ALL)
+  SELECT scene, kind, CASE WHEN np > 0 THEN tp / np ELSE 0 END AS precision, CASE WHEN nt > 0 THEN tp / nt ELSE 0 END AS recall, CASE WHEN np + nt > 0 THEN 2 * tp / (np + nt) ELSE 0 END AS f1, ok / n AS accuracy, n FROM g""")
+def mask_scores(spark, d):
+    """Masks of five scenes against labelled patches that lack a fifth of the pixels."""
+    m = _marked(spark, d)
+    truth = m.where("dn % 5 <> 0").select("scene", "y", "x", (F.col("dn") % 4).alias("cls"))
+    return pipelines.mask_scores(pipelines.extract_masks(m, "scl", "scl"), truth, ["scene"])
+
+
+_SERIES = f"""{base.SERIES}, sc AS (SELECT CAST(date_trunc('month', t) AS DATE) AS m, CAST(pix // 10 AS INT) AS y, CAST(pix % 10 AS INT) AS x, max(CAST(trunc(dn / 10) AS INT)) AS blue, bool_or(cloud) AS cloud FROM series GROUP BY ALL),
+  g AS (SELECT *, greatest(max(bad) OVER a, max(bad) OVER b) AS grown FROM (SELECT *, CAST(cloud OR blue < 3000 AS INT) AS bad FROM sc)
+    WINDOW a AS (PARTITION BY m, y ORDER BY x RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING), b AS (PARTITION BY m, x ORDER BY y RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING))"""
+
+
+@query(f"""WITH {_SERIES} SELECT 'T' AS tile, year(m)::VARCHAR || '_' || quarter(m)::VARCHAR AS "window", y, x, CAST(trunc(median(CASE WHEN grown = 0 AND blue <> 0 AND blue <= 9000 THEN blue END)) AS INT) AS blue, count(CASE WHEN grown = 0 AND blue <> 0 THEN 1 END) AS n_valid FROM g GROUP BY ALL""")
+def composites_by_season(spark, d):
+    """Seasonal medians as for Landsat: the masks' union dilated, stripes' gaps left out."""
+    s = _scenes(spark, d).withColumn("scene", F.col("time"))
+    return pipelines.composites(s, ["blue"], "season", grow=1, most=9000)
+
+
+@query(f"""WITH {_SERIES} SELECT 'T' AS tile, w AS "window", y, x, CAST(trunc(coalesce(median(CASE WHEN bad = 0 AND blue <> 0 THEN blue END), min(nullif(blue, 0)))) AS INT) AS blue, count(CASE WHEN bad = 0 AND blue <> 0 THEN 1 END) AS n_valid
+  FROM (SELECT *, m AS w FROM g UNION ALL SELECT *, CAST(m - INTERVAL 1 MONTH AS DATE) FROM g) GROUP BY ALL""")
+def composites_by_month(spark, d):
+    """Sliding two-month medians with the least raw value where no image is clear."""
+    s = _scenes(spark, d).withColumn("scene", F.col("time"))
+    return pipelines.composites(s, ["blue"], "month", fallback=True)
+
+
+@query(f"""WITH {_MARKED} SELECT scene, min(y) AS top, count(*) AS n FROM m GROUP BY scene""")
+def paired_masks(spark, d):
+    """Scenes joined with one mask each by scene."""
+    m = _marked(spark, d)
+    masks_of = m.groupBy("scene").agg(F.min("y").alias("top"))
+    return pipelines.paired(m, masks_of).groupBy("scene").agg(F.first("top").alias("top"), F.count("*").alias("n"))
+
+
 @query()
 def cloud_restoration(spark, d):
     r = base.raster(spark, d)

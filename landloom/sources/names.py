@@ -63,3 +63,37 @@ def kml_tiles(spark: SparkSession, path: str) -> DataFrame:
     text = F.coalesce(F.get(F.col("MultiGeometry.Polygon"), 0)["outerBoundaryIs"]["LinearRing"]["coordinates"], F.col("Polygon.outerBoundaryIs.LinearRing.coordinates"))
     pairs = F.transform(F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " "), lambda p: F.struct(F.split(p, ",")[0].try_cast("double").alias("x"), F.split(p, ",")[1].try_cast("double").alias("y")))
     return d.select(F.trim("name").alias("tile"), pairs.alias("ring"))
+
+
+def find_files(files: DataFrame, date: str | None = None, tile: str | None = None, kind: str | None = None) -> DataFrame:
+    """Files whose names hold a date (yyyymmdd), a tile (T and five characters) and a word such as a mask's kind, each where given; with the date and tile that were read."""
+    d = files.withColumns({"file_date": F.try_to_timestamp(F.regexp_extract("name", r"(?:^|[^0-9])(\d{8})(?:[^0-9]|$)", 1), F.lit("yyyyMMdd")).cast("date"), "file_tile": F.nullif(F.regexp_extract("name", r"(?:^|_)T([0-9]{2}[A-Z]{3})(?:[_.0-9]|$)", 1), F.lit(""))})
+    if date is not None:
+        d = d.where(F.contains("name", F.lit(date)))
+    if tile is not None:
+        d = d.where(F.col("file_tile") == tile)
+    return d if kind is None else d.where(F.contains(F.lower("name"), F.lit(kind.lower())))
+
+
+def metadata_table(lines: DataFrame, tags: dict[str, str], cloud: str, most: float, keys: tuple[str, ...] = ("file",)) -> DataFrame:
+    """`metadata_scrape` of the products with a cloud share of at most `most`, the number as a double; ready for `write.csv(header=True)`."""
+    return metadata_scrape(lines, tags, keys).withColumn(cloud, F.col(cloud).try_cast("double")).where(F.col(cloud) <= most)
+
+
+def month_ranges(first: str, last: str) -> list[tuple[str, str]]:
+    """The months between two dates (yyyy-mm-dd, the last one not included) as ranges of days, cut at both ends: one catalogue request each."""
+    import datetime as dt
+
+    a, z = dt.date.fromisoformat(first), dt.date.fromisoformat(last)
+    out = []
+    while a < z:
+        b = min(z, dt.date(a.year + a.month // 12, a.month % 12 + 1, 1))
+        out.append((a.isoformat(), b.isoformat()))
+        a = b
+    return out
+
+
+def catalogue_filter(collection: str, tile: str, start: str, end: str, product: str = "") -> str:
+    """The OData filter of one request, for a client of the user's own: nothing here opens a connection."""
+    parts = [f"Collection/Name eq '{collection}'", f"contains(Name,'{tile}')", f"ContentDate/Start ge {start}T00:00:00.000Z", f"ContentDate/Start lt {end}T00:00:00.000Z"]
+    return " and ".join([*parts, f"contains(Name,'{product}')"] if product else parts)

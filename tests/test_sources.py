@@ -107,3 +107,97 @@ def test_scenes_offset_and_labels(spark, tmp_path):
     s = loaders.load_scenes(spark, str(tmp_path), 2019, "42WXS", "S2", ["B2", "SCL", "AOT"], -1000)
     got = {(r.label, r.x): r.value for r in s.collect()}
     assert got == {("B2", 0): 0, ("B2", 1): 500, ("SCL", 0): 8, ("SCL", 1): 3} and s.first().season_id == "42WXS2019_3"
+
+
+GT = [300000.0, 10.0, 0.0, 9000000.0, 0.0, -10.0]
+
+
+def test_window_of_map_coordinates_and_crs(spark, tmp_path):
+    from landloom.sources import loaders
+
+    a = np.arange(40 * 30, dtype=np.int16).reshape(1, 40, 30)
+    geotiff.write_tiff(str(tmp_path / "a.tif"), a, GT, nodata=35, rows_per_strip=7, crs=32721)
+    files = names.list_files(spark, str(tmp_path), "*.tif").withColumnRenamed("name", "file_name")
+    b = loaders.blocks(spark, files, ["file_name"])
+    assert {(r.crs, r.nodata) for r in b.select("crs", "nodata").distinct().collect()} == {(32721, 35.0)}
+    got = {(r.y, r.x): r.value for r in loaders.window(b, [], 300020.0, 8999900.0, 300080.0, 8999990.0, 32721).collect()}
+    assert got == {(y, x): float(a[0, y, x]) for y in range(1, 10) for x in range(2, 8) if a[0, y, x] != 35}
+    try:
+        loaders.window(b, [], 0, 0, 1, 1, 4326)
+        raise AssertionError("no error")
+    except ValueError as e:
+        assert "4326" in str(e)
+
+
+def test_windows_into_an_empty_file(spark, tmp_path):
+    to = str(tmp_path / "map.tif")
+    geotiff.create_empty(to, 2, 50, 41, "uint8", GT, 255, 32721)
+    px = spark.createDataFrame([(b, y, x, float((y * 41 + x) % 250) if (y + x) % 9 else None) for b in (1, 2) for y in range(50) for x in range(41) if not (y > 44 and x > 35)], "band int, y int, x int, v double")
+    n = geotiff.write_windows(vector.to_blocks(px, ["band"], "v", 16).repartition(5), to, nodata=255.0)
+    raw = (tmp_path / "map.tif").read_bytes()
+    out = np.zeros((2, 50, 41))
+    for band, y0, x0, block, gt in geotiff.read_blocks(raw):
+        out[band - 1, y0 : y0 + block.shape[0], x0 : x0 + block.shape[1]] = block
+    want = np.full((2, 50, 41), 255.0)
+    for r in px.where("v is not null").collect():
+        want[r.band - 1, r.y, r.x] = r.v
+    assert np.array_equal(out, want) and n == 24 and gt == GT and geotiff.header(raw) == (32721, 255.0)
+
+
+def test_sink_writes_nodata(spark, tmp_path):
+    geotiff.register(spark)
+    px = spark.createDataFrame([(y, x, None if x == 2 else float(x)) for y in range(5) for x in range(5)], "y int, x int, v double")
+    blocks = vector.to_blocks(px, [], "v", 4).select(F.lit("m.tif").alias("file"), F.lit(1).alias("band"), "y0", "x0", "h", "w", F.col("data").cast("array<double>").alias("data"))
+    blocks.repartition("file").write.format("raster").mode("append").option("dtype", "int16").option("nodata", "-9999").option("crs", "32633").save(str(tmp_path))
+    raw = (tmp_path / "m.tif").read_bytes()
+    assert geotiff.header(raw) == (32633, -9999.0)
+    (_, _, _, block, _), = geotiff.read_blocks(raw)
+    assert (block[:, 2] == -9999).all() and (block[:, 3] == 3).all()
+
+
+def test_bands_in_archives_and_safe_folders(spark, tmp_path):
+    import zipfile
+
+    from landloom.sources import archives, loaders
+
+    fine, coarse = np.arange(64, dtype=np.uint16).reshape(1, 8, 8), np.array([[[3, 4], [8, 5]]], np.uint8)
+    name = "S2A_MSIL2A_20190719T070631_N0213_R106_T42WXS_20190719T102226"
+    with zipfile.ZipFile(tmp_path / f"{name}.zip", "w") as z:
+        for label, a in (("B02", fine), ("SCL_20m", coarse)):
+            geotiff.write_tiff(str(tmp_path / "one.tif"), a, GT)
+            z.write(tmp_path / "one.tif", f"{name}.SAFE/GRANULE/IMG_DATA/T42WXS_{label}.tif")
+        z.writestr(f"{name}.SAFE/GRANULE/IMG_DATA/T42WXS_B03.jp2", b"not decoded")
+    (tmp_path / "broken.zip").write_bytes(b"no archive")
+    raw = archives.archives(spark, [str(tmp_path / f"{name}.zip"), str(tmp_path / "broken.zip")])
+    assert sorted(r.member.rsplit("_", 1)[1] for r in archives.members(raw, "B0").collect()) == ["B02.tif", "B03.jp2"]
+    got = {(r.label, r.y, r.x): r.value for r in loaders.load_archived_scenes(spark, str(tmp_path), 2019, "42WXS", "S2A", ["B02"], -10).collect()}
+    assert len(got) == 128 and got["B02", 7, 7] == 53 and got["B02", 0, 3] == 0 and got["SCL", 3, 3] == 3 and got["SCL", 4, 3] == 8
+    (tmp_path / f"{name}.SAFE" / "IMG").mkdir(parents=True)
+    geotiff.write_tiff(str(tmp_path / f"{name}.SAFE" / "IMG" / "T42WXS_B02.tif"), fine, GT)
+    (r,) = archives.safe_members(names.list_files(spark, str(tmp_path), "*.tif"), "B02").collect()
+    assert r["product"] == name and r.member == "IMG/T42WXS_B02.tif"
+
+
+def test_landsat_bands_with_quality(spark, tmp_path):
+    from landloom.sources import loaders
+
+    qa = np.array([[[0, 8, 16, 32, 1]]], np.uint16)
+    geotiff.write_tiff(str(tmp_path / "LC08_X_SR_B4.TIF"), np.array([[[5, 6, 7, 8, 9]]], np.uint16), GT)
+    geotiff.write_tiff(str(tmp_path / "LC08_X_QA_PIXEL.TIF"), qa, GT)
+    rows = loaders.load_landsat(spark, str(tmp_path), "QA_PIXEL", ["SR_B4"], snow=True).orderBy("x").collect()
+    assert [(r.scene, r.label, r.value, r.cloud, r.shadow, r.snow) for r in rows] == [("LC08_X", "SR_B4", v, c, s, n) for v, c, s, n in ((5, False, False, False), (6, True, False, False), (7, False, True, False), (8, False, False, True), (9, False, False, False))]
+
+
+def test_evaluation_sample_and_lookups(spark, tmp_path):
+    from landloom.sources import loaders
+
+    geotiff.write_tiff(str(tmp_path / "S2_T42WXS_20190719_cloudMask.tif"), np.stack([np.full((6, 5), b, np.uint8) for b in range(1, 6)]), GT, crs=32742)
+    p, meta = loaders.load_evaluation(spark, str(tmp_path), crop=4)
+    assert {(r.band, r.value) for r in p.select("band", "value").distinct().collect()} == {(2, 2.0), (3, 3.0), (4, 4.0), (5, 5.0)} and p.count() == 64
+    assert meta == {"left": 300000.0, "top": 9000000.0, "right": 300040.0, "bottom": 8999960.0, "crs": 32742}
+    files = names.list_files(spark, str(tmp_path))
+    assert names.find_files(files, "20190719", "42WXS", "CLOUDMASK").count() == 1 and names.find_files(files, kind="shadow").count() == 0
+    assert names.month_ranges("2020-11-15", "2021-01-10") == [("2020-11-15", "2020-12-01"), ("2020-12-01", "2021-01-01"), ("2021-01-01", "2021-01-10")]
+    assert names.catalogue_filter("SENTINEL-2", "T42WXS", "2020-01-01", "2020-02-01").count(" and ") == 3
+    lines = spark.createDataFrame([("a", "<Cloud_Coverage>12.5</Cloud_Coverage>"), ("b", "<Cloud_Coverage>80</Cloud_Coverage>")], "file string, value string")
+    assert [(r.file, r.cloud) for r in names.metadata_table(lines, {"cloud": "Cloud_Coverage"}, "cloud", 40).collect()] == [("a", 12.5)]
