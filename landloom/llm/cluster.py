@@ -487,18 +487,28 @@ def candidate_pairs(reps: DataFrame, threshold: int, min_shared: int, block: int
     return rows_of.repartition("bucket").sortWithinPartitions("bucket", "part").mapInArrow(_compared((found[1] or 2) // 2, min_shared), "a bigint, b bigint").distinct()
 
 
-def linked_components(folded: DataFrame, threshold: int, min_shared: int, folds: bool) -> DataFrame:
-    """(rep, label, own) of all representatives that have a link; own: it stood in buckets of its own."""
+def linked_components(folded: DataFrame, threshold: int, min_shared: int, folds: bool) -> tuple[DataFrame, DataFrame]:
+    """(rep, label, own) of all representatives that have a link, and the links (a, b). own: it stood in buckets of its own."""
     reps = folded.where("pixel_id = rep").select("pixel_id", "cells")
     twice = reps.select("pixel_id", F.col("pixel_id").alias("rep"), "cells")
     if folds:
         together = reps.mapInArrow(_coarse(threshold), "pixel_id bigint, cells binary, coarse bigint").repartition("coarse").sortWithinPartitions("coarse").select("pixel_id", "cells")
         twice = cut(together.mapInArrow(_local(threshold, min_shared), FOLDED))
     own = twice.where("pixel_id = rep").select("pixel_id", "cells")
-    links = verified(candidate_pairs(own, threshold, min_shared), own, threshold, min_shared).where("ok").select("a", "b")
+    found = verified(candidate_pairs(own, threshold, min_shared), own, threshold, min_shared).where("ok").select("a", "b")
+    links = cut(found.unionByName(twice.where("pixel_id <> rep").select(F.col("pixel_id").alias("a"), F.col("rep").alias("b"))))
     second = twice.where("pixel_id <> rep").select(F.col("pixel_id").alias("rep"), F.lit(False).alias("own"))
-    labels = components(links.unionByName(twice.where("pixel_id <> rep").select(F.col("pixel_id").alias("a"), F.col("rep").alias("b"))))
-    return cut(labels.withColumnRenamed("node", "rep").join(second, "rep", "left").select("rep", "label", F.coalesce("own", F.lit(True)).alias("own")))
+    labels = components(links).withColumnRenamed("node", "rep").join(second, "rep", "left")
+    return cut(labels.select("rep", "label", F.coalesce("own", F.lit(True)).alias("own"))), links
+
+
+def around_medoids(links: DataFrame) -> DataFrame:
+    """(rep, medoid): each record's neighbour, or itself, with the most links (the least id of several): the sets so formed are no larger than a record's links."""
+    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    degree = both.groupBy("a").agg(F.count("*").alias("n"))
+    rank = F.struct("n", (-F.col("id")).alias("minus"))
+    near = both.join(degree.withColumnRenamed("a", "b"), "b").select("a", F.col("b").alias("id"), "n").unionByName(degree.select("a", F.col("a").alias("id"), "n"))
+    return near.groupBy(F.col("a").alias("rep")).agg((-F.max(rank)["minus"]).alias("medoid"))
 
 
 def _hot_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -543,25 +553,30 @@ def _hot_beside(threshold: int, min_shared: int):
     return run
 
 
-def partition(members: DataFrame, threshold: int, min_shared: int, hot: int = HOT) -> DataFrame:
-    """(pixel_id, own, medoid, first) for (label, pixel_id, own, cells): components cut into sets all alike; first marks the largest set of each, or its core.
+def partition(members: DataFrame, links: DataFrame, threshold: int, min_shared: int, hot: int = HOT) -> DataFrame:
+    """(pixel_id, own, medoid, first) for (label, pixel_id, own, cells, rep): components cut into sets all alike; first marks the largest set of each, or its core.
 
-    A component of at most `hot` records, or one without a core of more than half of them, is one task's. The core of a hotter one is found by reach from its mean series where the
-    records stand; only the records beside it are compared with the core, and only with those that their reach leaves open.
+    A component of at most `hot` records is one task's. The core of a hotter one is found by reach from its mean series where the
+    records stand; only the records beside it are compared with the core, and only with those that their reach leaves open. A hotter one that has no core of more than half its records is loose: it is first
+    split around its records with most links (`around_medoids`), and each part is one task's.
     """
     sizes = members.groupBy("label").count().where(F.col("count") > hot)
     counts = {r["label"]: r["count"] for r in sizes.collect()}  # at most rows / hot
-    part = lambda df: df.repartition("label").sortWithinPartitions("label", "pixel_id").mapInArrow(_part(threshold, min_shared), PARTED)
+    part = lambda df: df.select("label", "pixel_id", "own", "cells").repartition("label").sortWithinPartitions("label", "pixel_id").mapInArrow(_part(threshold, min_shared), PARTED)
     if not counts:
         return part(members)
-    hottest = members.where(F.col("label").isin(list(counts)))
+    hottest = members.where(F.col("label").isin(list(counts))).select("label", "pixel_id", "own", "cells")
     centres: dict[int, list] = {}
     for r in hottest.mapInArrow(_hot_sums, "label bigint, total array<bigint>, n array<bigint>").select("label", F.posexplode(F.arrays_zip("total", "n"))).groupBy("label", "pos").agg(F.sum("col.total").alias("t"), F.sum("col.n").alias("n")).collect():
         centres.setdefault(r["label"], []).append((r["pos"], round(r["t"] / max(1, r["n"]))))
     centre = {k: np.array([x for _, x in sorted(c)], np.int32) for k, c in centres.items()}
     found = cut(hottest.mapInArrow(_hot_reach(centre, threshold, min_shared), "label bigint, pixel_id bigint, own boolean, cells binary, far double, seen int, core boolean"))
     cores = {r["label"]: r["core"] for r in found.where("core").groupBy("label").agg(F.count("*").alias("k"), F.min(F.struct("far", "pixel_id"))["pixel_id"].alias("core")).collect() if 2 * r["k"] > counts[r["label"]]}
-    plain = part(members.where(~F.col("label").isin(list(cores))))
+    plain = part(members.where(~F.col("label").isin(list(counts))))
+    if loose := [k for k in counts if k not in cores]:
+        apart = members.where(F.col("label").isin(loose)).join(around_medoids(links), "rep", "left").withColumn("label", F.coalesce("medoid", "rep"))
+        # The largest set of a part need not be its component's, so records without buckets of their own are searched again unless they are in it.
+        plain = plain.unionByName(part(apart))
     if not cores:
         return plain
     medoid = F.coalesce(*[F.when(F.col("label") == k, F.lit(m)) for k, m in cores.items()])
@@ -577,9 +592,9 @@ def partition(members: DataFrame, threshold: int, min_shared: int, hot: int = HO
 
 
 def _settled(folded: DataFrame, threshold: int, min_shared: int, hot: int, folds: bool) -> DataFrame:
-    labels = linked_components(folded, threshold, min_shared, folds)
-    named = folded.join(labels, "rep", "left").select(F.coalesce("label", "rep").alias("label"), "pixel_id", ((F.col("pixel_id") == F.col("rep")) & F.coalesce("own", F.lit(True))).alias("own"), "cells")
-    return cut(partition(named, threshold, min_shared, hot))
+    labels, links = linked_components(folded, threshold, min_shared, folds)
+    named = folded.join(labels, "rep", "left").select(F.coalesce("label", "rep").alias("label"), "pixel_id", ((F.col("pixel_id") == F.col("rep")) & F.coalesce("own", F.lit(True))).alias("own"), "cells", "rep")
+    return cut(partition(named, links, threshold, min_shared, hot))
 
 
 def groups(series: DataFrame, threshold: int = THRESHOLD, min_shared: int = MIN_SHARED, hot: int = HOT) -> tuple[DataFrame, DataFrame]:

@@ -96,3 +96,13 @@ def test_hot_core_with_rows_beside_it(spark):
     v[195:] += 260
     got = all_alike(spark, v, hot=50)
     assert got == all_alike(spark, v) and max(map(len, got)) >= 190
+
+
+def test_loose_hot_component_splits_around_medoids(spark):
+    links = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (4, 5), (5, 6), (3, 7), (9, 9)], "a long, b long")
+    got = {r.rep: r.medoid for r in c.around_medoids(links.where("a <> b")).collect()}
+    assert got == {1: 2, 2: 3, 3: 3, 4: 3, 5: 4, 6: 5, 7: 3}
+    rng = np.random.default_rng(8)
+    v = np.concatenate([3000 + 130 * k + rng.integers(-20, 21, (6, 72)) for k in range(12)]).astype(np.int16)  # a long chain of small groups
+    got = all_alike(spark, v, hot=15)
+    assert sum(map(len, got)) == len(v) and max(map(len, got)) >= 6
