@@ -5,7 +5,7 @@ Both joins hash to grid cells and verify exactly. No side is broadcast by hint a
 * `within_distance`: cells have twice the radius as edge, the right side is written to the cells that its reach meets (four at most), the join is an
   equi-join on the cell. With metric='haversine' x and y are degrees of longitude and latitude and the distance is the great circle's.
 * `near_counts`: how many and how near, from counts of sites; pairs of rows are not made.
-* `containing_regions`: a region goes to the level of a doubling grid whose cell edge is at least a quarter of its extent, so it lies in 25
+* `containing_regions`: a region goes to the level of a doubling grid whose cell edge is at least half its extent, so it lies in nine
   cells at most, however large it is, and the points in a large one are spread over as many keys; a point is looked up once on each level that occurs.
 
 Rows that share a place are one site until the last join, so a place that holds a third of all rows costs one probe; the join
@@ -125,8 +125,8 @@ _INSIDE = """aggregate(sequence(0, size(xs) - 1), false, (odd, i) -> odd != coal
     AND px < try_divide((xs[if(i = 0, size(xs), i) - 1] - xs[i]) * (py - ys[i]), ys[if(i = 0, size(xs), i) - 1] - ys[i]) + xs[i], false))"""
 
 
-def containing_regions(points: DataFrame, regions: DataFrame, point_id: str, region_id: str, xy: tuple[str, str] = ("x", "y"), ring: str = "ring", least_edge: float = 64.0, across: int = 4) -> DataFrame:
-    """Pairs (left_id, right_id) of points and the regions whose ring (array<struct<x,y>>) contains them."""
+def containing_regions(points: DataFrame, regions: DataFrame, point_id: str, region_id: str, xy: tuple[str, str] = ("x", "y"), ring: str = "ring", least_edge: float = 64.0, across: int = 2) -> DataFrame:
+    """Pairs (left_id, right_id) of points and the regions whose ring (array<struct<x,y>>) contains them. across: cells to a region's extent at least; more of them spread the points in a large region over more keys and copy its ring more often."""
     p = points.select(F.col(point_id).alias("lid"), F.col(xy[0]).cast("double").alias("px"), F.col(xy[1]).cast("double").alias("py"))
     p = _sites(p, "px", "py")
     r = (
@@ -140,15 +140,12 @@ def containing_regions(points: DataFrame, regions: DataFrame, point_id: str, reg
         .withColumn("edge", F.lit(least_edge / across) * F.pow(F.lit(2.0), F.ceil(F.log2(F.col("extent") / F.lit(least_edge)))))
     )
     cells = F.expr("flatten(transform(sequence(floor(x0 / edge), floor(x1 / edge)), i -> transform(sequence(floor(y0 / edge), floor(y1 / edge)), j -> struct(i as gx, j as gy))))")
-    # Rings stay behind: cells carry a region's box and key only, and candidates meet the rings once they are inside the box.
-    r = r.withColumn("key", F.xxhash64("rid", "xs", "ys"))
-    rings = r.select("key", "rid", "xs", "ys")
-    r = r.withColumn("_g", F.explode(cells)).select("key", "x0", "x1", "y0", "y1", "edge", "_g.gx", "_g.gy")
+    r = r.withColumn("_g", F.explode(cells)).select("rid", "xs", "ys", "x0", "x1", "y0", "y1", "edge", "_g.gx", "_g.gy")
     # One row per grid level that occurs: at most some fifty for any data, as the edge doubles from level to level.
     levels = r.groupBy().agg(F.sort_array(F.collect_set("edge")).alias("edges"))
     edges = [float(e) for e in (levels.first()["edges"] or [])]
     sites = p.select("px", "py").distinct()
     probes = sites.withColumn("edge", F.explode(F.array(*[F.lit(e) for e in edges]) if edges else F.expr("cast(array() as array<double>)"))).withColumns({"gx": F.floor(F.col("px") / F.col("edge")), "gy": F.floor(F.col("py") / F.col("edge"))})
     boxed = probes.join(r, ["edge", "gx", "gy"]).where(F.col("px").between(F.col("x0"), F.col("x1")) & F.col("py").between(F.col("y0"), F.col("y1")))
-    hits = boxed.select("px", "py", "key").join(rings, "key").where(F.expr(_INSIDE)).select("px", "py", "rid")
+    hits = boxed.where(F.expr(_INSIDE)).select("px", "py", "rid")
     return hits.join(p, ["px", "py"]).select(F.col("lid").alias("left_id"), F.col("rid").alias("right_id")).distinct()
