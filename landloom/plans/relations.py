@@ -319,3 +319,26 @@ def distinct_bands(spark, d):
 @query("SELECT o_orderkey, to_json({'class': o_orderstatus, 'source': o_orderpriority}) AS sidecar FROM orders")
 def sidecar_json(spark, d):
     return table(spark, d, "orders").select("o_orderkey", F.to_json(F.struct(F.col("o_orderstatus").alias("class"), F.col("o_orderpriority").alias("source"))).alias("sidecar"))
+
+
+@query("""WITH e AS (SELECT sqrt(dx * dx + dy * dy) AS d FROM (SELECT geom.x - (300000 + (round_even((geom.x - 300000) / 10.0::DOUBLE, 0)) * 10) AS dx, geom.y - (9000000 - (round_even((geom.y - 9000000) / -10.0::DOUBLE, 0)) * 10) AS dy FROM points_df WHERE geom.x IS NOT NULL)),
+  b AS (SELECT min(d) AS lo, max(d) AS hi FROM e) SELECT CAST(least(19, floor((d - lo) / (hi - lo) * 20)) AS INT) AS bin, count(*) AS n FROM e, b WHERE d IS NOT NULL GROUP BY ALL""")
+def distance_histogram(spark, d):
+    """Distances between points and the centres of their pixels, in twenty bins."""
+    p = table(spark, d, "points_df").where("geom.x is not null and geom.y is not null")
+    dx = F.col("geom.x") - (F.lit(300000) + F.rint((F.col("geom.x") - 300000) / F.lit(10.0)) * 10)
+    dy = F.col("geom.y") - (F.lit(9000000) - F.rint((F.col("geom.y") - 9000000) / F.lit(-10.0)) * 10)
+    return stats.distance_histogram(p, dx, dy, 20)
+
+
+@query("""SELECT 'SVM_EVAL' AS prefix, o_orderstatus AS class, round(avg(o_totalprice) / 1e6, 9) AS precision, round(min(o_totalprice) / 1e6, 9) AS recall, round(max(o_totalprice) / 1e6, 9) AS "f1-score", count(*)::DOUBLE AS support FROM orders WHERE o_orderstatus IN ('F', 'O', 'P') GROUP BY ALL""")
+def metric_table(spark, d):
+    """A log's row of metric columns, class by class; one class lacks a metric and doesn't come out."""
+    o = table(spark, d, "orders")
+    pick = lambda s: F.when(F.col("o_orderstatus") == s, F.col("o_totalprice"))
+    aggs = []
+    for s in "FOP":
+        aggs += [(F.avg(pick(s)) / 1e6).alias(f"SVM_EVAL_{s}_precision"), (F.min(pick(s)) / 1e6).alias(f"SVM_EVAL_{s}_recall"), (F.max(pick(s)) / 1e6).alias(f"SVM_EVAL_{s}_f1-score"), F.count(pick(s)).cast("double").alias(f"SVM_EVAL_{s}_support")]
+    row = o.agg(*aggs, F.lit(0.5).alias("SVM_EVAL_lost_precision"))
+    out = stats.metric_table(row, row.columns)
+    return out.select("prefix", "class", *[F.round(f"`{c}`", 9).alias(c) for c in ("precision", "recall", "f1-score")], "support")
