@@ -121,15 +121,26 @@ def clip(df: DataFrame, y0: int, y1: int, x0: int, x1: int) -> DataFrame:
 
 
 def to_blocks(df: DataFrame, keys: Sequence[str], value: str, size: int = 549) -> DataFrame:
-    """Pixels to storage blocks: (keys, by, bx, y0, x0, h, w, data), data row by row with null for absent pixels. A block is size^2 values in one row."""
-    d = df.withColumns({"by": F.floor(F.col("y") / size).cast("int"), "bx": F.floor(F.col("x") / size).cast("int")})
+    """Pixels to storage blocks: (keys, by, bx, y0, x0, h, w, data), data row by row with null for absent pixels. A block is size^2 values in one row.
+
+    Rows without y or x are left out; a pixel given twice is an error. A block's pixels are sorted once and the gaps between them filled, so its cost is that of the sort.
+    """
+    d = df.where(F.col("y").isNotNull() & F.col("x").isNotNull()).withColumns({"by": F.floor(F.col("y") / size).cast("int"), "bx": F.floor(F.col("x") / size).cast("int")})
     g = d.groupBy(*keys, "by", "bx").agg(F.min("y").alias("y0"), F.min("x").alias("x0"), F.max("y").alias("_y1"), F.max("x").alias("_x1"), F.collect_list(F.struct("y", "x", F.col(value).cast("float").alias("v"))).alias("_p"))
     g = g.withColumns({"h": F.col("_y1") - F.col("y0") + 1, "w": F.col("_x1") - F.col("x0") + 1})
-    m = F.map_from_entries(F.transform("_p", lambda p: F.struct(((p["y"] - F.col("y0")) * F.col("w") + p["x"] - F.col("x0")).alias("k"), p["v"].alias("v"))))
-    data = F.transform(F.sequence(F.lit(0), F.col("h") * F.col("w") - 1), lambda k: F.try_element_at(F.col("_m"), k))
-    return g.withColumn("_m", m).withColumn("data", data).select(*keys, "by", "bx", "y0", "x0", "h", "w", "data")
+    placed = F.sort_array(F.transform("_p", lambda p: F.struct(((p["y"] - F.col("y0")) * F.col("w") + p["x"] - F.col("x0")).alias("k"), p["v"].alias("v"))))
+    none = lambda n: F.array_repeat(F.lit(None).cast("float"), n.cast("int"))
+
+    def filled(s: Column) -> Column:
+        last = lambda i: F.coalesce(F.get(s, i - 1)["k"], F.lit(-1))
+        run = lambda p, i: F.when(p["k"] > last(i), F.concat(none(p["k"] - last(i) - 1), F.array(p["v"]))).otherwise(F.raise_error(F.lit("a pixel is given twice")))
+        return F.concat(F.flatten(F.transform(s, run)), none(F.col("h") * F.col("w") - 1 - last(F.size(s))))
+
+    # the sorted array is bound by a lambda: as a column the optimizer would put its expression into the inner lambda and sort again for each pixel
+    return g.withColumn("data", F.get(F.transform(F.array(placed), filled), F.lit(0))).select(*keys, "by", "bx", "y0", "x0", "h", "w", "data")
 
 
 def from_blocks(blocks: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    d = blocks.select(*keys, "y0", "x0", "w", F.posexplode("data").alias("_k", value)).where(F.col(value).isNotNull())
+    # outer, as for the inner one the optimizer adds a filter on data, which repeats what makes data twice
+    d = blocks.select(*keys, "y0", "x0", "w", F.posexplode_outer("data").alias("_k", value)).where(F.col(value).isNotNull())
     return d.select(*keys, (F.col("y0") + F.floor(F.col("_k") / F.col("w"))).cast("int").alias("y"), (F.col("x0") + F.col("_k") % F.col("w")).cast("int").alias("x"), value)

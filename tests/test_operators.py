@@ -1,6 +1,7 @@
 """NumPy golden tests, properties and the decisions on known oddities."""
 
 import datetime as dt
+import time
 
 import numpy as np
 import pytest
@@ -337,3 +338,26 @@ def test_minmax_stays_in_range(spark, values):
     df = spark.createDataFrame([(float(v),) for v in values], "v double")
     out = [r.v for r in stats.Scaler({"v": "minmax"}).fit_transform(df).collect()]
     assert all(-1e-9 <= x <= 1 + 1e-9 for x in out)
+
+
+def test_a_block_costs_its_pixels_not_their_square(spark):
+    side = 96
+    df = spark.range(side * side).select((F.col("id") / side).cast("int").alias("y"), (F.col("id") % side).cast("int").alias("x"), (F.col("id") * 7 % 1000).cast("int").alias("v"))
+    blocks = vector.to_blocks(df.where("(y + x) % 5 > 0"), [], "v")
+    pixels = vector.from_blocks(blocks, [], "v")
+    plan = pixels._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("AS data#") == 1 and "size(transform" not in plan  # data is made once for each block, not again in a filter
+    began = time.monotonic()
+    got = {(r.y, r.x): r.v for r in pixels.collect()}
+    assert time.monotonic() - began < 30
+    assert got == {(y, x): (y * side + x) * 7 % 1000 for y in range(side) for x in range(side) if (y + x) % 5}
+
+
+def test_blocks_of_gaps_nulls_and_repeats(spark):
+    rows = [("a", -3, -1, 1), ("a", 0, 2, 2), ("a", 1, 0, None), ("a", 2, 1, 3), ("b", 7, 7, 4), ("b", None, 1, 5), ("b", 1, None, 6)]
+    df = spark.createDataFrame(rows, "k string, y int, x int, v int")
+    blocks = {(r.k, r.by, r.bx): (r.y0, r.x0, r.h, r.w, r.data) for r in vector.to_blocks(df, ["k"], "v", 4).collect()}
+    assert blocks == {("a", -1, -1): (-3, -1, 1, 1, [1.0]), ("a", 0, 0): (0, 0, 3, 3, [None, None, 2.0, None, None, None, None, 3.0, None]), ("b", 1, 1): (7, 7, 1, 1, [4.0])}
+    assert {tuple(r) for r in vector.from_blocks(vector.to_blocks(df, ["k"], "v", 4), ["k"], "v").collect()} == {("a", -3, -1, 1.0), ("a", 0, 2, 2.0), ("a", 2, 1, 3.0), ("b", 7, 7, 4.0)}
+    with pytest.raises(Exception, match="twice"):
+        vector.to_blocks(df.unionAll(df.limit(1)), ["k"], "v", 4).collect()
